@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
 from .words import ALNUM, batch_words, text_bytes, words_of
 
 #: Entries of a shift table.
@@ -137,6 +138,30 @@ def _passes(benchmark: DataFrame, limit: int) -> list[list[tuple[str, str | None
     return passes
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated (see contamination)."""
+    passes = _passes(benchmark, pass_bytes)
+    if len(passes) > 1:
+        named = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        marked = contamination(named.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, share, pass_bytes)
+        return named.join(marked.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(docs.columns)
+    patterns = docs.sparkSession.sparkContext.broadcast(PatternSet(passes[0], window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            keep = []
+            for _, hashes, starts, ends, bounds in batch_words(data, offsets, ALNUM):
+                for i in range(len(bounds) - 1):
+                    part = slice(bounds[i], bounds[i + 1])
+                    hit, _ = patterns.value.search(hashes[part], starts[part], ends[part], data)
+                    n_hit = sum(e - s for s, e in hit)
+                    keep.append(not (n_hit and share * n_hit >= bounds[i + 1] - bounds[i]))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256 and contaminated.
 
@@ -153,8 +178,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     if len(passes) == 1:
         found = _search(docs, passes[0], window, ["doc_id"], "doc_id long, " + _HITS)
     else:
-        from .store import materialize
-
         named = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # written once, so that the numbers stay
         parts = [_search(named, items, window, ["doc_id", "row"], _ROW) for items in passes]
         every = parts[0]

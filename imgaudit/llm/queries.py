@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, quality, token_counts
+from . import decontaminate, jaccard_join, media, mixing, quality, sharding, token_counts
+
+
+#: Shards of the sharding query and of the pipeline's last stage.
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,21 +28,39 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling towards labelled good text keeps."""
     return quality.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document's text reads back as, stored as chunked sound."""
+    return media.media_features(_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document words inside any thirteen-word window of a benchmark item."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_sharding": op4_sharding,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_media_columns": op6_media_columns,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES: dict[str, str] = {}
