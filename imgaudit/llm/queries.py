@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, media, mixing, quality, sharding, token_counts
+from . import decontaminate, jaccard_join, media, mixing, quality, secret_scan, sharding, token_counts
 
 
 #: Shards of the sharding query and of the pipeline's last stage.
@@ -43,6 +43,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document words inside any thirteen-word window of a benchmark item."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_media_columns": op6_media_columns,
+    "op7_secret_scans": op7_secret_scans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
 }
