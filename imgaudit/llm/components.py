@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .store import materialize
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one root and no root has one."""
+    ends = edges.select(F.col("v").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("root")).union(edges.select("u", F.lit(0), F.lit(1)))
+    broken = ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("root").alias("root")).where("low > 1 or (low > 0 and root > 0)")
+    return broken.isEmpty()
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``; component is its smallest reachable node.
 
@@ -18,9 +25,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     edges = materialize(both.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
-    before = None
     for _ in range(max_rounds):
-        # large star: neighbours above v move to the smallest of v and its neighbours
+        if _stars(edges):
+            roots = edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+            return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(roots)
+        # large star: neighbours above x move to the smallest of x and its neighbours
         near = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select("u", "v"))
         low = near.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
         large = near.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
@@ -29,12 +38,4 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.join(low, "v")
         small = down.select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
         edges = materialize(small, "links")
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
-        edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    )
+    raise RuntimeError("components did not settle; raise max_rounds")

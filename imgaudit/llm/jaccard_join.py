@@ -5,12 +5,13 @@ many documents hold a shingle, rare ones first. Two sets x and y that link share
 ``need(|x|, |y|)`` shingles, so they share at least l shingles among the first |x| - need + l of x
 and |y| - need + l of y, for every l. A document whose short prefix promises many candidates takes
 a longer one (a larger l) and demands that many common shingles before a pair is verified; a pair
-uses the smaller l of its two documents, for which both prefixes are long enough. No cap is set
-anywhere: a common shingle only costs.
+uses the smaller l of its two documents, for which both prefixes are long enough. Only the prefix
+for l = 1, which must hold a common shingle in any case, goes into the join as postings; the longer
+one stays with its set and is compared before verification. No cap is set anywhere.
 
 Large groups of near copies would make all pairs of a group candidates. Instead every set is first
 verified against one hub among its candidates (the set with most copies), which already connects
-such groups; then only pairs of sets in different components are candidates, so the output grows
+such groups; then only pairs of sets in different components are candidates, so what is left grows
 with the documents and not with the square of a group, and no component is missed.
 """
 
@@ -19,17 +20,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import bitmap, in_bitmap, materialize
 from .words import SPACED, batch_words, grams, text_bytes
 
-#: Buckets of the sketch of document frequencies: 2**19 counters, 4 MB. Raise it with the corpus,
-#: so that a bucket holds a few hundred rare shingles.
-SKETCH_BITS = 19
+#: Buckets of the sketch of document frequencies: 2**22 counters, 16 MB. Raise it with the corpus,
+#: so that a bucket holds at most some hundred rare shingles.
+SKETCH_BITS = 22
+#: Counters that travel together: 2**10.
+RANGE_BITS = 10
 #: Longest prefix extension that is tried.
 MAX_MATCHES = 4
 #: Cost of verifying one candidate, in posting entries read.
@@ -54,27 +58,42 @@ def _set_id(shingles: np.ndarray) -> int:
 
 
 def document_frequencies(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Documents per hash bucket of their shingles; 2**bits numbers, over all documents."""
+    """Documents per hash bucket of their shingles; 2**bits numbers, over all documents.
+
+    Tasks send ranges of counters packed as small integers; a range is summed where it is gathered.
+    """
+    width = 1 << RANGE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
         for _, _, sets in _shingle_sets(batches, size):
             low = np.concatenate(sets) & np.uint64((1 << bits) - 1) if sets else np.zeros(0, dtype=np.uint64)
             total += np.bincount(low.astype(np.int64), minlength=1 << bits)
-        full = np.flatnonzero(total)
-        for at in range(0, len(full), 1 << 16):
-            part = full[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, dtype=np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
+        parts = [(k, part) for k, part in enumerate(total.reshape(-1, width)) if part.any()]
+        for at in range(0, len(parts), 256):
+            some = parts[at : at + 256]
+            packed = [part.astype(np.uint8 if part.max() < 1 << 8 else np.uint16 if part.max() < 1 << 16 else np.int64).tobytes() for _, part in some]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array(packed, pa.binary())], names=["range", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, dtype=np.int64)
+        for batch in batches:
+            for packed in batch.column("counts"):
+                kind = {width: np.uint8, 2 * width: np.uint16, 8 * width: np.int64}[len(packed.as_py())]
+                total += np.frombuffer(packed.as_py(), dtype=kind)
+        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["range", "counts"])
 
+    sums = docs.select("text").mapInArrow(count, "range int, counts binary").groupBy("range").applyInArrow(add, "range int, counts binary")
+    out = np.zeros((1 << bits) // width * width, dtype=np.uint32).reshape(-1, width)
+    for row in sums.toLocalIterator():  # 2**bits counters in all
+        out[row["range"]] = np.frombuffer(row["counts"], dtype=np.uint32)
+    return out.reshape(-1)
 
-def _need(a: np.ndarray | int, b: np.ndarray | int, t: int) -> np.ndarray | int:
-    """Least intersection of linking sets of these sizes: 100 i >= t (a + b - i), rounded up."""
-    return -(-t * (a + b) // (100 + t))
+
+def _base(n: int, t: int) -> int:
+    """Length of the prefix for one match with the smallest partner, of t percent of the size."""
+    return n - (-(-t * n // 100)) + 1
 
 
 def _prefix(shingles: np.ndarray, frequency: np.ndarray, t: int) -> tuple[np.ndarray, int]:
@@ -82,7 +101,7 @@ def _prefix(shingles: np.ndarray, frequency: np.ndarray, t: int) -> tuple[np.nda
     n = len(shingles)
     df = frequency[(shingles & np.uint64(len(frequency) - 1)).astype(np.int64)]
     order = np.lexsort((shingles, df))
-    base = n - (-(-t * n // 100)) + 1  # for the smallest partner, of t percent of its size
+    base = _base(n, t)
     best, cost, seen = 1, None, np.cumsum(df[order[: min(n, base + MAX_MATCHES - 1)]])
     for matches in range(1, MAX_MATCHES + 1):
         if base + matches - 1 > n:
@@ -121,9 +140,9 @@ def shingle_table(docs: DataFrame, size: int, t: int, bits: int = SKETCH_BITS) -
 
 
 def _whole_sets(docs: DataFrame, size: int, ids: DataFrame) -> DataFrame:
-    """(set_id, shingles) once for each of ``ids(set_id)``, made anew from the texts.
+    """(set_id, shingles) of the sets in ``ids(set_id)``, made anew from the texts; some others, too.
 
-    A 2 MB bitmap keeps nearly all other sets out of the shuffle; the join removes the rest.
+    A 2 MB bitmap keeps nearly all other sets out of the shuffle.
     """
     words = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.col("set_id")))
 
@@ -139,66 +158,110 @@ def _whole_sets(docs: DataFrame, size: int, ids: DataFrame) -> DataFrame:
                 values = np.concatenate([sets[i] for i in keep]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["set_id", "shingles"])
 
-    made = docs.select("text").mapInArrow(run, "set_id long, shingles array<long>")
-    return made.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
+    return docs.select("text").mapInArrow(run, "set_id long, shingles array<long>").dropDuplicates(["set_id"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame:
-    """The pairs(a, b) whose whole sets link."""
-    ids = materialize(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "candidates")
-    sets = materialize(_whole_sets(docs, size, ids), "candidate-sets")
+    """The pairs(a, b) whose whole sets link; ``pairs`` is a written table."""
+    sets = _whole_sets(docs, size, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")))
     left, right = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("xs")), sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("ys"))
     joined = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("xs", "ys")))
     return joined.where(100 * F.col("i") >= t * (F.size("xs") + F.size("ys") - F.col("i"))).select("a", "b")
 
 
-def _postings(table: DataFrame) -> DataFrame:
-    """(token, at, set_id, n, matches, copies) of the tokens that more than one set has in its prefix."""
-    sets = table.where("n_shingles > 0").groupBy("set_id").agg(F.count("*").alias("copies"))
-    flat = table.where("n_shingles > 0").select(F.posexplode("tokens").alias("at", "token"), "set_id", F.col("n_shingles").alias("n"), "matches")
-    shared = flat.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("token")
-    return materialize(flat.join(shared, "token", "left_semi").distinct().join(sets, "set_id"), "postings")
+def _least(n: Column, m: Column, t: int) -> Column:
+    """Least intersection of linking sets of these sizes."""
+    return F.ceil((n + m) * t / (100 + t))
+
+
+def _plausible(pairs: DataFrame, table: DataFrame, t: int) -> DataFrame:
+    """The pairs(a, b) that share as many tokens of their longer prefixes as both demand at least; written."""
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    heads = table.select("set_id", F.col("n_shingles").alias("n"), "matches", "tokens")
+    heads = heads.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
+    x = heads.select(F.col("set_id").alias("a"), F.struct("n", "matches", "tokens").alias("x"))
+    y = heads.select(F.col("set_id").alias("b"), F.struct("n", "matches", "tokens").alias("y"))
+    least = F.least("x.matches", "y.matches")
+    reach = lambda s: F.slice(f"{s}.tokens", F.lit(1), (F.col(f"{s}.n") - _least(F.col("x.n"), F.col("y.n"), t) + least).cast("int"))
+    both = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect(reach("x"), reach("y"))) >= least)
+    return materialize(both.select("a", "b"), "plausible")
+
 
+def _postings(table: DataFrame, t: int) -> DataFrame:
+    """(token, at, set_id, n, copies) of the tokens that more than one document has in its base prefix."""
+    full = table.where("n_shingles > 0")
+    base = F.expr(f"cast(n_shingles - ceil(n_shingles * {t} / 100) + 1 as int)")
+    flat = full.select(F.explode(F.slice("tokens", F.lit(1), base)).alias("token"))
+    shared = materialize(flat.groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
+    words = table.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("token")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            lengths = np.array([_base(n, t) for n in batch.column("n").to_pylist()], dtype=np.int64)
+            ends = np.asarray(tokens.offsets)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            values = tokens.values.to_numpy()[ends[row] + at]
+            keep = in_bitmap(words.value, values.view(np.uint64))
+            take = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(at[keep].astype(np.int32)), batch.column("set_id").take(take), batch.column("n").take(take)], names=["token", "at", "set_id", "n"])
+
+    picked = full.select("set_id", F.col("n_shingles").alias("n"), "tokens").mapInArrow(run, "token long, at int, set_id long, n long")
+    copies = full.groupBy("set_id").agg(F.count("*").alias("copies"))
+    return materialize(picked.distinct().join(shared, "token", "left_semi").join(copies, "set_id"), "postings")
+
+
+def set_components(docs: DataFrame, table: DataFrame, size: int, t: int) -> DataFrame:
+    """(set_id, component) of the distinct sets that link with any other."""
+    postings = _postings(table, t)
+
+    def close(n: Column, at: Column, m: Column, other: Column) -> Column:
+        """The sizes allow a link, and the common token is in both prefixes for this pair."""
+        return (100 * F.least(n, m) >= t * F.greatest(n, m)) & (at <= n - _least(n, m, t)) & (other <= m - _least(n, m, t))
 
-def linked_sets(docs: DataFrame, table: DataFrame, size: int, t: int) -> DataFrame:
-    """Links(a, b) between distinct sets that give the same components as all linking pairs."""
-    postings = _postings(table)
     # 1. one hub for each set: among the candidates at hand the one with most copies
-    hubs = postings.groupBy("token").agg(F.max(F.struct("copies", F.struct(-F.col("matches")), "set_id", "n")).alias("hub"))
-    fits = lambda n, m: 100 * F.least(n, m) >= t * F.greatest(n, m)
+    hubs = postings.groupBy("token").agg(F.max(F.struct("copies", -F.col("at"), "set_id", "n", "at")).alias("hub"))
     star = (
         postings.join(hubs, "token")
-        .where((F.col("hub.set_id") != F.col("set_id")) & fits(F.col("n"), F.col("hub.n")))
+        .where((F.col("hub.set_id") != F.col("set_id")) & close(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
         .groupBy(F.col("set_id").alias("a"), F.col("hub.set_id").alias("b"))
         .agg(F.count("*").alias("common"), F.max("hub.copies").alias("copies"))
         .groupBy("a")
         .agg(F.max_by("b", F.struct("copies", "common", "b")).alias("b"))
     )
-    first = materialize(_verified(materialize(star, "stars"), docs, size, t), "links")
-    # 2. every pair of sets in different components with enough common prefix shingles
-    label = connected_components(first)
-    tagged = postings.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    rest = materialize(tagged.join(mixed, "token", "left_semi"), "open-postings")
-    x, y = rest.alias("x"), rest.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * t / (100 + t))
-    reach = F.least("x.matches", "y.matches") - need
+    first = materialize(_verified(_plausible(materialize(star, "stars"), table, t), docs, size, t), "links")
+    # 2. every pair of sets in different components that share a base prefix token and, in their
+    # longer prefixes, as many tokens as they demand. Of a token's sets, those in its largest
+    # component are never paired with each other.
+    label = materialize(connected_components(first).withColumnRenamed("node", "set_id"), "components")
+    tagged = postings.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    per = tagged.groupBy("token", "component").agg(F.count("*").alias("k"))
+    major = per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    rows = materialize(tagged.join(major, "token").select("token", "at", "set_id", "n", "component", "major"), "open-postings")
+    x, y = rows.where("component <> major").alias("x"), rows.alias("y")
     pairs = (
         x.join(
             y,
             (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.component") < F.col("y.component"))
-            & fits(F.col("x.n"), F.col("y.n"))
-            & (F.col("x.at") < F.col("x.n") + reach)
-            & (F.col("y.at") < F.col("y.n") + reach),
+            & (F.col("x.component") != F.col("y.component"))
+            & ((F.col("y.component") == F.col("y.major")) | (F.col("x.component") < F.col("y.component")))
+            & close(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")),
         )
-        .groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.least("x.matches", "y.matches").alias("least"))
-        .agg(F.count("*").alias("common"))
-        .where("common >= least")
-        .select("a", "b")
+        .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
+        .distinct()
     )
-    second = _verified(materialize(pairs, "pairs"), docs, size, t)
-    return first.union(second)
+    second = materialize(_verified(_plausible(materialize(pairs, "pairs"), table, t), docs, size, t), "links")
+    if second.isEmpty():
+        return label
+    # the late links connect components of the early ones
+    known = second
+    for end in ("a", "b"):
+        named = label.select(F.col("set_id").alias(end), F.col("component").alias(f"of_{end}"))
+        known = known.join(named, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    above = connected_components(known.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    every = label.union(known.select("a", "of_a")).union(known.select("b", "of_b")).distinct()
+    return every.join(above, "component", "left").select("set_id", F.coalesce("top", "component").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -211,11 +274,29 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, sketch
     none. Other columns are ignored; an empty table gives no rows. Set ids are 64-bit hashes.
     """
     table = shingle_table(docs, size, percent, sketch_bits)
-    links = materialize(linked_sets(docs, table, size, percent), "links")
-    label = connected_components(links)
+    label = set_components(docs, table, size, percent)
     sets = table.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    merged = sets.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    merged = sets.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     heads = merged.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = materialize(merged.join(heads, "component").select("set_id", "component_id"), "components")
     full = table.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id").join(ids, "set_id").select("doc_id", "n_shingles", "component_id")
     return full.union(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but one document stays of each component.
+
+    That is the one of smallest doc_id; rows with a null doc_id stay. A 2 MB bitmap lets most
+    documents pass without a shuffle; only those that it cannot clear are joined with the list.
+    """
+    parts = jaccard_components(docs, size, percent, sketch_bits)
+    dropped = materialize(parts.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(dropped, F.col("doc_id")))
+
+    @F.pandas_udf("boolean")
+    def suspect(ids: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(words.value, ids.fillna(-1).to_numpy(dtype=np.int64).view(np.uint64)))
+
+    named = docs.withColumn("_suspect", suspect(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull())
+    kept = named.where("not _suspect").drop("_suspect")
+    return kept.unionByName(named.where("_suspect").drop("_suspect").join(dropped.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti"))
