@@ -286,11 +286,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, sketch
 def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """The rows of ``docs``, with all their columns, but one document stays of each component.
 
-    That is the one of smallest doc_id; rows with a null doc_id stay. A 2 MB bitmap lets most
-    documents pass without a shuffle; only those that it cannot clear are joined with the list.
+    That is the one of smallest doc_id. Rows with a null doc_id stay; rows that repeat a doc_id go
+    only if all of them would. A 2 MB bitmap lets most documents pass without a shuffle; only those
+    that it cannot clear are joined with the list.
     """
     parts = jaccard_components(docs, size, percent, sketch_bits)
-    dropped = materialize(parts.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    gone = parts.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    dropped = materialize(gone.where("not stays").select("doc_id"), "dropped")
     words = docs.sparkSession.sparkContext.broadcast(bitmap(dropped, F.col("doc_id")))
 
     @F.pandas_udf("boolean")
