@@ -25,7 +25,7 @@ MOST_COPIES = 3
 #: Parts that a source's documents are dealt into for running counts; no task ranks a whole source.
 PARTS = 64
 #: Documents of each size class of a source that may settle the rest of the rounding.
-SPARE = 4
+SPARE = 6
 _NEWTON_STEPS, _CLOSE = 40, 1e-9
 
 
@@ -116,22 +116,23 @@ def rounded_copies(sizes: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def settled(copies: DataFrame) -> DataFrame:
-    """``copies`` with a few documents of each source changed by one, so that sums come near targets.
+    """``copies`` with a few documents of each source changed, so that sums come near targets.
 
     From every size class of a source, the SPARE documents of least hash that may gain a copy and
-    as many that may lose one are lined up by size, largest first; one pass over this bounded list
+    or that may lose one are lined up by size, largest first; one pass over this bounded list
     takes each change that is no larger than what is still missing.
     """
     sums = copies.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("goal"))
     gap = F.col("goal") - F.col("taken")
     named = sums.select(F.col("source").alias("s"), gap.alias("gap"))
     able = copies.where("size > 0").join(F.broadcast(named) if _few(named) else named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    change = F.when((F.col("gap") > 0) & (F.col("copies") < MOST_COPIES), 1).when((F.col("gap") < 0) & (F.col("copies") > 0), -1)
-    able = able.withColumn("change", change).where("change is not null and size <= abs(gap)")
+    change = F.when(F.col("gap") > 0, 1).when(F.col("gap") < 0, -1)
+    room = F.when(F.col("gap") > 0, MOST_COPIES - F.col("copies")).otherwise(F.col("copies"))
+    able = able.withColumn("change", change).withColumn("room", room.cast("int")).where("change is not null and room > 0 and size <= abs(gap)")
     nth = F.row_number().over(W.partitionBy("source", "class").orderBy("h", F.col("doc_id").asc_nulls_last()))
-    picked = able.withColumn("nth", nth).where(F.col("nth") <= SPARE)
-    lists = picked.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "h", "doc_id", "change")))).alias("spare"), F.first("gap").alias("gap"))
-    # at most SPARE documents of each of some 40 size classes
+    picked = able.withColumn("nth", nth).where(F.col("nth") <= SPARE).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("room"))))
+    lists = picked.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "h", "doc_id", "change", "turn")))).alias("spare"), F.first("gap").alias("gap"))
+    # at most SPARE documents of each of some 40 size classes, each once for every copy it may gain or lose
     none = F.array().cast("array<struct<doc_id:bigint,h:bigint,change:int>>")
     chosen = F.aggregate(
         "spare",
@@ -145,7 +146,7 @@ def settled(copies: DataFrame) -> DataFrame:
         ).otherwise(acc),
         lambda acc: acc["done"],
     )
-    changes = lists.select(F.col("source").alias("s"), F.explode(chosen).alias("c")).groupBy("s", F.col("c.doc_id").alias("d")).agg(F.sum("c.change").alias("change"), F.count("*").alias("n"))
+    changes = lists.select(F.col("source").alias("s"), F.explode(chosen).alias("c")).groupBy("s", F.col("c.doc_id").alias("d")).agg(F.sum("c.change").alias("change"), F.count_distinct("c.h").alias("n"))
     # of rows that repeat a doc_id only the first changes
     nth = F.row_number().over(W.partitionBy("source", "doc_id").orderBy("size", "copies"))
     joined = copies.withColumn("nth", nth).join(changes, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
