@@ -20,7 +20,7 @@ HEX = r"[0-9a-f]{24,}"
 VALUE = 6
 #: Tokens that the models judge, and tokens that train them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z+/_=-]{8,}|[0-9]{8,})(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "model")
 #: Documents, chosen by a hash of doc_id, whose tokens train the models at most.
 SAMPLE_DOCS = 20_000
