@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, conditions, keys
 from ..operators import exclusion, images, metrics, near_duplicates, probe, resampling, sampling, scoreboard
+from . import audit, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -262,6 +263,34 @@ def paired_bootstrap_ci(spark, sf):
     return _rounded(resampling.paired_difference_ci(rows, ["condition"], "score", "other", replicates=200, seed=3))
 
 
+@_query(_SCORED + ", s AS (SELECT *, split_part(condition, '_', 1) AS family, CASE WHEN condition = 'clean' THEN 'none' ELSE regexp_extract(condition, '^[^_]*_(.*)$', 1) END AS severity, CASE WHEN condition = 'clean' THEN 'clean' ELSE 'individual_transform' END AS kind FROM scored) SELECT family, severity, kind, count(*) AS n FROM s GROUP BY 1, 2, 3")
+def condition_parts(spark, sf):
+    c = F.col("condition")
+    return scored(spark, sf).groupBy(conditions.family(c).alias("family"), conditions.severity(c).alias("severity"), conditions.kind(c).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).select(F.lit("events").alias("dataset"), "condition", "image_id", "label", F.col("score").alias("prob"), F.log(F.col("score") / (1.0 - F.col("score"))).alias("margin"))
+
+
+@_query()
+def score_audit(spark, sf):
+    return _rounded(audit.score_audit(_audited(spark, sf), T, ["condition"], replicates=100))
+
+
+@_query()
+def stress_audit(spark, sf):
+    return _rounded(audit.stress_audit(_audited(spark, sf), T, replicates=50)[1])
+
+
+@_query(_MATRIX + f""", weak AS (SELECT condition FROM auc_condition WHERE condition <> 'clean' ORDER BY auc, condition LIMIT 1),
+  e AS (SELECT *, CASE WHEN label = 0 AND score >= {T} THEN 'false_positive' WHEN label = 1 AND score < {T} THEN 'false_negative' END AS error_type FROM scored WHERE condition IN (SELECT condition FROM weak))
+  SELECT image_id, error_type, CAST(row_number() OVER w AS INT) AS rank FROM e WHERE error_type IS NOT NULL
+  WINDOW w AS (PARTITION BY error_type ORDER BY CASE WHEN error_type = 'false_positive' THEN -score ELSE score END, image_id) QUALIFY row_number() OVER w <= 10""")
+def weakest_condition_errors(spark, sf):
+    return audit.robustness_report(_audited(spark, sf), T)["errors"].select("image_id", "error_type", "rank")
+
+
 # documents as items with provenance ---------------------------------------------------------------
 
 
@@ -383,6 +412,36 @@ def misaligned_views(spark, sf):
     return exclusion.misaligned(a, b, "doc_id", "quality").select("doc_id")
 
 
+@_query("SELECT l.doc_id, coalesce(d.source, 'unspecified') AS source, l.quality FROM labels l JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE source END AS source FROM documents) d ON l.doc_id = d.doc_id")
+def attach_source(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", F.expr("case when doc_id % 4 = 0 then ' ' else source end").alias("source"))
+    return exclusion.attach_source(_read(spark, sf, "labels").select("doc_id", "quality"), d, "doc_id").select("doc_id", "source", "quality")
+
+
+@_query(
+    """WITH p AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 0 ELSE doc_id END AS image_id, CASE WHEN doc_id % 31 = 0 THEN 2 ELSE quality END AS label,
+    CASE WHEN quality = 1 AND doc_id % 3 <> 0 THEN 'FAKE' ELSE 'REAL' END AS class_name, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'x' END AS source_id FROM labels)
+  SELECT image_id, 'label' AS problem FROM p WHERE label NOT IN (0, 1) UNION ALL
+  SELECT image_id, 'class_name' FROM p WHERE label IN (0, 1) AND class_name <> CASE label WHEN 1 THEN 'FAKE' ELSE 'REAL' END UNION ALL
+  SELECT image_id, 'source_id' FROM p WHERE source_id = '' UNION ALL SELECT image_id, 'repeated' FROM p GROUP BY 1 HAVING count(*) > 1"""
+)
+def provenance_violations(spark, sf):
+    p = _read(spark, sf, "labels").selectExpr(
+        "case when doc_id % 50 = 0 then 0 else doc_id end as image_id",
+        "case when doc_id % 31 = 0 then 2 else quality end as label",
+        "case when quality = 1 and doc_id % 3 <> 0 then 'FAKE' else 'REAL' end as class_name",
+        "case when doc_id % 7 = 0 then '' else 'x' end as source_id",
+    )
+    return exclusion.provenance_violations(p)
+
+
+@_query()
+def training_set(spark, sf):
+    """Frozen items out, groups balanced, repeats out, roles by rank."""
+    rows = items(spark, sf)
+    return training.build_training_set(rows, rows.where("image_id % 10 = 0"), 40, 10, 7, strict=False).select("image_id", "label", "source", "selection_rank", "role")
+
+
 @_query(_ITEMS + " SELECT source, count(*) FILTER (WHERE label = 0) AS n_real, count(*) FILTER (WHERE label = 1) AS n_fake FROM items GROUP BY 1")
 def source_label_counts(spark, sf):
     return metrics.source_label_counts(items(spark, sf))
@@ -504,6 +563,22 @@ def shift_diagnosis(spark, sf):
     return _rounded(probe.shift_diagnosis(rows, probe.standardize_fit(rows), ["source"]), 5)
 
 
+@_query()
+def leave_pair_out(spark, sf):
+    rows = features(spark, sf)
+    return _rounded(metrics.roc_auc(probe.leave_pair_out(rows, ["g0", "g1"], ["g5", "g6"]), ["pair"]), 4)
+
+
+@_query()
+def promoted_probe(spark, sf):
+    """Balanced fit, threshold on a disjoint set, gates on a third: one row for each dataset."""
+    rows = features(spark, sf)
+    fit = rows.where("image_id % 3 = 0").withColumn("domain", F.concat(F.lit("d"), F.col("image_id") % 2)).withColumn("view", F.lit("clean"))
+    held = rows.where("image_id % 3 = 2").withColumn("dataset", F.concat(F.lit("d"), F.col("image_id") % 2))
+    least = spark.createDataFrame([("d0", 0.5), ("d1", 0.5)], "dataset string, min_auc double")
+    return _rounded(training.train_and_promote(fit, rows.where("image_id % 3 = 1"), held, least, 7)[1], 3)
+
+
 @_query()
 def metadata_baseline(spark, sf):
     d = _read(spark, sf, "documents").join(_read(spark, sf, "labels"), "doc_id")
