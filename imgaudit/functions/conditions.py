@@ -41,6 +41,11 @@ def condition_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"condition string, family string, severity string, kind string, steps {steps}")
 
 
+def representative_conditions(spark: SparkSession) -> DataFrame:
+    """One severity of each family."""
+    return condition_table(spark).where(F.col("condition").isin(REPRESENTATIVE))
+
+
 def family(condition: Column) -> Column:
     return F.substring_index(condition, "_", 1)
 

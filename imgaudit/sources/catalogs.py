@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import path_id
+from ..functions.keys import path_id, seed_hex
 
 MANIFEST = T.StructType([T.StructField(n, T.StringType()) for n in ("image_id", "relative_path", "source_split", "role")] + [T.StructField("label", T.IntegerType()), T.StructField("class_name", T.StringType())])
 PAGE = "num_rows_total long, rows array<struct<row_idx:long,row:struct<label:int,img_id:string,image:struct<src:string>>>>"
@@ -70,6 +70,17 @@ def decoded_pixels(good: DataFrame) -> DataFrame:
     return good.select("image_id", "image_path", F.col("image.height").alias("height"), F.col("image.width").alias("width"), rgb("image.data", "image.nChannels").alias("pixels"))
 
 
+def validate_decode_sample(manifest: DataFrame, root: str, n: int, seed: int) -> None:
+    """Decode a seeded sample of the manifest's images; an error names those that cannot be read."""
+    sample = manifest.select("relative_path").orderBy(seed_hex(seed, F.col("relative_path")), "relative_path").limit(n)
+    paths = [f"{root.rstrip('/')}/{r[0]}" for r in sample.collect()]  # n paths
+    if paths:
+        images = manifest.sparkSession.read.format("image").option("dropInvalid", False).load(paths)
+        bad = [r[0] for r in images.where("image.height <= 0").select("image.origin").limit(3).collect()]
+        if bad:
+            raise ValueError(f"images cannot be decoded, such as {bad}")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Typed CSV manifest; an empty one is an error."""
     rows = spark.read.schema(MANIFEST).option("header", True).csv(path)

@@ -111,6 +111,14 @@ def test_catalogs(spark, tmp_path):
     assert good.count() == 1 and bad.first()["image_path"].endswith("broken.webp")
     pixels = catalogs.decoded_pixels(good).first()
     assert bytes(pixels["pixels"][:3]) == bytes([52, 10, 20])
+    labeled = catalogs.catalog_labeled_images(spark, str(tmp_path), "train")
+    catalogs.validate_decode_sample(labeled, str(tmp_path), 2, 7)
+    catalogs.write_manifest(labeled, str(tmp_path / "manifest"))
+    assert catalogs.read_manifest(spark, str(tmp_path / "manifest")).count() == 2
+    broken = spark.createDataFrame([("other/broken.webp",)], "relative_path string")
+    with pytest.raises(ValueError):
+        catalogs.validate_decode_sample(broken, str(tmp_path), 2, 7)
+    assert conditions.representative_conditions(spark).count() == 6
     assert catalogs.catalog_challenge_images(spark, [str(tmp_path)]).count() == 2
 
 
