@@ -297,6 +297,39 @@ def test_template_is_induced_from_the_host(spark):
         assert "Read us" not in r["text"] and "one" not in r["text"] and r["text"].endswith(f" {r['page_id']}")
 
 
+def test_repeated_pages_are_no_template(spark):
+    page = lambda text, k="": f"<div class='x'><p>Read us daily{k}</p></div><article><p>{text}</p></article>"
+    made = [(k, "http://copies/", page("one article")) for k in range(9)]
+    made += [(20 + k, "http://fixed/", page("another one", k)) for k in range(9)]
+    out = {r["page_id"]: r["text"] for r in html_extract.page_texts(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert set(out.values()) == {"one article", "another one"} and out[3] == "one article" and out[23] == "another one"
+
+
+def test_deep_pages(spark):
+    made = [(k, "http://deep/", "<div>" * 3000 + f"<p>text {k}" + "</div>" * 3000 + "<p>tail") for k in range(7)]
+    out = html_extract.page_texts(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {k: f"text {k}" for k in range(7)}
+
+
+def test_tree_matching_against_brute_force():
+    def tree(depth):
+        return "".join(f"<div class={RNG.choice('pqrs') * 3}>{tree(depth - 1) if depth else 'x'}</div>" for _ in range(RNG.randint(0, 4)))
+
+    def best(a, b):
+        def rows(xs, ys):
+            if not xs or not ys:
+                return 0
+            own = best(xs[-1], ys[-1]) if xs[-1].label == ys[-1].label else 0
+            return max(rows(xs[:-1], ys), rows(xs, ys[:-1]), rows(xs[:-1], ys[:-1]) + own)
+
+        return 1 + rows(list(a.kids.values()), list(b.kids.values()))
+
+    for _ in range(60):
+        a, b = html_extract.Page(tree(3)), html_extract.Page(tree(3))
+        found = html_extract.tree_matching(a.nodes[0], b.nodes[0])
+        assert len(found) == best(a.nodes[0], b.nodes[0]) and all(a.nodes[i].label == b.nodes[j].label for j, i in found.items())
+
+
 @pytest.mark.parametrize("pass_bytes", [1 << 20, 200])
 def test_contamination(spark, docs, nothing, pass_bytes):
     items = [(1, PASSAGE), (2, BASE), (3, "a B"), (4, None), (5, ""), (None, "a"), (1, PASSAGE), (10, prose(40)), (7, "word word")]
