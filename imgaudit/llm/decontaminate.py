@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import free_name, materialize
 from .words import ALNUM, batch_words, text_bytes, words_of
 
 #: Entries of a shift table.
@@ -142,9 +142,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shar
     """The rows of ``docs``, with all their columns, that are not contaminated (see contamination)."""
     passes = _passes(benchmark, pass_bytes)
     if len(passes) > 1:
-        named = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        marked = contamination(named.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, share, pass_bytes)
-        return named.join(marked.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(docs.columns)
+        row = free_name(docs, "_row")
+        named = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        marked = contamination(named.select(F.col(row).alias("doc_id"), "text"), benchmark, window, share, pass_bytes)
+        return named.join(marked.where("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
     patterns = docs.sparkSession.sparkContext.broadcast(PatternSet(passes[0], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

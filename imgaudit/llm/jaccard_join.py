@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import bitmap, in_bitmap, materialize
+from .store import bitmap, free_name, in_bitmap, materialize
 from .words import SPACED, batch_words, grams, text_bytes
 
 #: Buckets of the sketch of document frequencies: 2**22 counters, 16 MB. Raise it with the corpus,
@@ -299,6 +299,7 @@ def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits:
     def suspect(ids: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(words.value, ids.fillna(-1).to_numpy(dtype=np.int64).view(np.uint64)))
 
-    named = docs.withColumn("_suspect", suspect(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull())
-    kept = named.where("not _suspect").drop("_suspect")
-    return kept.unionByName(named.where("_suspect").drop("_suspect").join(dropped.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti"))
+    mark, gone_id = free_name(docs, "_suspect"), free_name(docs, "_gone")
+    named = docs.withColumn(mark, suspect(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull())
+    kept = named.where(~F.col(mark)).drop(mark)
+    return kept.unionByName(named.where(F.col(mark)).drop(mark).join(dropped.withColumnRenamed("doc_id", gone_id), F.col("doc_id") == F.col(gone_id), "left_anti"))

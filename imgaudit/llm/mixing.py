@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import free_name, materialize
 
 #: Words of a text.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -174,6 +174,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0)) -> DataFr
     Rows that repeat a doc_id all take the copies of its first row; rows with a null doc_id share
     one number in the same way.
     """
-    counts = mix(docs, weights).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    key, copies, turn = (free_name(docs, c) for c in ("_id", "_copies", "_copy"))
+    counts = mix(docs, weights).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies))
+    taken = docs.join(counts, F.col("doc_id").eqNullSafe(F.col(key))).where(F.col(copies) > 0)
+    return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)

@@ -34,6 +34,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def bitmap(df: DataFrame, key: Column, bits: int = BITMAP_BITS) -> np.ndarray:
     """Bitmap of the low ``bits`` bits of a long key over all rows, as uint64 words.
 

@@ -5,9 +5,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from imgaudit.llm import queries
+from imgaudit.llm import decontaminate, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
@@ -43,6 +44,32 @@ def test_empty_documents(spark):
     assert docs.count() == 0
 
 
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls anywhere, an empty and a very long text, repeated rows, and columns named as the stages' own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long_text = " ".join(f"w{k % 977}x{k}" for k in range(60_000))
+    odd = [(None, "one two three four five six", None, None, None), (900_001, None, None, None, None), (900_002, "", "en", None, 0), (900_003, long_text, None, "src0", None)]
+    full = docs.union(spark.createDataFrame(odd + odd[-1:], docs.schema))
+    extra = ["_suspect", "_gone", "_id", "_copies", "_copy", "_row", "size", "copies", "source_size", "component_id", "set_id", "n_words"]
+    full = full.select("*", *[F.lit(k).alias(c) for k, c in enumerate(extra)])
+    kept, old = full, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = kept
+        kept = corpus_pipeline.materialize(stage(spark, kept, SF), name)
+        assert kept.columns == full.columns
+        assert kept.select(*extra).distinct().collect() == [tuple(range(len(extra)))]
+        assert kept.exceptAll(before).count() == 0 or name == "source_mixing"
+        if name == "ngram_jaccard_join":
+            assert kept.where("doc_id is null").count() == before.where("doc_id is null").count()
+            assert kept.where("doc_id = 900003").count() == before.where("doc_id = 900003").count()
+    assert 0 < kept.select("doc_id").distinct().count() < old
+    placed = corpus_pipeline.place_in_shards(spark, kept, SF)
+    assert placed.columns == [*full.columns, "slot", "shard"] and placed.count() == kept.count()
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    one, many = (decontaminate.decontaminated(full, items, pass_bytes=b) for b in (decontaminate.PASS_BYTES, 3_000))
+    assert one.exceptAll(many).count() == many.exceptAll(one).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
