@@ -305,6 +305,24 @@ def test_repeated_pages_are_no_template(spark):
     assert set(out.values()) == {"one article", "another one"} and out[3] == "one article" and out[23] == "another one"
 
 
+def test_content_elements(spark):
+    long_, card = prose(60), prose(6)
+    one = [
+        (f"<main><div><p>{long_}</p></div><article><p>{card}</p></article></main>", f"{long_} {card}"),
+        (f"<main><p>{long_}</p></main><div><article><p>{card}</p></article></div>", long_),
+        (f"<main><article><p>{long_}</p></article><article><p>{card}</p></article></main>", f"{long_} {card}"),
+        (f"<section><article>{card}</article></section><section><article>{long_}</article></section>", f"{card} {long_}"),
+        (f"<main><article><p>{long_}</p></article><div>{card}</div></main>", long_),
+        (f"<main></main><article><p>{card}</p></article>", card),
+    ]
+    made = [(k, f"http://one{k}/", h) for k, (h, _) in enumerate(one)]
+    links = lambda k: f"<ul><li><a href=1>first {k}</a></li><li><a href=2>second {k}</a></li></ul>" if k else "<ul><li>plain item</li></ul>"
+    made += [(100 + k, "http://lists/", f"<div><ul><li><a href=3>menu {k}</a></li></ul></div><article><p>{card} {k}</p>{links(k)}</article>") for k in range(9)]
+    out = {r["page_id"]: r["text"] for r in html_extract.page_texts(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert [out[k] for k in range(len(one))] == [html.unescape(t) for _, t in one]
+    assert out[100] == f"{card} 0 plain item" and all(out[100 + k] == f"{card} {k} first {k} second {k}" for k in range(1, 9))
+
+
 def test_deep_pages(spark):
     made = [(k, "http://deep/", "<div>" * 3000 + f"<p>text {k}" + "</div>" * 3000 + "<p>tail") for k in range(7)]
     out = html_extract.page_texts(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
