@@ -323,6 +323,16 @@ def test_content_elements(spark):
     assert out[100] == f"{card} 0 plain item" and all(out[100 + k] == f"{card} {k} first {k} second {k}" for k in range(1, 9))
 
 
+@pytest.mark.parametrize("broadcast", [html_extract.BROADCAST_BYTES, 0])
+def test_no_page_decides_the_template(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", broadcast)
+    body = lambda k: f"<p>We use cookies</p><p>{'story ' * k}{k}</p><div>Imprint</div><div>more {k}</div>"
+    made = [(h + k, f"http://host{h}/", body(k)) for h in (100, 200, 300) for k in range(1, 11)]
+    made += [(0, "http://host100/", None), (1, "http://host200/", ""), (2, "http://host300/", "<section>home</section><p>odd</p>")]
+    out = {r["page_id"]: r["text"] for r in html_extract.page_texts(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert out == {0: "", 1: "", 2: "home odd"} | {h + k: f"{'story ' * k}{k} more {k}" for h in (100, 200, 300) for k in range(1, 11)}
+
+
 def test_deep_pages(spark):
     made = [(k, "http://deep/", "<div>" * 3000 + f"<p>text {k}" + "</div>" * 3000 + "<p>tail") for k in range(7)]
     out = html_extract.page_texts(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
