@@ -24,17 +24,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 #: Parts that a source's documents are dealt into for running counts; no task ranks a whole source.
 PARTS = 64
+#: Equal rows of one source beyond this number get parts of their own, dealt by row key.
+MANY_EQUAL = 10_000
 #: Documents of each size class of a source that may settle the rest of the rounding.
 SPARE = 6
 _NEWTON_STEPS, _CLOSE = 40, 1e-9
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text; 0 if null)."""
+def word_sizes(docs: DataFrame, marks: Sequence[str] = ("doc_id", "source", "text"), row: str | None = None) -> DataFrame:
+    """doc_id, source, size (words of the text; 0 if null), mark (hash of the columns ``marks``) and row (its key)."""
     spaced = F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\f\r", "     ")
     # a word starts at a character that is no space and follows a space or the beginning
     starts = F.regexp_count(spaced, F.lit(r"(?<![^ ])[^ ]"))
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), starts.cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), starts.cast("long").alias("size"), F.xxhash64(*marks).alias("mark"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0)) -> DataFrame:
@@ -92,27 +94,36 @@ def _noise(key: Column) -> Column:
 
 
 def rounded_copies(sizes: DataFrame, rates: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies.
+    """row, doc_id, source, size, source_size, target, class, h, copies of every row of ``sizes``.
 
-    The rate's fraction is dealt along the documents of a source in order of size class and hash:
-    a document gets the extra copy when the running fraction passes a whole number. Running counts
-    are taken in PARTS parts for each class, so no task holds a class of a hot source.
+    The rate's fraction is dealt along the rows of a source in order of size class and hash: a row
+    gets the extra copy when the running fraction passes a whole number. Running counts are taken
+    in PARTS parts for each class, and rows that are equal in all that counts are dealt by row key
+    where there are many, so no task holds a class of a hot source or all rows without an id.
+    Which of equal rows gets the copy is of no account.
     """
     few = _few(rates)
     named = rates.withColumnRenamed("source", "s")
     rated = sizes.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rated = rated.withColumn("class", F.length(F.bin("size"))).withColumn("h", _noise(F.col("doc_id"))).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    rated = rated.withColumn("class", F.length(F.bin("size"))).withColumn("h", _noise(F.col("mark")))
     rated = rated.withColumn("whole", F.floor("rate")).withColumn("fraction", F.col("rate") - F.floor("rate"))
-    keys = ["source", "class", "part"]
+    equal = materialize(sizes.groupBy(_noise(F.col("mark")).alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > MANY_EQUAL).select(F.col("h").alias("many")), "many-equal")
+    rated = rated.join(F.broadcast(equal) if _few(equal) else equal, F.col("h") == F.col("many"), "left")
+    hot = F.col("many").isNotNull()
+    rated = rated.withColumn("hot", hot).withColumn("part", F.when(hot, F.col("h")).otherwise(F.pmod("h", F.lit(PARTS)))).withColumn("deal", F.when(hot, F.pmod("row", F.lit(PARTS))).otherwise(0))
+    keys = ["source", "class", "hot", "part", "deal"]
     per_part = rated.groupBy(*keys).agg(F.count("*").alias("in_part"))
-    ahead = W.partitionBy("source", "class").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy("source", "class").orderBy("hot", "part", "deal").rowsBetween(W.unboundedPreceding, -1)
     starts = per_part.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("in_part").over(ahead), F.lit(0)).alias("before"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("size", "h", F.col("doc_id").asc_nulls_last()))
-    placed = rated.withColumn("rank", rank).join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")) & (F.col("part") == F.col("_part")))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("size", "h", F.col("doc_id").asc_nulls_last(), "row"))
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    for k in keys[1:]:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    placed = rated.withColumn("rank", rank).join(starts, same)
     place = F.col("before") + F.col("rank")
     phase = F.pmod(_noise(F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("class").cast("string"))), F.lit(1000)) / 1000.0
     extra = F.floor(place * F.col("fraction") + phase) - F.floor((place - 1) * F.col("fraction") + phase)
-    return placed.select("doc_id", "source", "size", "source_size", "target", "class", "h", (F.col("whole") + extra).alias("copies"))
+    return placed.select("row", "doc_id", "source", "size", "source_size", "target", "class", "h", (F.col("whole") + extra).alias("copies"))
 
 
 def settled(copies: DataFrame) -> DataFrame:
@@ -129,11 +140,11 @@ def settled(copies: DataFrame) -> DataFrame:
     change = F.when(F.col("gap") > 0, 1).when(F.col("gap") < 0, -1)
     room = F.when(F.col("gap") > 0, MOST_COPIES - F.col("copies")).otherwise(F.col("copies"))
     able = able.withColumn("change", change).withColumn("room", room.cast("int")).where("change is not null and room > 0 and size <= abs(gap)")
-    nth = F.row_number().over(W.partitionBy("source", "class").orderBy("h", F.col("doc_id").asc_nulls_last()))
+    nth = F.row_number().over(W.partitionBy("source", "class").orderBy("h", F.col("doc_id").asc_nulls_last(), "copies", "row"))
     picked = able.withColumn("nth", nth).where(F.col("nth") <= SPARE).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("room"))))
-    lists = picked.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "h", "doc_id", "change", "turn")))).alias("spare"), F.first("gap").alias("gap"))
+    lists = picked.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "h", "doc_id", "copies", "row", "change", "turn")))).alias("spare"), F.first("gap").alias("gap"))
     # at most SPARE documents of each of some 40 size classes, each once for every copy it may gain or lose
-    none = F.array().cast("array<struct<doc_id:bigint,h:bigint,change:int>>")
+    none = F.array().cast("array<struct<row:bigint,change:int>>")
     chosen = F.aggregate(
         "spare",
         F.struct(F.col("gap").alias("left"), none.alias("done")),
@@ -141,17 +152,15 @@ def settled(copies: DataFrame) -> DataFrame:
             x["size"] <= F.abs(acc["left"]),
             F.struct(
                 (acc["left"] - x["size"] * x["change"]).alias("left"),
-                F.concat(acc["done"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["h"].alias("h"), x["change"].cast("int").alias("change")))).alias("done"),
+                F.concat(acc["done"], F.array(F.struct(x["row"].alias("row"), x["change"].cast("int").alias("change")))).alias("done"),
             ),
         ).otherwise(acc),
         lambda acc: acc["done"],
     )
-    changes = lists.select(F.col("source").alias("s"), F.explode(chosen).alias("c")).groupBy("s", F.col("c.doc_id").alias("d")).agg(F.sum("c.change").alias("change"), F.count_distinct("c.h").alias("n"))
-    # of rows that repeat a doc_id only the first changes
-    nth = F.row_number().over(W.partitionBy("source", "doc_id").orderBy("size", "copies"))
-    joined = copies.withColumn("nth", nth).join(changes, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    final = F.col("copies") + F.when((F.col("nth") == 1) & (F.col("n") == 1), F.col("change")).otherwise(0)
-    return joined.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(MOST_COPIES), final)).cast("long")).drop("s", "d", "change", "n", "nth")
+    changes = lists.select(F.explode(chosen).alias("c")).groupBy(F.col("c.row").alias("r")).agg(F.sum("c.change").alias("change"))
+    joined = copies.join(changes, F.col("row") == F.col("r"), "left")
+    final = F.col("copies") + F.coalesce("change", F.lit(0))
+    return joined.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(MOST_COPIES), final)).cast("long")).drop("r", "change")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0)) -> DataFrame:
@@ -161,20 +170,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0)) -> DataFram
     or null doc_ids are rounded row by row; other columns are ignored; an empty table gives no
     rows. Nothing is random: equal tables give equal mixes.
     """
-    sizes = materialize(word_sizes(docs), "word-sizes")
+    return _counted(word_sizes(docs), weights).select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+
+
+def _counted(sized: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """The copies of every row of ``sized``, with its row key."""
+    sizes = materialize(sized, "word-sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = balance_rates(sizes, source_targets(sources, weights))
-    done = settled(materialize(rounded_copies(sizes, rates), "copies"))
-    return done.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    return settled(materialize(rounded_copies(sizes, rates), "copies"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """The rows of ``docs``, with all their columns, each as often as the mix takes its document.
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it.
 
-    Rows that repeat a doc_id all take the copies of its first row; rows with a null doc_id share
-    one number in the same way.
+    Rows are written once with a key of their own; doc_ids may be null or repeated.
     """
-    key, copies, turn = (free_name(docs, c) for c in ("_id", "_copies", "_copy"))
-    counts = mix(docs, weights).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies))
-    taken = docs.join(counts, F.col("doc_id").eqNullSafe(F.col(key))).where(F.col(copies) > 0)
+    row, key, copies, turn = (free_name(docs, c) for c in ("_row", "_id", "_copies", "_copy"))
+    named = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    marks = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    counts = _counted(word_sizes(named, marks, row), weights).where("copies > 0").select(F.col("row").alias(key), F.col("copies").alias(copies))
+    taken = named.join(counts, F.col(row) == F.col(key))
     return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)

@@ -422,6 +422,26 @@ def test_mixing(docs, nothing):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("many", [mixing.MANY_EQUAL, 20])
+def test_mixing_counts_rows_not_ids(spark, monkeypatch, many):
+    """Null ids, ids repeated in a source and across sources, and equal rows: the mix still meets its targets."""
+    monkeypatch.setattr(mixing, "MANY_EQUAL", many)
+    made = [(None if k % 3 == 0 else k % 7, " ".join(["w"] * (1 + k % 5)), f"s{min(k % 4, 2)}", k) for k in range(900)] + [(None, "w w w", "s0", -1)] * 90
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, nth int")
+    goals = {r["source_size"]: r["target"] for r in mixing.mix(df).collect()}
+    taken, sums, rows = defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, t, s, _ in made:
+        sums[s] += len(t.split())
+    for r in mixing.mixed(df).collect():
+        taken[r["source"]] += len(r["text"].split())
+        rows[r["nth"]] += 1
+    for s, n in taken.items():
+        assert abs(n - goals[sums[s]]) <= max(8, 0.02 * goals[sums[s]])
+    assert all(n <= 3 for nth, n in rows.items() if nth >= 0) and len(taken) == 3
+    results = [sorted(map(repr, mixing.mixed(df.repartition(n)).collect())) for n in (2, 5)]
+    assert results[0] == results[1]
+
+
 def test_licenses(spark, docs, nothing):
     words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
     runs = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
