@@ -53,10 +53,9 @@ def bootstrap_auc(scored: DataFrame, keys: list[str], scores: list[str], replica
         p = np.stack([_draw(seed, f"{name}:1", r, pos) for r in ids])
         n = np.stack([_draw(seed, f"{name}:0", r, neg) for r in ids])
         for s in scores:
-            values, inverse = np.unique(pdf[s].to_numpy(), return_inverse=True)
-            fold = np.zeros((len(inverse), len(values)))
-            fold[np.arange(len(inverse)), inverse] = 1
-            out[f"auc_{s}"] = _auc(np.arange(len(values)), p @ fold, n @ fold)
+            at = np.argsort(pdf[s].to_numpy(), kind="stable")
+            first = np.unique(pdf[s].to_numpy()[at], return_index=True)[1]
+            out[f"auc_{s}"] = _auc(np.arange(len(first)), np.add.reduceat(p[:, at], first, axis=1), np.add.reduceat(n[:, at], first, axis=1))
         return pd.DataFrame(out)
 
     kinds = {f.name: f.dataType.simpleString() for f in scored.schema.fields}

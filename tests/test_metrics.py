@@ -81,3 +81,11 @@ def test_bootstrap(spark):
     b = resampling.bootstrap_auc(mixed.repartition(7), ["dataset"], ["score"], 60, 5).orderBy("replicate").collect()
     assert a == b and len(a) == 60
     assert resampling.bootstrap_auc_ci(rows(spark, [1, 1], [0.1, 0.2]), ["dataset"], replicates=10).count() == 0
+
+
+def test_bootstrap_of_many_distinct_scores(spark):
+    """Memory grows with the distinct scores, not with their square (28 GB here)."""
+    df = spark.range(60_000).selectExpr("'d' as dataset", "int(id % 2) as label", "(id * 7919 % 60000 + id % 2 * 15000) / 75000 as score")
+    auc = metrics.roc_auc(df, ["dataset"]).first()["auc"]
+    low, high = resampling.bootstrap_auc_ci(df, ["dataset"], replicates=20, seed=1).select("low", "high").first()
+    assert auc - 0.02 < low < high < auc + 0.02
