@@ -2,17 +2,22 @@
 
 Each document is the set of its distinct word shingles, ordered by a corpus-wide estimate of how
 many documents hold a shingle, rare ones first. Two sets x and y that link share at least
-``need(|x|, |y|)`` shingles, so they share at least l shingles among the first |x| - need + l of x
-and |y| - need + l of y, for every l. A document whose short prefix promises many candidates takes
-a longer one (a larger l) and demands that many common shingles before a pair is verified; a pair
-uses the smaller l of its two documents, for which both prefixes are long enough. Only the prefix
-for l = 1, which must hold a common shingle in any case, goes into the join as postings; the longer
-one stays with its set and is compared before verification. No cap is set anywhere.
+``least(|x|, |y|)`` shingles, so they share at least l shingles among the first |x| - least + l of x
+and |y| - least + l of y, for every l. Each set chooses its own l: a longer prefix costs more
+postings to read, and in return a pair must share l of them before it is verified. By the estimated
+frequencies, a prefix of total read(l) has at most read(l) / l candidates, so the l of least
+read(l) * (1 + VERIFY * n / l) is taken, 1 where no other document is expected to hold any prefix
+shingle and up to the whole set. All shingles of the chosen prefix are postings of the join; a pair
+uses the smaller l of its two sets, for which both prefixes are long enough.
 
 Large groups of near copies would make all pairs of a group candidates. Instead every set is first
 verified against one hub among its candidates (the set with most copies), which already connects
 such groups; then only pairs of sets in different components are candidates, so what is left grows
 with the documents and not with the square of a group, and no component is missed.
+
+Texts are read twice: once for the frequencies, once to write every set in order, with a number of
+its own and a 128-bit key by which equal sets are found. All later steps join these tables by
+numbers, straight from the files, so that Spark can split what is hot.
 """
 
 from __future__ import annotations
@@ -20,26 +25,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .store import bitmap, free_name, in_bitmap, materialize
+from .components import connected_components, forest_roots
+from .store import Scratch, bitmap, bitmap_bits, free_name, in_bitmap, materialize, may_be_in
 from .words import SPACED, batch_words, grams, text_bytes
 
-#: Buckets of the sketch of document frequencies: 2**22 counters, 16 MB. Raise it with the corpus,
-#: so that a bucket holds at most some hundred rare shingles.
-SKETCH_BITS = 22
+#: Counters of the sketch of document frequencies: 2**SKETCH_LEAST to 2**SKETCH_MOST of two bytes,
+#: SKETCH_PER_DOC for each document in between. Beyond, it still tells apart what is commoner than
+#: an average counter; any order gives right results.
+SKETCH_LEAST, SKETCH_MOST, SKETCH_PER_DOC = 16, 24, 32
 #: Counters that travel together: 2**10.
 RANGE_BITS = 10
-#: Longest prefix extension that is tried.
-MAX_MATCHES = 4
-#: Cost of verifying one candidate, in posting entries read.
-VERIFY_COST = 40.0
+#: Cost of verifying one candidate for each shingle of a set, in postings read.
+VERIFY = 0.125
 
-_SETS = "doc_id long, n_shingles long, set_id long, matches int, tokens array<long>"
+_SETS = "row long, doc_id long, n_shingles long, high long, low long, matches int, shingles array<long>"
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -49,20 +52,27 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tupl
             yield batch, first, [np.unique(grams(hashes[bounds[i] : bounds[i + 1]], size)) for i in range(len(bounds) - 1)]
 
 
-def _set_id(shingles: np.ndarray) -> int:
-    """One number for a set: the sum of its mixed elements with its size."""
-    x = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    total = int(x.sum(dtype=np.uint64)) + len(shingles) * 0x9E3779B97F4A7C15
-    return total & ((1 << 64) - 1)
+def _set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set: two sums of its elements, mixed in two ways, with its size."""
+    n, out = np.uint64(len(shingles)), []
+    with np.errstate(over="ignore"):
+        for a, b in ((0x7FB5D329728EA185, 0x81DADEF4BC2DD44D), (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)):
+            x = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(a)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(b)
+            out.append(int((x ^ (x >> np.uint64(29))).sum(dtype=np.uint64) + n * np.uint64(0x9E3779B97F4A7C15)))
+    return out[0], out[1]
+
 
+def sketch_bits_of(docs: int) -> int:
+    return min(SKETCH_MOST, max(SKETCH_LEAST, (SKETCH_PER_DOC * max(1, docs) - 1).bit_length()))
 
-def document_frequencies(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Documents per hash bucket of their shingles; 2**bits numbers, over all documents.
+
+def document_frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
+    """Documents per hash bucket of their shingles; 2**bits numbers, 65,535 at most, over all documents.
 
     Tasks send ranges of counters packed as small integers; a range is summed where it is gathered.
     """
-    width = 1 << RANGE_BITS
+    width = 1 << min(RANGE_BITS, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
@@ -81,13 +91,13 @@ def document_frequencies(docs: DataFrame, size: int, bits: int = SKETCH_BITS) ->
             for packed in batch.column("counts"):
                 kind = {width: np.uint8, 2 * width: np.uint16, 8 * width: np.int64}[len(packed.as_py())]
                 total += np.frombuffer(packed.as_py(), dtype=kind)
-        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        total = np.minimum(total, (1 << 16) - 1).astype(np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["range", "counts"])
 
     sums = docs.select("text").mapInArrow(count, "range int, counts binary").groupBy("range").applyInArrow(add, "range int, counts binary")
-    out = np.zeros((1 << bits) // width * width, dtype=np.uint32).reshape(-1, width)
+    out = np.zeros((1 << bits) // width * width, dtype=np.uint16).reshape(-1, width)
     for row in sums.toLocalIterator():  # 2**bits counters in all
-        out[row["range"]] = np.frombuffer(row["counts"], dtype=np.uint32)
+        out[row["range"]] = np.frombuffer(row["counts"], dtype=np.uint16)
     return out.reshape(-1)
 
 
@@ -96,210 +106,189 @@ def _base(n: int, t: int) -> int:
     return n - (-(-t * n // 100)) + 1
 
 
-def _prefix(shingles: np.ndarray, frequency: np.ndarray, t: int) -> tuple[np.ndarray, int]:
-    """The prefix that costs least, rare shingles first, and the matches it demands."""
-    n = len(shingles)
+def matches_of(others: np.ndarray, t: int) -> int:
+    """The l that costs a set least; ``others``: how many other documents hold each shingle, in order."""
+    base = _base(len(others), t)
+    read = np.cumsum(others)[base - 1 :]
+    return int(np.argmin(read * (1 + VERIFY * len(others) / np.arange(1, len(read) + 1)))) + 1
+
+
+def _ordered(shingles: np.ndarray, frequency: np.ndarray, load: float, t: int) -> tuple[np.ndarray, int]:
+    """The set in order, rare shingles first, and the matches that its prefix demands."""
     df = frequency[(shingles & np.uint64(len(frequency) - 1)).astype(np.int64)]
     order = np.lexsort((shingles, df))
-    base = _base(n, t)
-    best, cost, seen = 1, None, np.cumsum(df[order[: min(n, base + MAX_MATCHES - 1)]])
-    for matches in range(1, MAX_MATCHES + 1):
-        if base + matches - 1 > n:
-            break
-        read = float(seen[base + matches - 2])
-        own = read + VERIFY_COST * read / matches**2
-        if cost is None or own < cost:
-            best, cost = matches, own
-    return shingles[order[: base + best - 1]], best
-
-
-def shingle_table(docs: DataFrame, size: int, t: int, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per document: set size, set id and adaptive prefix; materialized."""
-    known = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs, size, bits))
+    # of a counter, ``load`` on average comes from unrelated shingles
+    return shingles[order], matches_of(np.maximum(df[order] - (1.0 + load), 0.0), t)
+
+
+def shingle_table(docs: DataFrame, size: int, t: int, own: Scratch, bits: int | None = None) -> DataFrame:
+    """One row per document: its number, set size, 128-bit key, l and whole ordered set."""
+    frequency = document_frequencies(docs, size, sketch_bits_of(docs.count()) if bits is None else bits)
+    load = float(np.median(frequency))
+    known = docs.sparkSession.sparkContext.broadcast(frequency)
+    del frequency
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = known.value
         for batch, first, sets in _shingle_sets(batches, size):
-            parts = [_prefix(s, frequency, t) if len(s) else (s, 1) for s in sets]
-            tokens = np.concatenate([p for p, _ in parts]).view(np.int64)
-            ends = np.cumsum([0, *(len(p) for p, _ in parts)]).astype(np.int32)
+            parts = [_ordered(s, frequency, load, t) if len(s) else (s, 1) for s in sets]
+            keys = np.array([_set_key(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("row").slice(first, len(sets)),
                     batch.column("doc_id").slice(first, len(sets)),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(np.array([_set_id(s) for s in sets], dtype=np.uint64).view(np.int64)),
+                    pa.array(np.diff(ends).astype(np.int64)),
+                    pa.array(keys[:, 0]),
+                    pa.array(keys[:, 1]),
                     pa.array([m for _, m in parts], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([p for p, _ in parts]).view(np.int64))),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "matches", "tokens"],
+                names=["row", "doc_id", "n_shingles", "high", "low", "matches", "shingles"],
             )
 
-    out = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS), "shingle-sets")
-    known.unpersist()
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    out = own.write(numbered.mapInArrow(run, _SETS), "shingle-sets")  # the numbers are written with the sets
+    known.destroy()
     return out
 
 
-def _whole_sets(docs: DataFrame, size: int, ids: DataFrame) -> DataFrame:
-    """(set_id, shingles) of the sets in ``ids(set_id)``, made anew from the texts; some others, too.
-
-    A 2 MB bitmap keeps nearly all other sets out of the shuffle.
-    """
-    words = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.col("set_id")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for _, _, sets in _shingle_sets(batches, size):
-            found = np.array([_set_id(s) if len(s) else 0 for s in sets], dtype=np.uint64)
-            keep = [i for i in np.flatnonzero(in_bitmap(words.value, found)) if len(sets[i]) and (k := int(found[i])) not in done and not done.add(k)]
-            if len(done) > 1_000_000:
-                done.clear()
-            if keep:
-                ends = np.cumsum([0, *(len(sets[i]) for i in keep)]).astype(np.int32)
-                values = np.concatenate([sets[i] for i in keep]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["set_id", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "set_id long, shingles array<long>").dropDuplicates(["set_id"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame:
-    """The pairs(a, b) whose whole sets link; ``pairs`` is a written table."""
-    sets = _whole_sets(docs, size, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")))
-    left, right = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("xs")), sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("ys"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("xs", "ys")))
-    return joined.where(100 * F.col("i") >= t * (F.size("xs") + F.size("ys") - F.col("i"))).select("a", "b")
-
-
 def _least(n: Column, m: Column, t: int) -> Column:
     """Least intersection of linking sets of these sizes."""
     return F.ceil((n + m) * t / (100 + t))
 
 
-def _plausible(pairs: DataFrame, table: DataFrame, t: int) -> DataFrame:
-    """The pairs(a, b) that share as many tokens of their longer prefixes as both demand at least; written."""
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    heads = table.select("set_id", F.col("n_shingles").alias("n"), "matches", "tokens")
-    heads = heads.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
-    x = heads.select(F.col("set_id").alias("a"), F.struct("n", "matches", "tokens").alias("x"))
-    y = heads.select(F.col("set_id").alias("b"), F.struct("n", "matches", "tokens").alias("y"))
-    least = F.least("x.matches", "y.matches")
-    reach = lambda s: F.slice(f"{s}.tokens", F.lit(1), (F.col(f"{s}.n") - _least(F.col("x.n"), F.col("y.n"), t) + least).cast("int"))
-    both = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect(reach("x"), reach("y"))) >= least)
-    return materialize(both.select("a", "b"), "plausible")
+def _verified(pairs: DataFrame, table: DataFrame, t: int, own: Scratch) -> DataFrame:
+    """The pairs(a, b) whose whole sets link; ``pairs`` is a written table of row numbers."""
+    spark = pairs.sparkSession
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    held = spark.sparkContext.broadcast(bitmap(ids, F.xxhash64("id"), bitmap_bits(2 * pairs.count())))
+    sets = table.select("row", "shingles").where(may_be_in(held, F.xxhash64("row")))  # most others stay out of the shuffle
+    left, right = sets.select(F.col("row").alias("a"), F.col("shingles").alias("xs")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("ys"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("xs", "ys")))
+    out = own.write(joined.where(100 * F.col("i") >= t * (F.size("xs") + F.size("ys") - F.col("i"))).select("a", "b"), "links")
+    held.destroy()
+    return out
 
 
-def _postings(table: DataFrame, t: int) -> DataFrame:
-    """(token, at, set_id, n, copies) of the tokens that more than one document has in its base prefix."""
-    full = table.where("n_shingles > 0")
-    base = F.expr(f"cast(n_shingles - ceil(n_shingles * {t} / 100) + 1 as int)")
-    flat = full.select(F.explode(F.slice("tokens", F.lit(1), base)).alias("token"))
-    shared = materialize(flat.groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
-    words = table.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("token")))
+def _postings(table: DataFrame, distinct: DataFrame, t: int, own: Scratch) -> DataFrame:
+    """(token, at, set_id, n, matches, copies) of the prefix shingles that more than one set has in its prefix."""
+    base = F.expr(f"cast(n_shingles - ceil(n_shingles * {t} / 100) + matches as int)")
+    prefixes = table.where("n_shingles > 0").select(F.col("row").alias("set_id"), F.col("n_shingles").alias("n"), "matches", F.slice("shingles", F.lit(1), base).alias("tokens"))
+    heads = own.write(prefixes.join(distinct.select("set_id", "copies"), "set_id"), "prefixes")
+    flat = heads.select(F.explode("tokens").alias("token"))
+    shared = own.write(flat.groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
+    known = table.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("token"), bitmap_bits(shared.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column("tokens")
-            lengths = np.array([_base(n, t) for n in batch.column("n").to_pylist()], dtype=np.int64)
-            ends = np.asarray(tokens.offsets)
+            lengths = np.diff(np.asarray(tokens.offsets)).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), lengths)
             at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            values = tokens.values.to_numpy()[ends[row] + at]
-            keep = in_bitmap(words.value, values.view(np.uint64))
+            values = tokens.flatten().to_numpy()
+            keep = in_bitmap(known.value, values.view(np.uint64))
             take = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(at[keep].astype(np.int32)), batch.column("set_id").take(take), batch.column("n").take(take)], names=["token", "at", "set_id", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[keep]), pa.array(at[keep].astype(np.int32)), *[batch.column(c).take(take) for c in ("set_id", "n", "matches", "copies")]],
+                names=["token", "at", "set_id", "n", "matches", "copies"],
+            )
 
-    picked = full.select("set_id", F.col("n_shingles").alias("n"), "tokens").mapInArrow(run, "token long, at int, set_id long, n long")
-    copies = full.groupBy("set_id").agg(F.count("*").alias("copies"))
-    return materialize(picked.distinct().join(shared, "token", "left_semi").join(copies, "set_id"), "postings")
+    out = own.write(heads.select("set_id", "n", "matches", "copies", "tokens").mapInArrow(run, "token long, at int, set_id long, n long, matches int, copies long"), "postings")
+    known.destroy()
+    return out
 
 
-def set_components(docs: DataFrame, table: DataFrame, size: int, t: int) -> DataFrame:
-    """(set_id, component) of the distinct sets that link with any other."""
-    postings = _postings(table, t)
+def _meet(x: str, y: str, t: int) -> tuple[Column, Column]:
+    """Whether a common token of two sets counts for their pair, and how many the pair must share."""
+    n, m, l = F.col(f"{x}.n"), F.col(f"{y}.n"), F.least(f"{x}.matches", f"{y}.matches")
+    reach = l - _least(n, m, t)
+    return (100 * F.least(n, m) >= t * F.greatest(n, m)) & (F.col(f"{x}.at") < n + reach) & (F.col(f"{y}.at") < m + reach), l
 
-    def close(n: Column, at: Column, m: Column, other: Column) -> Column:
-        """The sizes allow a link, and the common token is in both prefixes for this pair."""
-        return (100 * F.least(n, m) >= t * F.greatest(n, m)) & (at <= n - _least(n, m, t)) & (other <= m - _least(n, m, t))
 
+def set_components(table: DataFrame, distinct: DataFrame, t: int, own: Scratch) -> DataFrame:
+    """(node, component) of the distinct sets, by number, that link with any other."""
+    postings = _postings(table, distinct, t, own)
     # 1. one hub for each set: among the candidates at hand the one with most copies
-    hubs = postings.groupBy("token").agg(F.max(F.struct("copies", -F.col("at"), "set_id", "n", "at")).alias("hub"))
+    hubs = postings.groupBy("token").agg(F.max(F.struct("copies", "set_id", "n", "matches", "at")).alias("y"))
+    counts, demanded = _meet("x", "y", t)
     star = (
-        postings.join(hubs, "token")
-        .where((F.col("hub.set_id") != F.col("set_id")) & close(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
-        .groupBy(F.col("set_id").alias("a"), F.col("hub.set_id").alias("b"))
-        .agg(F.count("*").alias("common"), F.max("hub.copies").alias("copies"))
+        postings.withColumn("x", F.struct("set_id", "n", "matches", "at"))
+        .select("token", "x")
+        .join(hubs, "token")
+        .where((F.col("x.set_id") != F.col("y.set_id")) & counts)
+        .groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
+        .agg(F.count("*").alias("common"), F.max("y.copies").alias("copies"), F.min(demanded).alias("demanded"))
+        .where("common >= demanded")
         .groupBy("a")
-        .agg(F.max_by("b", F.struct("copies", "common", "b")).alias("b"))
+        .agg(F.max_by("b", F.struct("copies", "b")).alias("b"))
     )
-    first = materialize(_verified(_plausible(materialize(star, "stars"), table, t), docs, size, t), "links")
-    # 2. every pair of sets in different components that share a base prefix token and, in their
-    # longer prefixes, as many tokens as they demand. Of a token's sets, those in its largest
-    # component are never paired with each other.
-    label = materialize(connected_components(first).withColumnRenamed("node", "set_id"), "components")
-    tagged = postings.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    per = tagged.groupBy("token", "component").agg(F.count("*").alias("k"))
-    major = per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    rows = materialize(tagged.join(major, "token").select("token", "at", "set_id", "n", "component", "major"), "open-postings")
-    x, y = rows.where("component <> major").alias("x"), rows.alias("y")
+    # a hub has more copies or, of as many, a larger number than its sets, so these links have no cycles
+    label = forest_roots(_verified(own.write(star, "stars"), table, t, own), own)
+    # 2. every pair of sets in different components that share as many tokens of their prefixes as
+    # they demand. Of a token's sets, those in its largest component are never paired with each other.
+    tagged = own.write(postings.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "tagged")
+    apart = tagged.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("token")
+    rows = own.write(tagged.join(apart, "token").select("token", "component", F.struct("set_id", "n", "matches", "at").alias("set")), "open")
+    per = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
+    major = own.write(per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major")), "major")
+    x = rows.join(major, "token").where("component <> major").select("token", F.col("component").alias("of_x"), "major", F.col("set").alias("x"))
+    y = rows.select("token", F.col("component").alias("of_y"), F.col("set").alias("y"))
     pairs = (
-        x.join(
-            y,
-            (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.component") != F.col("y.component"))
-            & ((F.col("y.component") == F.col("y.major")) | (F.col("x.component") < F.col("y.component")))
-            & close(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")),
-        )
-        .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
-        .distinct()
+        own.write(x, "minor")
+        .join(y, "token")
+        .where((F.col("of_x") != F.col("of_y")) & ((F.col("of_y") == F.col("major")) | (F.col("of_x") < F.col("of_y"))) & counts)
+        .groupBy(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
+        .agg(F.count("*").alias("common"), F.min(demanded).alias("demanded"))
+        .where("common >= demanded")
     )
-    second = materialize(_verified(_plausible(materialize(pairs, "pairs"), table, t), docs, size, t), "links")
-    if second.isEmpty():
+    known = _verified(own.write(pairs, "pairs"), table, t, own)
+    if known.isEmpty():
         return label
     # the late links connect components of the early ones
-    known = second
     for end in ("a", "b"):
-        named = label.select(F.col("set_id").alias(end), F.col("component").alias(f"of_{end}"))
+        named = label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
         known = known.join(named, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    above = connected_components(known.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    above = connected_components(known.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), own=own).select(F.col("node").alias("component"), F.col("component").alias("top"))
     every = label.union(known.select("a", "of_a")).union(known.select("b", "of_b")).distinct()
-    return every.join(above, "component", "left").select("set_id", F.coalesce("top", "component").alias("component"))
+    return every.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of ``docs``.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets; a text
     of fewer words than ``size`` is one shingle, one without words (or null) has none, links with
     nothing and is its own component. Rows that repeat a doc_id are kept, each with its own text's
     set; a null doc_id keeps its row and takes the smallest id of its component, null if there is
-    none. Other columns are ignored; an empty table gives no rows. Set ids are 64-bit hashes.
+    none. Other columns are ignored; an empty table gives no rows. Shingles are 64-bit hashes, sets
+    are told apart by 128 bits. The result is written; intermediate tables are removed.
     """
-    table = shingle_table(docs, size, percent, sketch_bits)
-    label = set_components(docs, table, size, percent)
-    sets = table.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    merged = sets.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    heads = merged.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = materialize(merged.join(heads, "component").select("set_id", "component_id"), "components")
-    full = table.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id").join(ids, "set_id").select("doc_id", "n_shingles", "component_id")
-    return full.union(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    with Scratch(docs.sparkSession, "jaccard") as own:
+        table = shingle_table(docs, size, percent, own, sketch_bits)
+        full = table.where("n_shingles > 0").select("row", "doc_id", "n_shingles", "high", "low")
+        sets = full.groupBy("high", "low").agg(F.min("row").alias("set_id"), F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+        distinct = own.write(sets, "distinct-sets")
+        label = set_components(table, distinct, percent, own)
+        merged = own.write(distinct.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "merged")
+        heads = merged.groupBy("component").agg(F.min("first").alias("component_id"))
+        ids = own.write(merged.join(heads, "component").select("high", "low", "component_id"), "ids")
+        named = full.join(ids, ["high", "low"]).select("doc_id", "n_shingles", "component_id")
+        return materialize(named.union(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "components")
+
+
+def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, but one document stays of each component.
 
     That is the one of smallest doc_id. Rows with a null doc_id stay; rows that repeat a doc_id go
-    only if all of them would. A 2 MB bitmap lets most documents pass without a shuffle; only those
+    only if all of them would. A bitmap lets most documents pass without a shuffle; only those
     that it cannot clear are joined with the list.
     """
     parts = jaccard_components(docs, size, percent, sketch_bits)
     gone = parts.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     dropped = materialize(gone.where("not stays").select("doc_id"), "dropped")
-    words = docs.sparkSession.sparkContext.broadcast(bitmap(dropped, F.col("doc_id")))
-
-    @F.pandas_udf("boolean")
-    def suspect(ids: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(words.value, ids.fillna(-1).to_numpy(dtype=np.int64).view(np.uint64)))
-
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(dropped, F.col("doc_id"), bitmap_bits(dropped.count())))
     mark, gone_id = free_name(docs, "_suspect"), free_name(docs, "_gone")
-    named = docs.withColumn(mark, suspect(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull())
+    named = docs.withColumn(mark, may_be_in(known, F.col("doc_id").cast("long")))
     kept = named.where(~F.col(mark)).drop(mark)
     return kept.unionByName(named.where(F.col(mark)).drop(mark).join(dropped.withColumnRenamed("doc_id", gone_id), F.col("doc_id") == F.col(gone_id), "left_anti"))

@@ -10,6 +10,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +20,45 @@ BITMAP_BITS = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
+    """The shared folder that the session names; one of our own only in local mode, where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, without its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator in a folder of their own, which goes when the block ends.
+
+    What the operator returns must not read them lazily; it is materialized outside.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, self.folder)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
@@ -42,6 +67,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bitmap_bits(rows: int) -> int:
+    """Bits for a bitmap of so many keys: eight a key, 2**16 at least and 2**26 (8 MB) at most.
+
+    With more keys the bitmap fills up; it then lets more rows pass, and the joins behind it decide.
+    """
+    return min(26, max(16, (8 * max(1, rows) - 1).bit_length()))
+
+
 def bitmap(df: DataFrame, key: Column, bits: int = BITMAP_BITS) -> np.ndarray:
     """Bitmap of the low ``bits`` bits of a long key over all rows, as uint64 words.
 
@@ -54,10 +87,10 @@ def bitmap(df: DataFrame, key: Column, bits: int = BITMAP_BITS) -> np.ndarray:
         .select(F.shiftright("low", 6).alias("word"), F.expr("shiftleft(1L, cast(low & 63 as int))").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     words = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    words[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return words
 
 
@@ -65,3 +98,13 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the uint64 ``keys`` may be in the bitmap."""
     low = keys & np.uint64(len(words) * 64 - 1)
     return (words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+
+
+def may_be_in(known: Broadcast, key: Column) -> Column:
+    """Whether a long key may be in a broadcast bitmap; false for null. Only the key goes to Python."""
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(known.value, keys.fillna(-1).to_numpy(dtype=np.int64).view(np.uint64)))
+
+    return key.isNotNull() & test(key)
