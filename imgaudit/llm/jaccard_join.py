@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest_roots
+from .counters import count_all
 from .store import Scratch, bitmap, bitmap_bits, free_name, in_bitmap, materialize, may_be_in
 from .words import SPACED, batch_words, grams, text_bytes
 
@@ -37,8 +38,6 @@ from .words import SPACED, batch_words, grams, text_bytes
 #: SKETCH_PER_DOC for each document in between. Beyond, it still tells apart what is commoner than
 #: an average counter; any order gives right results.
 SKETCH_LEAST, SKETCH_MOST, SKETCH_PER_DOC = 16, 24, 32
-#: Counters that travel together: 2**10.
-RANGE_BITS = 10
 #: Cost of verifying one candidate for each shingle of a set, in postings read.
 VERIFY = 0.125
 
@@ -68,37 +67,14 @@ def sketch_bits_of(docs: int) -> int:
 
 
 def document_frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """Documents per hash bucket of their shingles; 2**bits numbers, 65,535 at most, over all documents.
+    """Documents per hash bucket of their shingles; 2**bits numbers, 65,535 at most, over all documents."""
 
-    Tasks send ranges of counters packed as small integers; a range is summed where it is gathered.
-    """
-    width = 1 << min(RANGE_BITS, bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+    def fill(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
         for _, _, sets in _shingle_sets(batches, size):
-            low = np.concatenate(sets) & np.uint64((1 << bits) - 1) if sets else np.zeros(0, dtype=np.uint64)
-            total += np.bincount(low.astype(np.int64), minlength=1 << bits)
-        parts = [(k, part) for k, part in enumerate(total.reshape(-1, width)) if part.any()]
-        for at in range(0, len(parts), 256):
-            some = parts[at : at + 256]
-            packed = [part.astype(np.uint8 if part.max() < 1 << 8 else np.uint16 if part.max() < 1 << 16 else np.int64).tobytes() for _, part in some]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array(packed, pa.binary())], names=["range", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, dtype=np.int64)
-        for batch in batches:
-            for packed in batch.column("counts"):
-                kind = {width: np.uint8, 2 * width: np.uint16, 8 * width: np.int64}[len(packed.as_py())]
-                total += np.frombuffer(packed.as_py(), dtype=kind)
-        total = np.minimum(total, (1 << 16) - 1).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["range", "counts"])
-
-    sums = docs.select("text").mapInArrow(count, "range int, counts binary").groupBy("range").applyInArrow(add, "range int, counts binary")
-    out = np.zeros((1 << bits) // width * width, dtype=np.uint16).reshape(-1, width)
-    for row in sums.toLocalIterator():  # 2**bits counters in all
-        out[row["range"]] = np.frombuffer(row["counts"], dtype=np.uint16)
-    return out.reshape(-1)
+            low = np.concatenate(sets) & np.uint64(len(total) - 1) if sets else np.zeros(0, dtype=np.uint64)
+            total += np.bincount(low.astype(np.int64), minlength=len(total))
+
+    return count_all(docs.select("text"), fill, 1 << bits, np.uint16)
 
 
 def _base(n: int, t: int) -> int:
