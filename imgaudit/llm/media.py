@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bitmap, in_bitmap, materialize
+from .store import bitmap, bitmap_bits, in_bitmap, materialize
 
 #: Shortest and longest chunk; in between, a cut falls after one byte in 2**CUT_BITS.
 SHORTEST, LONGEST, CUT_BITS = 256, 8192, 10
@@ -129,7 +129,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     files: doc_id, n_bytes, media_id, head, chunks, own (bytes of the chunks that are not shared).
     """
     repeated = materialize(_digests(docs).groupBy("digest", "check").count().where("count > 1").select("digest", "check"), "repeated-chunks")
-    words = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, F.col("digest")))
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, F.col("digest"), bitmap_bits(repeated.count())))
 
     def is_shared(found: list[tuple[int, int]]) -> np.ndarray:
         """A chunk outside the bitmap occurs once; of those inside, nearly all occur more often."""
@@ -171,6 +171,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     packs = materialize(sized.mapInArrow(files, _STORED), "media-files")
     pool = materialize(docs.select("text").mapInArrow(shared, "digest long, check long, bytes binary").groupBy("digest", "check").agg(F.first("bytes").alias("bytes")), "media-chunks")
+    words.destroy()
     return packs, pool
 
 
