@@ -8,11 +8,11 @@ block's bucket selects patterns, and their words are compared directly with the
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,76 +22,104 @@ from .words import ALNUM, batch_words, text_bytes, words_of
 #: Entries of a shift table.
 SHIFT_BITS = 18
 #: Bytes of benchmark text whose patterns are searched in one pass over the documents; a larger
-#: benchmark is searched in as many passes as it needs.
-PASS_BYTES = 8 << 20
+#: benchmark is searched in as many passes as it needs. Making the tables of a pass of 4 MB takes
+#: some 130 MB of the driver's memory.
+PASS_BYTES = 4 << 20
 
 _HITS = "n_words long, spans array<struct<s:long,e:long>>, items array<string>"
 _ROW = "doc_id long, row long, " + _HITS
 
 
-def _lower_words(text: bytes) -> tuple[np.ndarray, list[bytes]]:
-    data = np.frombuffer(text, dtype=np.uint8)
-    hashes, starts, ends = words_of(data, ALNUM)
-    return hashes, [text[s:e].lower() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+class _Length:
+    """The patterns of one length: shift table, and their first words sorted by suffix block."""
+
+    def __init__(self, length: int, firsts: np.ndarray, owners: np.ndarray, hashes: np.ndarray) -> None:
+        self.length, self.block = length, min(2, length)
+        keys = block_keys(hashes, self.block)
+        last = length - self.block
+        shifts = np.full(1 << SHIFT_BITS, min(last + 1, 255), dtype=np.int64)
+        for at in range(last + 1):  # `at`: start of the block in the pattern
+            np.minimum.at(shifts, keys[firsts + at], last - at)
+        self.shifts = np.minimum(shifts, 255).astype(np.uint8)
+        whole = grams_at(hashes, firsts, length)
+        order = np.lexsort((whole, keys[firsts + last]))
+        self.firsts, self.owners, self.whole = firsts[order], owners[order], whole[order]
+        self.bounds = np.searchsorted(keys[firsts + last][order], np.arange((1 << SHIFT_BITS) + 1)).astype(np.int32)
+
+
+def block_keys(hashes: np.ndarray, block: int) -> np.ndarray:
+    """Table index of the block that starts at each word."""
+    keys = hashes if block == 1 else hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    return (keys >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
+
+
+def grams_at(hashes: np.ndarray, firsts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` words from each of the given words on."""
+    total = np.full(len(firsts), length, dtype=np.uint64)
+    for k in range(length):
+        total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[firsts + k]
+    return total
 
 
 class PatternSet:
-    """Windows of benchmark items, by length, with their shift tables and suffix buckets."""
+    """Windows of benchmark items as positions in the items' words, by length, in flat arrays."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        found: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        hashed: dict[tuple[bytes, ...], np.ndarray] = {}
-        for item, text in items:
-            hashes, words = _lower_words((text or "").encode())
-            length = min(window, len(words))
-            for at in range(len(words) - length + 1 if words else 0):
-                key = tuple(words[at : at + length])
-                found[length][key].add(item)
-                hashed[key] = hashes[at : at + length]
-        self.lengths: dict[int, tuple[int, bytes, dict[int, list[tuple[tuple[bytes, ...], tuple[str, ...]]]]]] = {}
-        for length, patterns in found.items():
-            block = min(2, length)
-            shifts = np.full(1 << SHIFT_BITS, min(length - block + 1, 255), dtype=np.uint8)
-            buckets: dict[int, list[tuple[tuple[bytes, ...], tuple[str, ...]]]] = defaultdict(list)
-            for key, owners in patterns.items():
-                keys = self.block_keys(hashed[key], block)
-                for at, k in enumerate(keys.tolist()):  # `at`: start of the block in the pattern
-                    shifts[k] = min(int(shifts[k]), length - block - at, 255)
-                buckets[int(keys[-1])].append((key, tuple(owners)))
-            self.lengths[length] = (block, shifts.tobytes(), dict(buckets))
-
-    @staticmethod
-    def block_keys(hashes: np.ndarray, block: int) -> np.ndarray:
-        """Table index of the block that starts at each word."""
-        keys = hashes if block == 1 else hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
-        return (keys >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
+        data = [(text or "").encode() for _, text in items]
+        found = [words_of(np.frombuffer(x, dtype=np.uint8), ALNUM) for x in data]
+        offset = np.cumsum([0, *map(len, data)])
+        hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(h for h, _, _ in found)])
+        none = np.zeros(0, dtype=np.int64)
+        self.starts = np.concatenate([none, *(s + o for (_, s, _), o in zip(found, offset, strict=False))])
+        self.ends = np.concatenate([none, *(e + o for (_, _, e), o in zip(found, offset, strict=False))])
+        self.data = b"".join(data).lower()
+        self.items = [item for item, _ in items]
+        counts = np.array([len(h) for h, _, _ in found], dtype=np.int64)
+        first = np.cumsum(counts) - counts
+        lengths = np.minimum(counts, window)
+        self.lengths: list[_Length] = []
+        for length in sorted(set(lengths.tolist()) - {0}):
+            own = np.flatnonzero(lengths == length)
+            n = counts[own] - length + 1
+            owners = np.repeat(own, n)
+            at = np.arange(len(owners)) - np.repeat(np.cumsum(n) - n, n)
+            self.lengths.append(_Length(length, first[owners] + at, owners, hashes))
+
+    def _words(self, data: np.ndarray | bytes, starts: np.ndarray, ends: np.ndarray, first: int, length: int) -> list[bytes]:
+        return [bytes(data[s:e]).lower() for s, e in zip(starts[first : first + length].tolist(), ends[first : first + length].tolist(), strict=True)]
 
     def search(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """Word spans [s, e) of all occurrences in one document, merged, and the items they come from."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[int] = set()
         n = len(hashes)
-        for length, (block, shifts, buckets) in self.lengths.items():
+        for one in self.lengths:
+            length = one.length
             if n < length:
                 continue
-            keys = self.block_keys(hashes, block)
-            move = np.frombuffer(shifts, dtype=np.uint8)[keys].tobytes()
-            at, last = length - block, n - block  # start of the window's last block
+            keys = block_keys(hashes, one.block)
+            move = one.shifts[keys].tobytes()
+            at, last = length - one.block, n - one.block  # start of the window's last block
             while at <= last:
                 step = move[at]
                 if step:
                     at += step
                     continue
-                first = at - (length - block)
-                known = buckets.get(int(keys[at]))
-                if known:
-                    words = tuple(bytes(data[starts[k] : ends[k]]).lower() for k in range(first, first + length))
-                    for key, owners in known:
-                        if key == words:
+                key = keys[at]
+                low, high = int(one.bounds[key]), int(one.bounds[key + 1])
+                if low < high:
+                    first = at - (length - one.block)
+                    whole = grams_at(hashes, np.array([first]), length)[0]
+                    k = low + int(np.searchsorted(one.whole[low:high], whole))
+                    words = None
+                    while k < high and one.whole[k] == whole:
+                        words = words or self._words(data, starts, ends, first, length)
+                        if words == self._words(self.data, self.starts, self.ends, int(one.firsts[k]), length):
                             spans.append((first, first + length))
-                            items.update(owners)
+                            items.add(int(one.owners[k]))
+                        k += 1
                 at += 1
-        return _merged(spans), items
+        return _merged(spans), {self.items[i] for i in items}
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -104,7 +132,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(docs: DataFrame, items: list[tuple[str, str | None]], window: int, columns: list[str], schema: str) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[str, str | None]], window: int, columns: list[str], schema: str) -> tuple[DataFrame, Broadcast]:
     patterns = docs.sparkSession.sparkContext.broadcast(PatternSet(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,31 +150,34 @@ def _search(docs: DataFrame, items: list[tuple[str, str | None]], window: int, c
             made = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=[*columns, "n_words", "spans", "items"])
 
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    return docs.select(*columns, "text").mapInArrow(run, schema), patterns
 
 
-def _passes(benchmark: DataFrame, limit: int) -> list[list[tuple[str, str | None]]]:
-    """The benchmark's items in passes of at most ``limit`` bytes of text, fetched a pass at a time."""
+def _passes(benchmark: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The benchmark's items with the pass in which they are searched, and the number of passes.
+
+    Items are dealt by hash to as many passes as there are times ``limit`` bytes of text.
+    """
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    passes, size = [[]], 0
-    for row in rows.toLocalIterator():
-        if size and size + len(row.text) > limit:
-            passes.append([])
-            size = 0
-        passes[-1].append((row.item, row.text))
-        size += len(row.text)
-    return passes
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // limit))
+    return rows.withColumn("pass", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
+
+
+def _items(passes: DataFrame, k: int) -> list[tuple[str, str]]:
+    """The items of one pass."""
+    return sorted({(row.item, row.text) for row in passes.where(F.col("pass") == k).toLocalIterator()})
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated (see contamination)."""
-    passes = _passes(benchmark, pass_bytes)
-    if len(passes) > 1:
+    passes, n = _passes(benchmark, pass_bytes)
+    if n > 1:
         row = free_name(docs, "_row")
         named = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
         marked = contamination(named.select(F.col(row).alias("doc_id"), "text"), benchmark, window, share, pass_bytes)
         return named.join(marked.where("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
-    patterns = docs.sparkSession.sparkContext.broadcast(PatternSet(passes[0], window))
+    patterns = docs.sparkSession.sparkContext.broadcast(PatternSet(_items(passes, 0), window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,15 +206,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     rows or no hits. The benchmark reaches the tasks in passes of bounded size.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    passes = _passes(benchmark, pass_bytes)
-    if len(passes) == 1:
-        found = _search(docs, passes[0], window, ["doc_id"], "doc_id long, " + _HITS)
+    passes, n = _passes(benchmark, pass_bytes)
+    if n == 1:
+        found = _search(docs, _items(passes, 0), window, ["doc_id"], "doc_id long, " + _HITS)[0]
     else:
         named = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # written once, so that the numbers stay
-        parts = [_search(named, items, window, ["doc_id", "row"], _ROW) for items in passes]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.union(part)
+        every = None
+        for k in range(n):  # a pass is fetched, searched, written and released before the next
+            part, patterns = _search(named, _items(passes, k), window, ["doc_id", "row"], _ROW)
+            part = materialize(part, "pass")
+            patterns.destroy()
+            every = part if every is None else every.union(part)
         found = every.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"),
             F.first("n_words").alias("n_words"),
