@@ -4,20 +4,20 @@ Each document is the set of its distinct word shingles, ordered by a corpus-wide
 many documents hold a shingle, rare ones first. Two sets x and y that link share at least
 ``least(|x|, |y|)`` shingles, so they share at least l shingles among the first |x| - least + l of x
 and |y| - least + l of y, for every l. Each set chooses its own l: a longer prefix costs more
-postings to read, and in return a pair must share l of them before it is verified. By the estimated
-frequencies, a prefix of total read(l) has at most read(l) / l candidates, so the l of least
-read(l) * (1 + VERIFY * n / l) is taken, 1 where no other document is expected to hold any prefix
-shingle and up to the whole set. All shingles of the chosen prefix are postings of the join; a pair
-uses the smaller l of its two sets, for which both prefixes are long enough.
+entries to compare, and in return a pair must share l of them before it is verified. By the
+estimated frequencies, a prefix of total read(l) has at most read(l) / l candidates, so the l of
+least read(l) * (1 + VERIFY * n / l) is taken, 1 where no other document is expected to hold any
+prefix shingle and up to the whole set. A pair uses the smaller l of its two sets, for which both
+prefixes are long enough. Postings are made of the prefix for l = 1 alone, which must hold a common
+shingle in any case: postings of the longer ones would list each pair of a large group many times.
 
 Large groups of near copies would make all pairs of a group candidates. Instead every set is first
 verified against one hub among its candidates (the set with most copies), which already connects
 such groups; then only pairs of sets in different components are candidates, so what is left grows
 with the documents and not with the square of a group, and no component is missed.
 
-Texts are read twice: once for the frequencies, once to write every set in order, with a number of
-its own and a 128-bit key by which equal sets are found. All later steps join these tables by
-numbers, straight from the files, so that Spark can split what is hot.
+Texts are written once with numbers of their own, so that later steps join numbers, straight from
+written tables that Spark can split where they are hot, and only candidates are shingled again.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +35,13 @@ from .counters import count_all
 from .store import Scratch, bitmap, bitmap_bits, free_name, in_bitmap, materialize, may_be_in
 from .words import SPACED, batch_words, grams, text_bytes
 
-#: Counters of the sketch of document frequencies: 2**SKETCH_LEAST to 2**SKETCH_MOST of two bytes,
-#: SKETCH_PER_DOC for each document in between. Beyond, it still tells apart what is commoner than
-#: an average counter; any order gives right results.
-SKETCH_LEAST, SKETCH_MOST, SKETCH_PER_DOC = 16, 24, 32
+#: Buckets of the sketch of document frequencies: 2**22 counters of two bytes. With many more
+#: shingles it still tells apart what is commoner than an average bucket; any order is right.
+SKETCH_BITS = 22
 #: Cost of verifying one candidate for each shingle of a set, in postings read.
 VERIFY = 0.125
 
-_SETS = "row long, doc_id long, n_shingles long, high long, low long, matches int, shingles array<long>"
+_SETS = "row long, doc_id long, n_shingles long, high long, low long, matches int, tokens array<long>"
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -62,10 +62,6 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def sketch_bits_of(docs: int) -> int:
-    return min(SKETCH_MOST, max(SKETCH_LEAST, (SKETCH_PER_DOC * max(1, docs) - 1).bit_length()))
-
-
 def document_frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     """Documents per hash bucket of their shingles; 2**bits numbers, 65,535 at most, over all documents."""
 
@@ -89,123 +85,159 @@ def matches_of(others: np.ndarray, t: int) -> int:
     return int(np.argmin(read * (1 + VERIFY * len(others) / np.arange(1, len(read) + 1)))) + 1
 
 
-def _ordered(shingles: np.ndarray, frequency: np.ndarray, load: float, t: int) -> tuple[np.ndarray, int]:
-    """The set in order, rare shingles first, and the matches that its prefix demands."""
+def _prefix(shingles: np.ndarray, frequency: np.ndarray, load: float, t: int) -> tuple[np.ndarray, int]:
+    """The prefix that costs least, rare shingles first, and the matches it demands."""
     df = frequency[(shingles & np.uint64(len(frequency) - 1)).astype(np.int64)]
     order = np.lexsort((shingles, df))
     # of a counter, ``load`` on average comes from unrelated shingles
-    return shingles[order], matches_of(np.maximum(df[order] - (1.0 + load), 0.0), t)
+    matches = matches_of(np.maximum(df[order] - (1.0 + load), 0.0), t)
+    return shingles[order[: _base(len(shingles), t) + matches - 1]], matches
 
 
-def shingle_table(docs: DataFrame, size: int, t: int, own: Scratch, bits: int | None = None) -> DataFrame:
-    """One row per document: its number, set size, 128-bit key, l and whole ordered set."""
-    frequency = document_frequencies(docs, size, sketch_bits_of(docs.count()) if bits is None else bits)
+def shingle_table(texts: DataFrame, size: int, t: int, own: Scratch, bits: int = SKETCH_BITS) -> DataFrame:
+    """One row per row of ``texts(row, doc_id, text)``: its number, set size, 128-bit key, l and prefix."""
+    frequency = document_frequencies(texts, size, bits)
     load = float(np.median(frequency))
-    known = docs.sparkSession.sparkContext.broadcast(frequency)
+    known = texts.sparkSession.sparkContext.broadcast(frequency)
     del frequency
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = known.value
         for batch, first, sets in _shingle_sets(batches, size):
-            parts = [_ordered(s, frequency, load, t) if len(s) else (s, 1) for s in sets]
+            parts = [_prefix(s, frequency, load, t) if len(s) else (s, 1) for s in sets]
             keys = np.array([_set_key(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row").slice(first, len(sets)),
                     batch.column("doc_id").slice(first, len(sets)),
-                    pa.array(np.diff(ends).astype(np.int64)),
+                    pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(keys[:, 0]),
                     pa.array(keys[:, 1]),
                     pa.array([m for _, m in parts], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([p for p, _ in parts]).view(np.int64))),
+                    _lists([p for p, _ in parts]),
                 ],
-                names=["row", "doc_id", "n_shingles", "high", "low", "matches", "shingles"],
+                names=["row", "doc_id", "n_shingles", "high", "low", "matches", "tokens"],
             )
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    out = own.write(numbered.mapInArrow(run, _SETS), "shingle-sets")  # the numbers are written with the sets
+    out = own.write(texts.mapInArrow(run, _SETS), "prefixes")
     known.destroy()
     return out
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _whole_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(row, shingles) of all rows of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, sets in _shingle_sets(batches, size):
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, len(sets)), _lists(sets)], names=["row", "shingles"])
+
+    return texts.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+
+
 def _least(n: Column, m: Column, t: int) -> Column:
     """Least intersection of linking sets of these sizes."""
     return F.ceil((n + m) * t / (100 + t))
 
 
-def _verified(pairs: DataFrame, table: DataFrame, t: int, own: Scratch) -> DataFrame:
-    """The pairs(a, b) whose whole sets link; ``pairs`` is a written table of row numbers."""
-    spark = pairs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    held = spark.sparkContext.broadcast(bitmap(ids, F.xxhash64("id"), bitmap_bits(2 * pairs.count())))
-    sets = table.select("row", "shingles").where(may_be_in(held, F.xxhash64("row")))  # most others stay out of the shuffle
-    left, right = sets.select(F.col("row").alias("a"), F.col("shingles").alias("xs")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("ys"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("xs", "ys")))
-    out = own.write(joined.where(100 * F.col("i") >= t * (F.size("xs") + F.size("ys") - F.col("i"))).select("a", "b"), "links")
+def _joined(pairs: DataFrame, rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """``pairs(a, b)`` with structs x and y of the rows that ``key`` numbers."""
+    x = rows.select(F.col(key).alias("a"), F.struct(*names).alias("x"))
+    y = rows.select(F.col(key).alias("b"), F.struct(*names).alias("y"))
+    return pairs.join(x, "a").join(y, "b")
+
+
+def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, t: int, own: Scratch) -> DataFrame:
+    """The pairs(a, b) whose whole sets link; ``pairs`` is a written table of row numbers.
+
+    First the longer prefixes decide, then the whole sets of what is left. Bitmaps keep most other
+    rows out of the shuffles.
+    """
+    held = _numbers(pairs)
+    least = F.least("x.matches", "y.matches")
+    reach = lambda s: F.slice(f"{s}.tokens", F.lit(1), (F.col(f"{s}.n") - _least(F.col("x.n"), F.col("y.n"), t) + least).cast("int"))
+    both = _joined(pairs, heads.where(may_be_in(held, F.xxhash64("set_id"))), "set_id", ["n", "matches", "tokens"])
+    plausible = own.write(both.where(F.size(F.array_intersect(reach("x"), reach("y"))) >= least).select("a", "b"), "plausible")
+    held.destroy()
+    held = _numbers(plausible)
+    both = _joined(plausible, _whole_sets(texts.where(may_be_in(held, F.xxhash64("row"))), size), "row", ["shingles"])
+    common = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    links = both.withColumn("i", common).where(100 * F.col("i") >= t * (F.size("x.shingles") + F.size("y.shingles") - F.col("i")))
+    out = own.write(links.select("a", "b"), "links")
     held.destroy()
     return out
 
 
-def _postings(table: DataFrame, distinct: DataFrame, t: int, own: Scratch) -> DataFrame:
-    """(token, at, set_id, n, matches, copies) of the prefix shingles that more than one set has in its prefix."""
-    base = F.expr(f"cast(n_shingles - ceil(n_shingles * {t} / 100) + matches as int)")
-    prefixes = table.where("n_shingles > 0").select(F.col("row").alias("set_id"), F.col("n_shingles").alias("n"), "matches", F.slice("shingles", F.lit(1), base).alias("tokens"))
-    heads = own.write(prefixes.join(distinct.select("set_id", "copies"), "set_id"), "prefixes")
-    flat = heads.select(F.explode("tokens").alias("token"))
+def _numbers(pairs: DataFrame) -> Broadcast:
+    """A bitmap of the hashed numbers in pairs(a, b)."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    return pairs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64("id"), bitmap_bits(2 * pairs.count())))
+
+
+def _heads(table: DataFrame, distinct: DataFrame, own: Scratch) -> DataFrame:
+    """(set_id, n, matches, tokens, copies): the prefix of each distinct set, once."""
+    prefixes = table.where("n_shingles > 0").select(F.col("row").alias("set_id"), F.col("n_shingles").alias("n"), "matches", "tokens")
+    return own.write(prefixes.join(distinct.select("set_id", "copies"), "set_id"), "heads")
+
+
+def _postings(heads: DataFrame, t: int, own: Scratch) -> DataFrame:
+    """(token, at, set_id, n, copies) of the shingles that more than one set has in its prefix for l = 1."""
+    base = F.expr(f"cast(n - ceil(n * {t} / 100) + 1 as int)")
+    flat = heads.select(F.explode(F.slice("tokens", F.lit(1), base)).alias("token"))
     shared = own.write(flat.groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
-    known = table.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("token"), bitmap_bits(shared.count())))
+    known = heads.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("token"), bitmap_bits(shared.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column("tokens")
-            lengths = np.diff(np.asarray(tokens.offsets)).astype(np.int64)
+            lengths = np.array([_base(n, t) for n in batch.column("n").to_pylist()], dtype=np.int64)
             row = np.repeat(np.arange(batch.num_rows), lengths)
             at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            values = tokens.flatten().to_numpy()
+            values = tokens.values.to_numpy()[np.asarray(tokens.offsets)[row] + at]
             keep = in_bitmap(known.value, values.view(np.uint64))
             take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[keep]), pa.array(at[keep].astype(np.int32)), *[batch.column(c).take(take) for c in ("set_id", "n", "matches", "copies")]],
-                names=["token", "at", "set_id", "n", "matches", "copies"],
+                [pa.array(values[keep]), pa.array(at[keep].astype(np.int32)), *[batch.column(c).take(take) for c in ("set_id", "n", "copies")]],
+                names=["token", "at", "set_id", "n", "copies"],
             )
 
-    out = own.write(heads.select("set_id", "n", "matches", "copies", "tokens").mapInArrow(run, "token long, at int, set_id long, n long, matches int, copies long"), "postings")
+    out = own.write(heads.select("set_id", "n", "copies", "tokens").mapInArrow(run, "token long, at int, set_id long, n long, copies long"), "postings")
     known.destroy()
     return out
 
 
-def _meet(x: str, y: str, t: int) -> tuple[Column, Column]:
-    """Whether a common token of two sets counts for their pair, and how many the pair must share."""
-    n, m, l = F.col(f"{x}.n"), F.col(f"{y}.n"), F.least(f"{x}.matches", f"{y}.matches")
-    reach = l - _least(n, m, t)
-    return (100 * F.least(n, m) >= t * F.greatest(n, m)) & (F.col(f"{x}.at") < n + reach) & (F.col(f"{y}.at") < m + reach), l
+def _close(t: int) -> Column:
+    """The sizes of x and y allow a link, and the common token is in both prefixes for this pair."""
+    n, m = F.col("x.n"), F.col("y.n")
+    least = _least(n, m, t)
+    return (100 * F.least(n, m) >= t * F.greatest(n, m)) & (F.col("x.at") <= n - least) & (F.col("y.at") <= m - least)
 
 
-def set_components(table: DataFrame, distinct: DataFrame, t: int, own: Scratch) -> DataFrame:
+def set_components(texts: DataFrame, table: DataFrame, distinct: DataFrame, size: int, t: int, own: Scratch) -> DataFrame:
     """(node, component) of the distinct sets, by number, that link with any other."""
-    postings = _postings(table, distinct, t, own)
+    heads = _heads(table, distinct, own)
+    own.drop("prefixes")  # as large as the heads
+    postings = _postings(heads, t, own)
     # 1. one hub for each set: among the candidates at hand the one with most copies
-    hubs = postings.groupBy("token").agg(F.max(F.struct("copies", "set_id", "n", "matches", "at")).alias("y"))
-    counts, demanded = _meet("x", "y", t)
+    hubs = postings.groupBy("token").agg(F.max(F.struct("copies", "set_id", "n", "at")).alias("y"))
     star = (
-        postings.withColumn("x", F.struct("set_id", "n", "matches", "at"))
-        .select("token", "x")
+        postings.select("token", F.struct("set_id", "n", "at").alias("x"))
         .join(hubs, "token")
-        .where((F.col("x.set_id") != F.col("y.set_id")) & counts)
-        .groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-        .agg(F.count("*").alias("common"), F.max("y.copies").alias("copies"), F.min(demanded).alias("demanded"))
-        .where("common >= demanded")
-        .groupBy("a")
-        .agg(F.max_by("b", F.struct("copies", "b")).alias("b"))
+        .where((F.col("x.set_id") != F.col("y.set_id")) & _close(t))
+        .groupBy(F.col("x.set_id").alias("a"))
+        .agg(F.max(F.struct("y.copies", "y.set_id")).alias("hub"))
+        .select("a", F.col("hub.set_id").alias("b"))
     )
     # a hub has more copies or, of as many, a larger number than its sets, so these links have no cycles
-    label = forest_roots(_verified(own.write(star, "stars"), table, t, own), own)
-    # 2. every pair of sets in different components that share as many tokens of their prefixes as
-    # they demand. Of a token's sets, those in its largest component are never paired with each other.
+    label = forest_roots(_verified(own.write(star, "stars"), heads, texts, size, t, own), own)
+    # 2. every pair of sets in different components with a common token. Of a token's sets, those in its largest component are never paired with each other.
     tagged = own.write(postings.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "tagged")
     apart = tagged.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("token")
-    rows = own.write(tagged.join(apart, "token").select("token", "component", F.struct("set_id", "n", "matches", "at").alias("set")), "open")
+    rows = own.write(tagged.join(apart, "token").select("token", "component", F.struct("set_id", "n", "at").alias("set")), "open")
     per = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
     major = own.write(per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major")), "major")
     x = rows.join(major, "token").where("component <> major").select("token", F.col("component").alias("of_x"), "major", F.col("set").alias("x"))
@@ -213,12 +245,11 @@ def set_components(table: DataFrame, distinct: DataFrame, t: int, own: Scratch)
     pairs = (
         own.write(x, "minor")
         .join(y, "token")
-        .where((F.col("of_x") != F.col("of_y")) & ((F.col("of_y") == F.col("major")) | (F.col("of_x") < F.col("of_y"))) & counts)
-        .groupBy(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
-        .agg(F.count("*").alias("common"), F.min(demanded).alias("demanded"))
-        .where("common >= demanded")
+        .where((F.col("of_x") != F.col("of_y")) & ((F.col("of_y") == F.col("major")) | (F.col("of_x") < F.col("of_y"))) & _close(t))
+        .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
+        .distinct()
     )
-    known = _verified(own.write(pairs, "pairs"), table, t, own)
+    known = _verified(own.write(pairs, "pairs"), heads, texts, size, t, own)
     if known.isEmpty():
         return label
     # the late links connect components of the early ones
@@ -230,7 +261,7 @@ def set_components(table: DataFrame, distinct: DataFrame, t: int, own: Scratch)
     return every.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of ``docs``.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets; a text
@@ -241,19 +272,21 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, sketch
     are told apart by 128 bits. The result is written; intermediate tables are removed.
     """
     with Scratch(docs.sparkSession, "jaccard") as own:
-        table = shingle_table(docs, size, percent, own, sketch_bits)
-        full = table.where("n_shingles > 0").select("row", "doc_id", "n_shingles", "high", "low")
+        texts = own.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text"), "texts")
+        table = shingle_table(texts, size, percent, own, sketch_bits)
+        keys = own.write(table.select("row", "doc_id", "n_shingles", "high", "low"), "keys")
+        full = keys.where("n_shingles > 0")
         sets = full.groupBy("high", "low").agg(F.min("row").alias("set_id"), F.count("*").alias("copies"), F.min("doc_id").alias("first"))
         distinct = own.write(sets, "distinct-sets")
-        label = set_components(table, distinct, percent, own)
+        label = set_components(texts, table, distinct, size, percent, own)
         merged = own.write(distinct.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "merged")
         heads = merged.groupBy("component").agg(F.min("first").alias("component_id"))
         ids = own.write(merged.join(heads, "component").select("high", "low", "component_id"), "ids")
         named = full.join(ids, ["high", "low"]).select("doc_id", "n_shingles", "component_id")
-        return materialize(named.union(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "components")
+        return materialize(named.union(keys.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "components")
 
 
-def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """The rows of ``docs``, with all their columns, but one document stays of each component.
 
     That is the one of smallest doc_id. Rows with a null doc_id stay; rows that repeat a doc_id go

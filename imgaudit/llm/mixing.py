@@ -224,5 +224,5 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0)) -> DataFr
     with Scratch(docs.sparkSession, "mix") as own:
         counts = _counted(word_sizes(named, marks, row), weights, own).where("copies > 0").select(F.col("row").alias(key), F.col("copies").alias(copies))
         counts = materialize(counts, "mix")
-    taken = named.join(counts, F.col(row) == F.col(key))
+    taken = named.join(counts.hint("merge"), F.col(row) == F.col(key))  # one row for each taken row: never broadcast
     return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)

@@ -30,12 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, without its lineage."""
-    spark = df.sparkSession
-    path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return _write(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
@@ -47,16 +49,25 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._remove(self.folder)
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name, self.folder)
+        self.paths[name] = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        return _write(df, self.paths[name])
+
+    def drop(self, name: str) -> None:
+        """Remove the table last written by this name before the block ends."""
+        self._remove(self.paths.pop(name))
 
 
 def free_name(df: DataFrame, name: str) -> str:
