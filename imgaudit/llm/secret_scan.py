@@ -2,15 +2,17 @@
 
 Three patterns give the base spans. Beside them, long tokens are judged by two character Markov
 models: one of random strings, one of ordinary identifiers. A token whose log-likelihood ratio
-speaks for chance is a span of kind model. The models are trained on labelled samples of the table
-itself: values that the patterns find are random strings, all other tokens ordinary ones.
+speaks for chance is a span of kind model. Both models are trained on labelled samples: random
+strings drawn in the alphabets that keys are written in (labelled by how they were made, of a fixed
+number), and ordinary tokens of all documents, plain and put together as identifiers are (words and
+numbers outside base spans; what mixes letters and digits carries no label and trains nothing).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -20,10 +22,10 @@ HEX = r"[0-9a-f]{24,}"
 VALUE = 6
 #: Tokens that the models judge, and tokens that train them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z+/_=-]{8,}|[0-9]{8,})(?![A-Za-z0-9+/_=-])"
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z+/_=-]{6,}|[0-9]{6,})(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "model")
-#: Documents, chosen by a hash of doc_id, whose tokens train the models at most.
-SAMPLE_DOCS = 20_000
+#: Random strings of each alphabet that train the model of random strings.
+RANDOM_STRINGS = 20_000
 #: A token is random if its ratio is at least this in all and for each pair of characters.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
 #: Characters a token can have, for the uniform part of the random model.
@@ -69,35 +71,56 @@ def _pairs(tokens: DataFrame) -> DataFrame:
     return tokens.where("length(token) > 1").select("random", F.explode(codes).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
-    """Log-likelihood ratio random / ordinary of each pair of ASCII characters, 2**14 numbers.
+def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
+    """(token): n strings each of small and capital hex digits, capitals and digits, letters and digits, base 64."""
+    digest = F.sha2(F.concat(F.lit("secret-"), F.col("id").cast("string")), 512)
+    code = F.base64(F.unhex(digest))
+    kinds = [digest, F.upper(digest), F.regexp_replace(code, "[^A-Z0-9]", ""), F.regexp_replace(code, "[^A-Za-z0-9]", ""), F.translate(code, "+/=\n\r", "-_")]
+    return spark.range(n).select(F.explode(F.array(*[F.substring(k, 1, 40) for k in kinds])).alias("token"))
+
+
+def ordinary_tokens(docs: DataFrame) -> DataFrame:
+    """(token): words and numbers of ``docs(text)`` outside base spans, a half of them as identifiers.
 
-    Half of the random model is uniform over the alphabet, so that it also stands for random
-    strings of kinds that the sample lacks. The driver receives at most 2**15 counts.
+    By its hash, a word stays as it is, gets a capital or all capitals, or is put together with the
+    next one in one of three ways.
     """
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select(F.coalesce("text", F.lit("")).alias("text"))
-    text = F.col("text")
-    values = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))])
-    plain = text
+    plain = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         plain = F.regexp_replace(plain, pattern, " ")
-    found = sample.select(F.explode(F.filter(values, lambda v: F.length(v) >= 16)).alias("token")).select(F.lit(True).alias("random"), "token")
-    other = sample.select(F.explode(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0))).alias("token")).select(F.lit(False).alias("random"), "token")
-    counts = {(r["random"], r["pair"]): r["n"] for r in _pairs(found.union(other)).collect()}
+    found = docs.select(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0)).alias("words"))
+
+    def made(word: Column, i: Column) -> Column:
+        next_ = F.coalesce(F.try_element_at("words", i + 2), word)
+        turn = F.pmod(F.xxhash64(word), F.lit(10))
+        ways = [F.initcap(word), F.upper(word), F.concat_ws("_", word, next_), F.concat(word, F.initcap(next_)), F.concat_ws("-", word, F.length(next_).cast("string"))]
+        out = word
+        for k, way in enumerate(ways):
+            out = F.when(turn == k, way).otherwise(out)
+        return out
+
+    return found.select(F.explode(F.transform("words", made)).alias("token"))
+
+
+def train(docs: DataFrame, strings: int = RANDOM_STRINGS) -> list[float]:
+    """Log-likelihood ratio random / ordinary of each pair of ASCII characters, 2**14 numbers.
+
+    A tenth of the random model is uniform over the alphabet. The driver receives at most 2**15 counts.
+    """
+    labelled = random_strings(docs.sparkSession, strings).select(F.lit(True).alias("random"), "token").union(ordinary_tokens(docs).select(F.lit(False), "token"))
+    counts = {(r["random"], r["pair"]): r["n"] for r in _pairs(labelled).collect()}
     rows: dict[tuple[bool, int], int] = {}
     for (random, pair), n in counts.items():
         rows[random, pair >> 7] = rows.get((random, pair >> 7), 0) + n
     ratios = []
     for pair in range(1 << 14):
-        seen = rows.get((True, pair >> 7), 0)
-        chance = 0.5 / ALPHABET + 0.5 * (counts.get((True, pair), 0) + 1 / ALPHABET) / (seen + 1)
+        chance = 0.1 / ALPHABET + 0.9 * (counts.get((True, pair), 0) + 1 / ALPHABET) / (rows.get((True, pair >> 7), 0) + 1)
         usual = (counts.get((False, pair), 0) + 0.2) / (rows.get((False, pair >> 7), 0) + 0.2 * ALPHABET)
         ratios.append(round(math.log(chance / usual), 4))
     return ratios
 
 
-def secret_spans(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def secret_spans(docs: DataFrame, strings: int = RANDOM_STRINGS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of ``docs``.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind in the order of
@@ -106,7 +129,7 @@ def secret_spans(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     doc_ids keep their rows; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    table = ",".join(map(str, train(docs, sample_docs)))
+    table = ",".join(map(str, train(docs, strings)))
     ratios = F.split(F.lit(table), ",").cast("array<double>")  # folded to one constant
 
     def is_random(token: Column) -> Column:

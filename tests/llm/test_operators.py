@@ -272,6 +272,25 @@ def test_secret_spans(spark, nothing):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_random_strings_are_told_from_identifiers(spark):
+    """Strings of other kinds than the training's draws and unseen identifiers, none of which a pattern finds."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ba", "ste", "rin", "go", "mal", "ter", "con", "di", "ver", "ple"]) for _ in range(rng.randint(2, 4)))
+    corpus = [" ".join(word() for _ in range(80)) for _ in range(200)]
+    kinds = ["0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHJKMNPQRSTVWXYZ23456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    keys = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (24, 32, 48) for _ in range(30)]
+    names = [f"{word()}_{word()}_{word()}" for _ in range(60)] + [word() + word().title() + word().title() for _ in range(60)] + [f"{word()}-{word()}-{rng.randrange(100)}" for _ in range(60)]
+    names += [f"{word()}_{word()}".upper() + "_X" for _ in range(30)] + [str(rng.randrange(10**19, 10**20)) for _ in range(30)]
+    names = [n for n in names if len(n) >= 16]
+    texts = [*corpus, *(f"see {k} there" for k in keys), *(f"see {n} there" for n in names)]
+    rows = {r["doc_id"]: r for r in secret_scan.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hit = [rows[i]["spans"] == f"model:4:{4 + len(texts[i]) - 10}" for i in range(len(texts))]
+    assert all(r["n_assign"] + r["n_access"] + r["n_hex"] == 0 for r in rows.values())
+    at = len(corpus)
+    assert np.mean(hit[at : at + len(keys)]) > 0.97
+    assert not any(rows[i]["spans"] for i in range(at)) and sum(bool(rows[at + len(keys) + i]["spans"]) for i in range(len(names))) <= 0.01 * len(names)
+
+
 PAGES = [
     (1, "http://a.b/1", "<html><body><header>Site</header><div class='notice'>We use cookies</div><main><article><header><h1>T &lt;x&gt;</h1></header><p>One <a href=x>two</a> thr<b>ee</b><p>four<ul><li>l1<li>l2</ul><div class='comments'><article class='comment'>c1</article></div><form>f<input></form><aside>s</aside></article></main><section id='comments'>bad</section><footer>f</footer>", "T <x> One two three four l1 l2"),
     (2, None, None, ""),
