@@ -342,6 +342,39 @@ def test_content_elements(spark):
     assert out[100] == f"{card} 0 plain item" and all(out[100 + k] == f"{card} {k} first {k} second {k}" for k in range(1, 9))
 
 
+def test_markup_and_names_lose_no_text(spark):
+    odd = [
+        ('<p>one</p><img alt="5" tall"><p>two</p>', "one two"),
+        ('<p title="foo>one</p>', "one"),
+        ("<p title='a>b' data-x=\"<q>\">one</p><p a=b/c>2 < 3 <5</p>", "one 2 < 3 <5"),
+        ('<main><p>lead</p><article>card</article></main>', "lead card"),
+        ('<article><p class="share-price">12</p><section class="related-work"><p>prior</p></section><div class="note side-by-side">both</div><header class="banner"><h1>head</h1></header></article>', "12 prior both head"),
+        ('<article><p>text</p><div class="share-buttons">tweet</div><div class="related-posts">more</div><ul id="comment-list"><li>c</ul></article>', "text"),
+        ('<script>var a="</script>";</script><p>x</p>', '"; x'),
+        ("<p>open <!-- never closed", "open"),
+    ]
+    made = [(k, f"http://odd{k}/", h) for k, (h, _) in enumerate(odd)]
+    out = {r["page_id"]: r["text"] for r in html_extract.page_texts(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert out == {k: t for k, (_, t) in enumerate(odd)}
+
+
+def test_the_wrapper_tells_the_content_without_names(spark):
+    """Pages whose elements are named become pages of plain elements; the host's wrapper must find the same texts."""
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    many = pages.groupBy(html_extract._host().alias("host")).agg(F.countDistinct("html").alias("n")).where("n >= 5").select("host")
+    pages = pages.withColumn("host", html_extract._host()).join(many, "host").drop("host")
+    plain = F.col("html")
+    for named, anonymous in (("<(/?)article>", "<$1div>"), ("<(/?)nav>", "<$1ul>"), ("<(/?)footer>", "<$1section>"), ('class="ad"', 'class="q"')):
+        plain = F.regexp_replace(plain, named, anonymous)
+    want = {r["page_id"]: r["text"] for r in html_extract.page_texts(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in html_extract.page_texts(pages.withColumn("html", plain)).collect()}
+    assert len(want) > 50 and np.mean([got[k] == want[k] for k in want]) > 0.97
+    article = {r["page_id"]: re.search("<article>(.*)</article>", r["html"], re.S)[1] for r in pages.collect()}
+    by_hand = lambda x: " ".join(html.unescape(re.sub("</?b>", "", re.sub("<(?!/?b>)[^>]*>", " ", x))).split())
+    assert all(want[k] == by_hand(article[k]) for k in want)
+
+
 @pytest.mark.parametrize("broadcast", [html_extract.BROADCAST_BYTES, 0])
 def test_no_page_decides_the_template(spark, monkeypatch, broadcast):
     monkeypatch.setattr(html_extract, "BROADCAST_BYTES", broadcast)
