@@ -67,8 +67,8 @@ def document_frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
         for _, _, sets in _shingle_sets(batches, size):
-            low = np.concatenate(sets) & np.uint64(len(total) - 1) if sets else np.zeros(0, dtype=np.uint64)
-            total += np.bincount(low.astype(np.int64), minlength=len(total))
+            if sets:
+                np.add.at(total, (np.concatenate(sets) & np.uint64(len(total) - 1)).astype(np.int64), 1)
 
     return count_all(docs.select("text"), fill, 1 << bits, np.uint16)
 
