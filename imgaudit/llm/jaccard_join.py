@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, forest_roots
 from .counters import count_all
-from .store import Scratch, bitmap, bitmap_bits, free_name, in_bitmap, materialize, may_be_in
+from .store import Scratch, bitmap, bitmap_bits, free_name, held, in_bitmap, materialize, only_in
 from .words import SPACED, batch_words, grams, text_bytes
 
 #: Buckets of the sketch of document frequencies: 2**22 counters of two bytes. With many more
@@ -129,14 +129,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
 
 
-def _whole_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(row, shingles) of all rows of ``texts``."""
+def _whole_sets(texts: DataFrame, size: int, known: Broadcast) -> DataFrame:
+    """(row, shingles) of the rows of ``texts`` whose hashed numbers may be in a bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, sets in _shingle_sets(batches, size):
+        some = (batch.filter(pa.array(held(batch.column("key"), known))) for batch in batches)
+        for batch, first, sets in _shingle_sets(some, size):
             yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, len(sets)), _lists(sets)], names=["row", "shingles"])
 
-    return texts.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+    return texts.select("row", "text", F.xxhash64("row").alias("key")).mapInArrow(run, "row long, shingles array<long>")
 
 
 def _least(n: Column, m: Column, t: int) -> Column:
@@ -157,18 +158,18 @@ def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, t
     First the longer prefixes decide, then the whole sets of what is left. Bitmaps keep most other
     rows out of the shuffles.
     """
-    held = _numbers(pairs)
+    known = _numbers(pairs)
     least = F.least("x.matches", "y.matches")
     reach = lambda s: F.slice(f"{s}.tokens", F.lit(1), (F.col(f"{s}.n") - _least(F.col("x.n"), F.col("y.n"), t) + least).cast("int"))
-    both = _joined(pairs, heads.where(may_be_in(held, F.xxhash64("set_id"))), "set_id", ["n", "matches", "tokens"])
+    both = _joined(pairs, only_in(heads, F.xxhash64("set_id"), known), "set_id", ["n", "matches", "tokens"])
     plausible = own.write(both.where(F.size(F.array_intersect(reach("x"), reach("y"))) >= least).select("a", "b"), "plausible")
-    held.destroy()
-    held = _numbers(plausible)
-    both = _joined(plausible, _whole_sets(texts.where(may_be_in(held, F.xxhash64("row"))), size), "row", ["shingles"])
+    known.destroy()
+    known = _numbers(plausible)
+    both = _joined(plausible, _whole_sets(texts, size, known), "row", ["shingles"])
     common = F.size(F.array_intersect("x.shingles", "y.shingles"))
     links = both.withColumn("i", common).where(100 * F.col("i") >= t * (F.size("x.shingles") + F.size("y.shingles") - F.col("i")))
     out = own.write(links.select("a", "b"), "links")
-    held.destroy()
+    known.destroy()
     return out
 
 
@@ -297,7 +298,6 @@ def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, sketch_bits:
     gone = parts.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     dropped = materialize(gone.where("not stays").select("doc_id"), "dropped")
     known = docs.sparkSession.sparkContext.broadcast(bitmap(dropped, F.col("doc_id"), bitmap_bits(dropped.count())))
-    mark, gone_id = free_name(docs, "_suspect"), free_name(docs, "_gone")
-    named = docs.withColumn(mark, may_be_in(known, F.col("doc_id").cast("long")))
-    kept = named.where(~F.col(mark)).drop(mark)
-    return kept.unionByName(named.where(F.col(mark)).drop(mark).join(dropped.withColumnRenamed("doc_id", gone_id), F.col("doc_id") == F.col(gone_id), "left_anti"))
+    key, gone_id = F.col("doc_id").cast("long"), free_name(docs, "_gone")
+    suspects = only_in(docs, key, known)
+    return only_in(docs, key, known, inside=False).unionByName(suspects.join(dropped.withColumnRenamed("doc_id", gone_id), F.col("doc_id") == F.col(gone_id), "left_anti"))

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,11 +112,20 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
-def may_be_in(known: Broadcast, key: Column) -> Column:
-    """Whether a long key may be in a broadcast bitmap; false for null. Only the key goes to Python."""
+def only_in(df: DataFrame, key: Column, known: Broadcast, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose long key may be in a broadcast bitmap, or the others; a null key is not in it.
+
+    One Arrow function for all, so that executors keep no second set of Python workers for it.
+    """
+    name = free_name(df, "_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held(batch.column(name), known) == inside)).drop_columns([name])
+
+    return df.withColumn(name, key).mapInArrow(run, df.schema)
 
-    @F.pandas_udf("boolean")
-    def test(keys: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(known.value, keys.fillna(-1).to_numpy(dtype=np.int64).view(np.uint64)))
 
-    return key.isNotNull() & test(key)
+def held(keys: pa.Array, known: Broadcast) -> np.ndarray:
+    """Which long keys may be in a broadcast bitmap; not null ones."""
+    return in_bitmap(known.value, keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & keys.is_valid().to_numpy(zero_copy_only=False)
