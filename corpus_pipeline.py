@@ -45,7 +45,8 @@ STAGES = [
     ("sharding", place_in_shards),
 ]
 
-#: Hashing and model fitting are beyond SQL; tests/llm compares the stages with brute force.
+#: Hashing and model fitting are beyond SQL; tests/llm compares the near-copy stage and the operators of
+#: contamination and mixing with brute force.
 ORACLE_SQL = None
 
 
