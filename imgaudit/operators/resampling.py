@@ -1,8 +1,10 @@
 """Stratified bootstrap of AUC.
 
-Replicates are the parallel axis. A block of replicates draws, for each class, multinomial counts
-over the histogram of distinct scores, so a replicate costs its number of distinct scores and not
-of rows. The generator is seeded by (seed, group, replicate): partitions do not matter.
+A group's histogram of distinct scores is dealt into cells of bounded size. A block of replicates first
+draws, for each class, how many rows each cell gets, and then inside each cell; together that is one
+multinomial draw over all rows. The drawn counts are dealt anew by ranges of each score, so that AUC is
+summed from ranges and no task holds a whole group. Generators are seeded by (seed, group, class, cell,
+block): partitions do not matter.
 """
 
 from __future__ import annotations
@@ -12,55 +14,116 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Replicates of one block.
 BLOCK = 50
+#: Rows of a histogram in one cell, on average.
+CELL = 1 << 14
+#: Ranges of a score, at most; a group of fewer than CELL * RANGES distinct scores takes fewer.
+RANGES = 1024
 
 
-def _auc(order: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-    """AUC of each row of counts, scores ascending, ties half."""
-    p, n = pos[:, order], neg[:, order]
-    below = np.cumsum(n, axis=1) - n
-    return (p * (below + n / 2)).sum(axis=1) / (p.sum(axis=1) * n.sum(axis=1))
+def _draw(key: str, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One multinomial draw over ``counts`` for each number of ``rows``."""
+    seed = int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "big")
+    return np.random.default_rng(seed).multinomial(rows, counts / counts.sum())
 
 
-def _draw(seed: int, group: str, replicate: int, counts: np.ndarray) -> np.ndarray:
-    key = hashlib.sha256(f"{seed}:{group}:{replicate}".encode()).digest()
-    return np.random.default_rng(int.from_bytes(key[:8], "big")).multinomial(int(counts.sum()), counts / counts.sum())
+def _packed(drawn: np.ndarray) -> list[bytes]:
+    """Each column of draws in as few bytes as its counts need."""
+    kind = np.uint8 if drawn.max(initial=0) < 1 << 8 else np.int64
+    return [c.tobytes() for c in np.ascontiguousarray(drawn.T.astype(kind))]
+
+
+def _unpacked(packed: list[bytes], width: int) -> np.ndarray:
+    """One row of ``width`` counts for each packed column."""
+    return np.stack([np.frombuffer(raw, np.uint8 if len(raw) == width else np.int64).astype(np.int64) for raw in packed])
 
 
 def bootstrap_auc(scored: DataFrame, keys: list[str], scores: list[str], replicates: int, seed: int) -> DataFrame:
     """keys, replicate and one AUC for each score column, all from the same resample.
 
-    Groups of one class give no rows. The joint histogram of a group goes to each of its blocks.
+    Groups of one class give no rows. Memory of a task: BLOCK counts for each row of a cell or range.
     """
-    group = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
-    hist = scored.groupBy(group.alias("_g"), *keys, *scores, "label").agg(F.count("*").alias("_n"))
     spark = scored.sparkSession
-    blocks = spark.range(0, (replicates + BLOCK - 1) // BLOCK).withColumnRenamed("id", "_block")
-    spread = hist.crossJoin(F.broadcast(blocks))  # replicates / BLOCK rows
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    values = [f"_s{i}" for i in range(len(scores))]
+    columns = [F.col(s).cast("double").alias(v) for s, v in zip(scores, values, strict=True)]
+    hist = scored.where("label in (0, 1)").groupBy(group.alias("_g"), *keys, *columns, F.col("label").cast("int").alias("label")).agg(F.count("*").alias("_n"))
+
+    cuts = [F.percentile_approx(v, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias(f"_c{i}") for i, v in enumerate(values)]
+    sizes = hist.groupBy("_g").agg(F.ceil(F.count("*") / CELL).alias("_cells"), *cuts)
+    some = "case when _cells > 1 then transform(sequence(1, cast(least(_cells, {r}) as int) - 1), k -> _c{i}[cast(k * {r} div least(_cells, {r}) as int) - 1]) else cast(array() as array<double>) end"
+    ranges = sizes.select("_g", F.array(*[F.expr(some.format(r=RANGES, i=i)) for i in range(len(values))]).alias("_cuts"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*scores, "label"])
+    celled = hist.join(sizes.select("_g", "_cells"), "_g").withColumn("_cell", F.pmod(F.xxhash64(*values, "label"), F.col("_cells")))
+    blocks = F.broadcast(spark.range(0, (replicates + BLOCK - 1) // BLOCK).withColumnRenamed("id", "_block"))  # replicates / BLOCK rows
+
+    def size_of(block: int) -> int:
+        return min(BLOCK, replicates - block * BLOCK)
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
         name, block = pdf["_g"].iloc[0], int(pdf["_block"].iloc[0])
-        pos = np.where(pdf["label"] == 1, pdf["_n"], 0).astype(np.int64)
-        neg = np.where(pdf["label"] == 0, pdf["_n"], 0).astype(np.int64)
-        ids = list(range(block * BLOCK, min((block + 1) * BLOCK, replicates)))
-        out = {k: [pdf[k].iloc[0]] * len(ids) for k in keys} | {"replicate": ids}
-        if not pos.sum() or not neg.sum():
-            return pd.DataFrame(out | {f"auc_{s}": [0.0] * len(ids) for s in scores}).iloc[:0]
-        p = np.stack([_draw(seed, f"{name}:1", r, pos) for r in ids])
-        n = np.stack([_draw(seed, f"{name}:0", r, neg) for r in ids])
-        for s in scores:
-            at = np.argsort(pdf[s].to_numpy(), kind="stable")
-            first = np.unique(pdf[s].to_numpy()[at], return_index=True)[1]
-            out[f"auc_{s}"] = _auc(np.arange(len(first)), np.add.reduceat(p[:, at], first, axis=1), np.add.reduceat(n[:, at], first, axis=1))
-        return pd.DataFrame(out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in scored.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "replicate int", *(f"auc_{s} double" for s in scores)])
-    return spread.groupBy("_g", "_block").applyInPandas(run, schema)
+        pdf = pdf.sort_values(["label", "_cell"])
+        out = pdf[["_g", "_block", "_cell", "label"]].assign(_counts=b"")
+        if pdf["label"].nunique() < 2:
+            return out.iloc[:0]
+        packed: list[bytes] = []
+        for label, part in pdf.groupby("label"):
+            n = part["_n"].to_numpy()
+            packed += _packed(_draw(f"{seed}:{name}:{label}:{block}", np.full(size_of(block), n.sum()), n))
+        return out.assign(_counts=packed)
+
+    totals = celled.groupBy("_g", "_cell", "label").agg(F.sum("_n").alias("_n"))
+    shares = totals.crossJoin(blocks).groupBy("_g", "_block").applyInPandas(share, "_g string, _block long, _cell long, label int, _counts binary")
+
+    drawn_schema = "_g string, _block long, _which int, _score double, label int, _counts binary"
+    names = [c.split()[0] for c in drawn_schema.split(", ")]
+
+    def draw(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or given.empty:
+            return pd.DataFrame(columns=names)
+        name, block, cell = rows["_g"].iloc[0], int(rows["_block"].iloc[0]), int(rows["_cell"].iloc[0])
+        rows = rows.sort_values([*values, "label"])
+        out = []
+        for label, counts in zip(given["label"], given["_counts"], strict=True):
+            own = rows[rows["label"] == label]
+            drawn = _draw(f"{seed}:{name}:{label}:{block}:{cell}", _unpacked([counts], size_of(block))[0], own["_n"].to_numpy())
+            for which, value in enumerate(values):
+                s = own[value].to_numpy()
+                order = np.argsort(s, kind="stable")
+                distinct, first = np.unique(s[order], return_index=True)
+                packed = _packed(np.add.reduceat(drawn[:, order], first, axis=1))
+                out.append(pd.DataFrame({"_g": name, "_block": block, "_which": which, "_score": distinct, "label": label, "_counts": packed}))
+        return pd.concat(out)
+
+    at = ["_g", "_cell", "_block"]
+    slim = celled.select("_g", "_cell", *values, "label", "_n").crossJoin(blocks)
+    drawn = slim.groupBy(*at).cogroup(shares.groupBy(*at)).applyInPandas(draw, drawn_schema)
+    below_score = F.filter(F.get(F.col("_cuts"), F.col("_which")), lambda x: x < F.col("_score"))
+    placed = drawn.join(ranges, "_g").withColumn("_at", F.size(below_score)).drop("_cuts")
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["_block"].iloc[0])
+        pdf = pdf.sort_values(["_score", "label"])
+        counts = _unpacked(pdf["_counts"].tolist(), size_of(block))
+        first = np.unique(pdf["_score"].to_numpy(), return_index=True)[1]
+        is_pos = (pdf["label"] == 1).to_numpy()[:, None]
+        pos, neg = (np.add.reduceat(np.where(mask, counts, 0), first, axis=0) for mask in (is_pos, ~is_pos))
+        below = np.cumsum(neg, axis=0) - neg
+        figures = {"_pos": pos.sum(axis=0), "_neg": neg.sum(axis=0), "_pairs": (pos * (below + neg / 2)).sum(axis=0)}
+        ids = np.arange(block * BLOCK, block * BLOCK + size_of(block))
+        return pd.DataFrame({"_g": pdf["_g"].iloc[0], "_which": pdf["_which"].iloc[0], "_at": pdf["_at"].iloc[0], "replicate": ids} | figures)
+
+    parts = placed.groupBy("_g", "_block", "_which", "_at").applyInPandas(part, "_g string, _which int, _at int, replicate int, _pos long, _neg long, _pairs double")
+    ahead = W.partitionBy("_g", "_which", "replicate").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    ranked = parts.withColumn("_pairs", F.col("_pairs") + F.col("_pos") * F.coalesce(F.sum("_neg").over(ahead), F.lit(0)))
+    of = lambda c, i: F.sum(F.when(F.col("_which") == i, F.col(c)))
+    aucs = [(of("_pairs", i) / (of("_pos", i).cast("double") * of("_neg", i))).alias(f"auc_{s}") for i, s in enumerate(scores)]
+    found = ranked.groupBy("_g", "replicate").agg(*aucs)
+    return found.join(hist.select("_g", *keys).distinct(), "_g").drop("_g").select(*keys, "replicate", *[f"auc_{s}" for s in scores])
 
 
 def interval(replicates: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -78,4 +141,3 @@ def paired_difference_ci(scored: DataFrame, keys: list[str], first: str, second:
     """Interval of the difference first - second on the same resamples."""
     both = bootstrap_auc(scored, keys, [first, second], replicates, seed)
     return interval(both.withColumn("difference", F.col(f"auc_{first}") - F.col(f"auc_{second}")), keys, "difference")
-
