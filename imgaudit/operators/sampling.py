@@ -18,6 +18,28 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "ran
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
+#: Hexadecimal digits of a hashed order that deal the rows of a group into parts (4,096).
+PART_DIGITS = 3
+
+
+def ranked_by_hash(rows: DataFrame, by: list[str], hashed: Column, key: str, name: str = "rank") -> DataFrame:
+    """``ranked`` in the order of (hashed, key), where ``hashed`` is a hexadecimal hash, for groups of any size.
+
+    Parts of a group by the first digits are ranked apart and shifted by the rows of the parts before.
+    """
+    dealt = rows.withColumn("_hash", hashed).withColumn("_part", F.substring("_hash", 1, PART_DIGITS))
+    ahead = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    names = [*by, "_part"]
+    starts = dealt.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    starts = starts.select(*[F.col(c).alias(f"_k_{c}") for c in names], "_before")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    inner = F.row_number().over(W.partitionBy(*names).orderBy("_hash", key))
+    out = dealt.withColumn(name, inner).join(starts, same).withColumn(name, F.col(name) + F.col("_before"))
+    return out.drop("_hash", "_part", "_before", *[f"_k_{c}" for c in names])
+
+
 def require(problem: DataFrame, message: str) -> None:
     """Raise with the first rows of ``problem`` if it has any."""
     found = problem.limit(3).collect()
@@ -69,17 +91,24 @@ def group_balanced_select(rows: DataFrame, groups: DataFrame, per_class: int, re
     if strict:
         require(short_groups(rows, ["label", "group"], quotas), "groups are short")
     order = [seed_hex(seed, F.col(key)), F.col(key)]
-    chosen = ranked(rows, ["label", "group"], order).join(F.broadcast(quotas), ["label", "group"]).where("rank <= quota").drop("rank", "quota")
+    first = ranked(rows, ["label", "group"], order).where(F.col("rank") <= per_class + reserve)  # no quota is larger
+    chosen = first.join(F.broadcast(quotas), ["label", "group"]).where("rank <= quota").drop("rank", "quota")
     shuffled = [seed_hex(seed, F.lit("order"), F.col(key)), F.col(key)]
     return ranked(chosen, ["label"], shuffled, "selection_rank")
 
 
 def assign_split_roles(rows: DataFrame, train: int, evaluation: int, order: str, label: str = "label", strict: bool = True) -> DataFrame:
-    """By label and order: the first rows train, the next ones evaluation, the rest reserve."""
+    """By label and order: the first rows train, the next ones evaluation, the rest reserve.
+
+    ``order`` tells the rows of a label apart; a row without it is reserve. Only the first rows of a
+    label are ranked, which gives the last value of each role; all rows are compared with these.
+    """
     if strict:
         require(rows.groupBy(label).count().where(F.col("count") < train + evaluation), "too few rows")
-    role = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + evaluation, "evaluation").otherwise("reserve")
-    return ranked(rows, [label], [F.col(order)]).withColumn("role", role).drop("rank")
+    first = ranked(rows.where(F.col(order).isNotNull()).select(label, order), [label], [F.col(order)]).where(F.col("rank") <= train + evaluation)
+    cuts = first.groupBy(F.col(label).alias("_label")).agg(F.max(F.when(F.col("rank") <= train, F.col(order))).alias("_train"), F.max(order).alias("_evaluation"))
+    role = F.when(F.col(order) <= F.col("_train"), "train").when(F.col(order) <= F.col("_evaluation"), "evaluation").otherwise("reserve")
+    return rows.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left").withColumn("role", role).drop("_label", "_train", "_evaluation")
 
 
 def assign_training_records(rows: DataFrame, frozen: DataFrame, per_class: int, order: str = "selection_rank", label: str = "label", sha: str = "sha256") -> DataFrame:
@@ -95,13 +124,13 @@ def domain_balanced(rows: DataFrame, seed: int, key: str = "image_id") -> DataFr
     """The same number of images of each (domain, label), all views of each; rows(domain, view, label, key)."""
     images = rows.select("domain", "label", key).distinct()
     least = images.groupBy("domain", "label").count().agg(F.min("count").alias("quota"))
-    chosen = ranked(images, ["domain", "label"], [seed_hex(seed, F.col(key)), F.col(key)]).crossJoin(F.broadcast(least)).where("rank <= quota")
+    chosen = ranked_by_hash(images, ["domain", "label"], seed_hex(seed, F.col(key)), key).crossJoin(F.broadcast(least)).where("rank <= quota")
     return rows.join(chosen.select("domain", key), ["domain", key], "left_semi")
 
 
 def stratified_folds(rows: DataFrame, folds: int, seed: int, label: str = "label", key: str = "image_id") -> DataFrame:
-    order = [seed_hex(seed, F.lit("fold"), F.col(key)), F.col(key)]
-    return ranked(rows, [label], order).withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(folds))).drop("rank")
+    dealt = ranked_by_hash(rows, [label], seed_hex(seed, F.lit("fold"), F.col(key)), key)
+    return dealt.withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(folds)).cast("int")).drop("rank")
 
 
 def top_errors(scored: DataFrame, threshold: float, k: int, key: str = "image_id", score: str = "score", strict: bool = False) -> DataFrame:
