@@ -56,6 +56,28 @@ def roc_auc(scored: DataFrame, keys: list[str], score: str = "score") -> DataFra
     return hist.groupBy(*keys).agg(F.when((p > 0) & (n > 0), pairs / F.nullif(p * n, F.lit(0.0))).alias("auc"))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float], names: list[str]) -> DataFrame:
+    """keys and the exact quantiles of a column, interpolated between neighbours; null where a group has no value.
+
+    Ranks come from running counts of distinct values in cells, so no task holds a whole group.
+    """
+    hist = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("score")).agg(F.count("*").alias("pos")).withColumn("neg", F.lit(0))
+    total = hist.groupBy(*keys).agg(F.sum("pos").alias("_total")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    ranked = _running(hist, keys).join(total, same)
+    found = []
+    for p, name in zip(points, names, strict=True):
+        at = (F.col("_total") - 1) * F.lit(float(p))
+        on = lambda r: F.max(F.when((F.col("pos_before") <= r) & (r < F.col("pos_before") + F.col("pos")), F.col("score")))
+        low, high = on(F.floor(at)), on(F.ceil(at))
+        share = F.max(at - F.floor(at))
+        found.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(name))
+    per = ranked.groupBy(*keys).agg(*found).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *names)
+    return rows.select(*keys).distinct().join(per, same, "left").select(*keys, *names)
+
+
 def confusion(threshold: float | Column, score: str = "score") -> list[Column]:
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
     pos, hit = F.col("label") == 1, F.col(score) >= t
@@ -83,16 +105,27 @@ def score_matrix(scored: DataFrame, keys: list[str], threshold: float, score: st
 
 
 def aggregate_robustness(matrix: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Clean AUC, mean over conditions and over families, both composites; of ``matrix(by, condition, auc)``."""
+    """Clean AUC, mean over conditions and over families, both composites; of ``matrix(by, condition, auc)``.
+
+    A group without exactly one clean row, without any other, or with a repeated condition is an
+    error when the result is computed.
+    """
     by = by or []
     one = matrix if by else matrix.withColumn("_all", F.lit(0))
     keys = by or ["_all"]
     named = one.withColumn("family", family(F.col("condition")))
-    clean = named.where("condition = 'clean'").groupBy(*keys).agg(F.max("auc").alias("clean_auc"), F.count("*").alias("_clean"))
-    rest = named.where("condition <> 'clean'")
-    per_condition = rest.groupBy(*keys).agg(F.avg("auc").alias("condition_auc"), F.count("*").alias("n_conditions"), F.count_distinct("condition").alias("_kinds"))
-    per_family = rest.groupBy(*keys, "family").agg(F.avg("auc").alias("auc")).groupBy(*keys).agg(F.avg("auc").alias("family_auc"), F.count("*").alias("n_families"))
-    out = clean.join(per_condition, keys).join(per_family, keys).where("_clean = 1 and _kinds = n_conditions").drop("_clean", "_kinds", "_all")
+    clean = F.col("condition") == "clean"
+    totals = named.groupBy(*keys).agg(
+        F.max(F.when(clean, F.col("auc"))).alias("clean_auc"),
+        F.count_if(clean).alias("_clean"),
+        F.avg(F.when(~clean, F.col("auc"))).alias("condition_auc"),
+        F.count_if(~clean).alias("n_conditions"),
+        F.count_distinct(F.when(~clean, F.col("condition"))).alias("_kinds"),
+    )
+    per_family = named.where(~clean).groupBy(*keys, "family").agg(F.avg("auc").alias("auc")).groupBy(*keys).agg(F.avg("auc").alias("family_auc"), F.count("*").alias("n_families"))
+    problem = F.when(F.col("_clean") != 1, "not one clean condition").when(F.col("n_conditions") == 0, "no transformed condition").when(F.col("_kinds") < F.col("n_conditions"), "a condition is repeated")
+    checked = F.when(problem.isNull(), F.col("clean_auc")).otherwise(F.raise_error(problem))
+    out = totals.join(per_family, keys, "left").withColumn("clean_auc", checked).drop("_clean", "_kinds", "_all")
     return out.withColumn("condition_score", (F.col("clean_auc") + F.col("condition_auc")) / 2).withColumn("family_score", (F.col("clean_auc") + F.col("family_auc")) / 2)
 
 
@@ -147,11 +180,10 @@ GATES = {"least_std": 0.01, "least_rate": 0.05, "most_rate": 0.95}
 def promotion_gates(scored: DataFrame, minimums: DataFrame, threshold: float, score: str = "score") -> DataFrame:
     """One row for each dataset: figures, the list of failed gates and whether all hold; ``minimums(dataset, min_auc)``."""
     s = F.col(score)
-    stats = scored.groupBy("dataset").agg(
-        F.stddev_pop(s).alias("score_std"),
-        F.percentile(F.when(F.col("label") == 0, s), 0.5).alias("real_median"),
-        F.percentile(F.when(F.col("label") == 1, s), 0.5).alias("fake_median"),
-    )
+    halves = quantiles(scored.where("label in (0, 1)").select("dataset", "label", s.alias("_s")), ["dataset", "label"], "_s", [0.5], ["median"])
+    median = lambda y: F.max(F.when(F.col("label") == y, F.col("median")))
+    medians = halves.groupBy("dataset").agg(median(0).alias("real_median"), median(1).alias("fake_median"))
+    stats = scored.groupBy("dataset").agg(F.stddev_pop(s).alias("score_std")).join(medians, "dataset", "left")
     m = score_matrix(scored, ["dataset"], threshold, score).join(threshold_metrics(scored, ["dataset"], threshold, score).select("dataset", "fake_rate"), "dataset")
     all_ = m.join(stats, "dataset").join(F.broadcast(minimums), "dataset")  # a row for each dataset
     fails = [
@@ -187,11 +219,17 @@ def saturation(scored: DataFrame, keys: list[str], prob: str = "prob", margin: s
 
 
 def quantile_summary(rows: DataFrame, keys: list[str], value: str, approximate: bool = False) -> DataFrame:
-    """min, p05, median, p95, p99, max; exact by default, by a sketch for very large groups."""
-    points = [0.0, 0.05, 0.5, 0.95, 0.99, 1.0]
-    q = F.percentile_approx(value, points, 10_000) if approximate else F.percentile(value, F.array(*[F.lit(p) for p in points]))
-    out = rows.groupBy(*keys).agg(q.alias("q"), F.count(value).alias("n"))
-    return out.select(*keys, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("min", "p05", "median", "p95", "p99", "max"))])
+    """min, p05, median, p95, p99, max; exact by default, by a sketch in one pass if ``approximate``."""
+    points, names = [0.0, 0.05, 0.5, 0.95, 0.99, 1.0], ["min", "p05", "median", "p95", "p99", "max"]
+    n = F.count(value).alias("n")
+    if approximate:
+        out = rows.groupBy(*keys).agg(F.percentile_approx(value, points, 10_000).alias("q"), n)
+        return out.select(*keys, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
+    exact = quantiles(rows, keys, value, points, names).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *names)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.groupBy(*keys).agg(n).join(exact, same).select(*keys, "n", *names)
 
 
 def source_scores(scored: DataFrame, threshold: float, score: str = "score") -> DataFrame:

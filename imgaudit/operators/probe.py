@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import margin, metadata_features, probability
-from .metrics import roc_auc
+from .metrics import quantiles, roc_auc
 from .sampling import stratified_folds
 
 
@@ -35,9 +35,11 @@ def fit_probe(rows: DataFrame, features: str = "features", label: str = "label",
 
 
 def score(rows: DataFrame, model: dict, features: str = "features") -> DataFrame:
-    """``rows`` with margin and prob; an error if any margin is not finite."""
+    """``rows`` with margin and prob; a margin that is NaN or infinite is an error, a row without features has none."""
     arrays = [F.array(*[F.lit(v) for v in model[k]]) for k in ("mean", "std", "weights")]
-    return rows.withColumn("margin", margin(F.col(features), *arrays, F.lit(model["bias"]))).withColumn("prob", probability(F.col("margin")))
+    m = margin(F.col(features), *arrays, F.lit(model["bias"]))
+    finite = m.isNull() | (~F.isnan(m) & (F.abs(m) < float("inf")))
+    return rows.withColumn("margin", F.when(finite, m).otherwise(F.raise_error(F.lit("a margin is not finite")))).withColumn("prob", probability(F.col("margin")))
 
 
 def not_finite(scored: DataFrame) -> DataFrame:
@@ -92,4 +94,4 @@ def shift_diagnosis(rows: DataFrame, stats: DataFrame, keys: list[str], features
     """keys, largest and 99.9th percentile of |standardized feature| under ``stats(idx, mean, std)``."""
     cells = rows.select(*keys, F.posexplode(features).alias("idx", "x")).join(F.broadcast(stats), "idx")  # one row a feature
     z = F.abs((F.col("x").cast("double") - F.col("mean")) / F.col("std"))
-    return cells.groupBy(*keys).agg(F.max(z).alias("max_z"), F.percentile(z, 0.999).alias("p999_z"))
+    return quantiles(cells.select(*keys, z.alias("z")), keys, "z", [1.0, 0.999], ["max_z", "p999_z"])

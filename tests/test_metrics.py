@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from imgaudit.operators import metrics, resampling
@@ -89,3 +90,34 @@ def test_bootstrap_of_many_distinct_scores(spark):
     auc = metrics.roc_auc(df, ["dataset"]).first()["auc"]
     low, high = resampling.bootstrap_auc_ci(df, ["dataset"], replicates=20, seed=1).select("low", "high").first()
     assert auc - 0.02 < low < high < auc + 0.02
+
+
+def test_robustness_needs_one_clean_and_distinct_conditions(spark):
+    schema = "condition string, auc double"
+    for bad in ([("jpeg_q90", 0.8)], [("clean", 0.9)], [("clean", 0.9), ("clean", 0.9), ("jpeg_q90", 0.8)], [("clean", 0.9), ("jpeg_q90", 0.8), ("jpeg_q90", 0.7)]):
+        with pytest.raises(Exception, match="condition"):
+            metrics.aggregate_robustness(spark.createDataFrame(bad, schema)).collect()
+
+
+def test_quantiles_match_numpy(spark):
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "b", None]), rng.choice([0.5, 1.0, None, rng.random()])) for _ in range(500)] + [("c", None)]
+    points = [0.0, 0.05, 0.5, 0.999, 1.0]
+    got = metrics.quantiles(spark.createDataFrame(data, "k string, x double"), ["k"], "x", points, list("vwxyz")).collect()
+    assert len(got) == 4
+    for r in got:
+        own = [x for k, x in data if k == r["k"] and x is not None]
+        assert list(r)[1:] == (pytest.approx(list(np.quantile(own, points))) if own else [None] * 5)
+
+
+def test_bootstrap_in_many_cells(spark, monkeypatch):
+    """Small cells and ranges give the same spread as one cell, and both scores use the same resample."""
+    df = spark.range(4000).selectExpr("int(id % 2) as label", "(id * 7919 % 4000 + id % 2 * 1000) / 5000 as score").selectExpr("*", "score * 3 - 1 as other", "least(score, 0.5) as capped")
+    spread = []
+    for cell in (1 << 14, 100):
+        monkeypatch.setattr(resampling, "CELL", cell)
+        got = resampling.bootstrap_auc(df, [], ["score", "other", "capped"], 120, 4).toPandas()
+        assert len(got) == 120 and (got["auc_score"] - got["auc_other"]).abs().max() < 1e-12
+        assert abs(got["auc_score"].mean() - metrics.roc_auc(df, []).first()["auc"]) < 0.005
+        spread.append(got["auc_score"].std())
+    assert spread[0] == pytest.approx(spread[1], rel=0.35)
