@@ -237,7 +237,7 @@ def top_errors(spark, sf):
     return _rounded(sampling.top_errors(scored(spark, sf), T, 25).select("image_id", "condition", "label", "score", "error_type", "rank"))
 
 
-_SUB = ", ".join(f"({s})" for s in range(5))
+_SUB = ", ".join(f"({s})" for s in range(20))
 
 
 @_query(
@@ -248,7 +248,7 @@ _SUB = ", ".join(f"({s})" for s in range(5))
     + " SELECT seed, round(auc, 6) AS auc FROM auc_seed"
 )
 def subsample_auc(spark, sf):
-    rows = sampling.seeded_subsamples(scored(spark, sf).select("image_id", "label", "score"), 200, list(range(5)))
+    rows = sampling.seeded_subsamples(scored(spark, sf).select("image_id", "label", "score"), 200, list(range(20)))
     return _rounded(metrics.roc_auc(rows, ["seed"]))
 
 
@@ -495,9 +495,9 @@ def training_conditions(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", conditions.training_condition(7, F.col("doc_id")).alias("condition"))
 
 
-@_query("SELECT CAST(event_id AS BIGINT) AS image_id, c AS condition, CAST(('0x' || substr(sha256('7:' || event_id || ':' || c), 1, 16))::UBIGINT AS VARCHAR) AS seed FROM events, (VALUES " + ", ".join(f"('{c}')" for c in ["clean", *(f"{f}_{s}" for f, s, _ in conditions.TRANSFORMS), *conditions.CHAINS]) + ") v(c) WHERE event_type = 'view'")
+@_query("SELECT CAST(event_id AS BIGINT) AS image_id, c AS condition, CAST(('0x' || substr(sha256('7:' || event_id || ':' || c), 1, 16))::UBIGINT AS VARCHAR) AS seed FROM events, (VALUES " + ", ".join(f"('{c}')" for c in ["clean", *(f"{f}_{s}" for f, s, _ in conditions.TRANSFORMS), *conditions.CHAINS]) + ") v(c)")
 def expand_conditions(spark, sf):
-    rows = _read(spark, sf, "events").where("event_type = 'view'").select(F.col("event_id").alias("image_id"))
+    rows = _read(spark, sf, "events").select(F.col("event_id").alias("image_id"))
     return conditions.expand_conditions(rows, 7).select("image_id", "condition", F.col("seed").cast("string").alias("seed"))
 
 
@@ -526,10 +526,14 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("image_id", "label", "source", arrays.sign_hash(F.col("features")).alias("h"))
 
 
-@_query(f"WITH s AS ({_BITS}), a AS (SELECT DISTINCT s FROM s WHERE vec_id % 5 = 0), b AS (SELECT DISTINCT s FROM s WHERE vec_id % 5 <> 0) SELECT a.s AS a, b.s AS b, CAST(hamming(a.s, b.s) AS INT) AS distance FROM a, b WHERE hamming(a.s, b.s) <= 4")
+_SHIFTED = _BITS.replace("x > 0 ", "CAST(x AS DOUBLE) > CAST(0.01 AS DOUBLE) ")
+
+
+@_query(f"WITH a AS (SELECT DISTINCT s FROM ({_BITS}) WHERE vec_id % 5 = 0), b AS (SELECT DISTINCT s FROM ({_SHIFTED})) SELECT a.s AS a, b.s AS b, CAST(hamming(a.s, b.s) AS INT) AS distance FROM a, b WHERE hamming(a.s, b.s) <= 4")
 def near_duplicate_pairs(spark, sf):
-    h = _hashes(spark, sf)
-    found = near_duplicates.near_pairs(h.where("image_id % 5 = 0"), h.where("image_id % 5 <> 0"))
+    """Hashes of a fifth of the vectors against those of all vectors shifted a little, as re-encoded views are."""
+    shifted = features(spark, sf).select(arrays.sign_hash(F.transform("features", lambda x: x.cast("double") - 0.01)).alias("h"))
+    found = near_duplicates.near_pairs(_hashes(spark, sf).where("image_id % 5 = 0"), shifted)
     text = lambda c: F.lpad(F.conv(F.hex(c), 16, 2), 64, "0")
     return found.select(text("a").alias("a"), text("b").alias("b"), F.col("distance").cast("int").alias("distance"))
 
