@@ -11,7 +11,7 @@ from ..operators import metrics, resampling, sampling
 def score_audit(scored: DataFrame, threshold: float, keys: list[str] | None = None, replicates: int = 5000, seed: int = 0) -> DataFrame:
     """One row for each group: AUC of probability and margin with intervals, their paired difference,
 
-    saturation, confusion figures at the threshold and the calibration gap of the mean.
+    saturation, confusion figures at the threshold and the Brier score.
     """
     keys = keys or ["dataset"]
     out = metrics.threshold_metrics(scored, keys, threshold, "prob")
