@@ -129,11 +129,13 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     files: doc_id, n_bytes, media_id, head, chunks, own (bytes of the chunks that are not shared).
     """
     repeated = materialize(_digests(docs).groupBy("digest", "check").count().where("count > 1").select("digest", "check"), "repeated-chunks")
-    words = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, F.col("digest"), bitmap_bits(repeated.count())))
+    bits = bitmap_bits(2 * repeated.count())
+    words = docs.sparkSession.sparkContext.broadcast([bitmap(repeated, F.col(half), bits) for half in ("digest", "check")])
 
     def is_shared(found: list[tuple[int, int]]) -> np.ndarray:
-        """A chunk outside the bitmap occurs once; of those inside, nearly all occur more often."""
-        return in_bitmap(words.value, np.array([a for a, _ in found], dtype=np.int64).view(np.uint64))
+        """A chunk outside either bitmap occurs once; of those inside both, nearly all occur more often."""
+        halves = np.array(found, dtype=np.int64).reshape(-1, 2).view(np.uint64)
+        return in_bitmap(words.value[0], halves[:, 0]) & in_bitmap(words.value[1], halves[:, 1])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
