@@ -247,8 +247,41 @@ def vectors_as_images(rows: DataFrame, side: int = 8) -> DataFrame:
     return rows.mapInPandas(run, f"image_id {dict(rows.dtypes)['image_id']}, condition string, seed decimal(20,0), height int, width int, pixels binary")
 
 
+def _size(content: bytes) -> tuple[int, int]:
+    """Width and height that the head of a PNG, JPEG or WEBP file tells; 0, 0 if it tells none."""
+    if content[:4] == b"\x89PNG" and len(content) >= 24:
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    if content[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(content) and content[at] == 0xFF:
+            marker = content[at + 1]
+            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):  # a frame
+                return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+            alone = marker == 0xFF or marker == 0x01 or 0xD0 <= marker <= 0xD8
+            at += (1 if marker == 0xFF else 2) if alone else 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    if content[:4] == b"RIFF" and content[8:12] == b"WEBP" and len(content) >= 30:
+        if content[12:16] == b"VP8X":
+            return int.from_bytes(content[24:27], "little") + 1, int.from_bytes(content[27:30], "little") + 1
+        if content[12:16] == b"VP8L":
+            bits = int.from_bytes(content[21:25], "little")
+            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        if content[12:16] == b"VP8 ":
+            return int.from_bytes(content[26:28], "little") & 0x3FFF, int.from_bytes(content[28:30], "little") & 0x3FFF
+    return 0, 0
+
+
 def image_properties(files: DataFrame) -> DataFrame:
-    """path, bytes and format (by the first bytes) of a table of files(path, content)."""
+    """path, bytes, format, width and height of a table of files(path, content), all from the files' heads.
+
+    Width and height are null where the head tells none.
+    """
+
+    @F.pandas_udf("width int, height int")
+    def sizes(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(0, 0) if c is None else _size(c) for c in content], columns=["width", "height"])
+
     head = F.hex(F.substring("content", 1, 12))
     kind = F.when(head.startswith("89504E47"), "PNG").when(head.startswith("FFD8FF"), "JPEG").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "WEBP").otherwise("unknown")
-    return files.select("path", F.length("content").alias("bytes"), kind.alias("format"))
+    found = files.select("path", F.length("content").alias("bytes"), kind.alias("format"), sizes("content").alias("_size"))
+    known = lambda c: F.when(F.col(f"_size.{c}") > 0, F.col(f"_size.{c}")).alias(c)
+    return found.select("path", "bytes", "format", known("width"), known("height"))

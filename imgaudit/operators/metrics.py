@@ -196,22 +196,32 @@ def promotion_gates(scored: DataFrame, minimums: DataFrame, threshold: float, sc
     return all_.withColumn("failures", F.array_join(failed, ",")).withColumn("passed", F.size(failed) == 0)
 
 
-def reliability_bins(scored: DataFrame, bins: int = 10, score: str = "score") -> DataFrame:
-    """bin, lower, upper, n, mean_score, positive_rate; lower edges belong to their bin, the last is closed."""
+def reliability_bins(scored: DataFrame, bins: int = 10, score: str = "score", keys: list[str] | None = None) -> DataFrame:
+    """keys, bin, lower, upper, n, mean_score, positive_rate; lower edges belong to their bin, the last is closed."""
+    keys = keys or []
     edges = [k / bins for k in range(bins + 1)]
     own = F.lit(0)
     for e in edges[1:-1]:
         own = own + F.when(F.col(score) >= e, 1).otherwise(0)
     table = scored.sparkSession.createDataFrame([(k, edges[k], edges[k + 1]) for k in range(bins)], "bin int, lower double, upper double")
-    found = scored.where(F.col(score).isNotNull()).groupBy(own.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col("label").cast("double")).alias("positive_rate"))
-    return table.join(found, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    found = scored.where(F.col(score).isNotNull()).groupBy(*keys, own.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col("label").cast("double")).alias("positive_rate"))
+    if not keys:
+        return table.join(found, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    found = found.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("bin").alias("_bin"), "n", "mean_score", "positive_rate")
+    same = F.col("bin") == F.col("_bin")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    every = scored.select(*keys).distinct().crossJoin(F.broadcast(table))  # a row for each bin
+    return every.join(found, same, "left").select(*keys, "bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"), "mean_score", "positive_rate")
 
 
-def calibration_error(scored: DataFrame, bins: int = 10, score: str = "score") -> DataFrame:
-    """ece and brier, one row."""
-    b = reliability_bins(scored, bins, score)
-    ece = b.agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("positive_rate"))) / F.sum("n")).alias("ece"))
-    return ece.crossJoin(scored.agg(F.avg((F.col(score) - F.col("label")) * (F.col(score) - F.col("label"))).alias("brier")))  # one row each
+def calibration_error(scored: DataFrame, bins: int = 10, score: str = "score", keys: list[str] | None = None) -> DataFrame:
+    """keys, ece and brier; without keys, one row."""
+    keys = keys or []
+    b = reliability_bins(scored, bins, score, keys)
+    ece = b.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("positive_rate"))) / F.sum("n")).alias("ece"))
+    brier = scored.groupBy(*keys).agg(F.avg((F.col(score) - F.col("label")) * (F.col(score) - F.col("label"))).alias("brier"))
+    return ece.join(brier, keys) if keys else ece.crossJoin(brier)  # one row each
 
 
 def saturation(scored: DataFrame, keys: list[str], prob: str = "prob", margin: str = "margin") -> DataFrame:
@@ -232,11 +242,12 @@ def quantile_summary(rows: DataFrame, keys: list[str], value: str, approximate:
     return rows.groupBy(*keys).agg(n).join(exact, same).select(*keys, "n", *names)
 
 
-def source_scores(scored: DataFrame, threshold: float, score: str = "score") -> DataFrame:
-    """One row for each source: counts, errors, quantiles, AUC or null with a note."""
-    t = threshold_metrics(scored, ["source"], threshold, score).select("source", "n", (F.col("tn") + F.col("fp")).alias("n_real"), (F.col("fn") + F.col("tp")).alias("n_fake"), (F.col("fp") + F.col("fn")).alias("errors"), "fake_rate")
-    q = quantile_summary(scored, ["source"], score).select("source", "p05", "median", "p95")
-    out = t.join(q, "source").join(roc_auc(scored, ["source"], score), "source")
+def source_scores(scored: DataFrame, threshold: float, score: str = "score", keys: list[str] | None = None) -> DataFrame:
+    """One row for each source (and keys): counts, errors, quantiles, AUC or null with a note."""
+    by = [*(keys or []), "source"]
+    t = threshold_metrics(scored, by, threshold, score).select(*by, "n", (F.col("tn") + F.col("fp")).alias("n_real"), (F.col("fn") + F.col("tp")).alias("n_fake"), (F.col("fp") + F.col("fn")).alias("errors"), "fake_rate")
+    q = quantile_summary(scored, by, score).select(*by, "p05", "median", "p95")
+    out = t.join(q, by).join(roc_auc(scored, by, score), by)
     return out.withColumn("note", F.when(F.col("auc").isNull(), "one class only").otherwise(""))
 
 

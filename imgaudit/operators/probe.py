@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import margin, metadata_features, probability
-from .metrics import quantiles, roc_auc
-from .sampling import stratified_folds
+from .exclusion import misaligned
+from .metrics import quantile_summary, quantiles, roc_auc
+from .resampling import bootstrap_auc_ci
+from .sampling import require, stratified_folds
 
 
 def standardize_fit(rows: DataFrame, features: str = "features", keys: list[str] | None = None) -> DataFrame:
@@ -20,7 +25,7 @@ def standardize_fit(rows: DataFrame, features: str = "features", keys: list[str]
     return cells.groupBy(*keys, "idx").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.when(std > 0, std).otherwise(1.0).alias("std"))
 
 
-def fit_probe(rows: DataFrame, features: str = "features", label: str = "label", max_iter: int = 2000, c: float = 1.0) -> dict:
+def fit_probe(rows: DataFrame, features: str = "features", label: str = "label", max_iter: int = 2000, c: float = 1.0, tol: float = 1e-9) -> dict:
     """mean, std, weights and bias of a standardized L2 logistic regression; both classes are needed."""
     n, classes = rows.agg(F.count("*"), F.count_distinct(label)).first()
     if classes != 2:
@@ -30,7 +35,7 @@ def fit_probe(rows: DataFrame, features: str = "features", label: str = "label",
     m, s = (F.array(*[F.lit(v) for v in values]) for values in (mean, std))
     scaled = F.zip_with(F.zip_with(F.col(features), m, lambda x, y: x.cast("double") - y), s, lambda x, y: x / y)
     table = rows.select(array_to_vector(scaled).alias("x"), F.col(label).cast("double").alias("y"))
-    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(table)
+    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol).fit(table)
     return {"mean": mean, "std": std, "weights": [float(w) for w in model.coefficients], "bias": float(model.intercept)}
 
 
@@ -47,39 +52,128 @@ def not_finite(scored: DataFrame) -> DataFrame:
 
 
 def fit_ablations(clean: DataFrame, augmented: DataFrame) -> dict[str, dict]:
-    """Three models of tables(image_id, label, semantic, frequency): semantic, hybrid, hybrid with both views."""
+    """Three models of tables(image_id, label, semantic, frequency): semantic, hybrid, hybrid with both views.
+
+    Both tables must hold the same ids with the same labels, each once.
+    """
+    for view in (clean, augmented):
+        require(view.groupBy("image_id").count().where("count > 1"), "ids are repeated")
+    require(misaligned(clean, augmented), "views are not aligned")
     hybrid = lambda df: df.withColumn("features", F.concat("semantic", "frequency"))
     sets = {"semantic": clean.withColumn("features", F.col("semantic")), "hybrid": hybrid(clean), "hybrid_augmented": hybrid(clean.unionByName(augmented))}
     return {name: fit_probe(rows) for name, rows in sets.items()}
 
 
+def fit_probes(rows: DataFrame, keys: list[str], width: int, features: str = "features", label: str = "label", c: float = 1.0, max_rounds: int = 60) -> list[tuple]:
+    """(keys..., mean, std, weights, bias) of the standardized L2 logistic regression of every group of keys.
+
+    All groups are fitted in the same passes, one a Newton step, of built-in sums over the rows. It is meant for few
+    groups and few features: a pass brings some width * width / 2 numbers a group to the driver. Keys, labels and
+    features may not be null. A group of one class, or one that has not settled after ``max_rounds`` passes, is an error.
+    """
+    xs, n = [f"_x{i}" for i in range(width)], width + 1
+    base = rows.select(*keys, F.col(label).cast("double").alias("_y"), *[F.get(F.col(features), F.lit(i)).cast("double").alias(x) for i, x in enumerate(xs)])
+    stats = base.groupBy(*keys).agg(F.count_distinct("_y").alias("_classes"), *[F.avg(x).alias(f"m{x}") for x in xs], *[F.stddev_pop(x).alias(f"s{x}") for x in xs]).collect()
+    groups = {tuple(r[k] for k in keys): ([r[f"m{x}"] for x in xs], [r[f"s{x}"] or 1.0 for x in xs]) for r in stats}
+    if any(r["_classes"] != 2 for r in stats):
+        raise ValueError("both classes are needed in every group")
+    schema = ", ".join([*(f"{k} {dict(rows.dtypes)[k]}" for k in keys), "_m array<double>", "_s array<double>", "_b array<double>"])
+
+    def sums(trial: dict[tuple, np.ndarray]) -> dict[tuple, tuple]:
+        """Loss, gradient and second derivatives of every group in ``trial``, without the penalty."""
+        table = rows.sparkSession.createDataFrame([(*g, *groups[g], b.tolist()) for g, b in trial.items()], schema)
+        z = [(F.col(x) - F.get("_m", F.lit(i))) / F.get("_s", F.lit(i)) for i, x in enumerate(xs)]
+        scaled = base.join(F.broadcast(table), keys).select(*keys, "_y", "_b", *[v.alias(x) for v, x in zip(z, xs, strict=True)], F.lit(1.0).alias("_one"))  # a row a group
+        names = [*xs, "_one"]
+        m = sum((F.get("_b", F.lit(i)) * F.col(x) for i, x in enumerate(names)), F.lit(0.0))
+        scored = scaled.withColumn("_z", m).withColumn("_p", probability(F.col("_z")))
+        loss = F.sum(F.log1p(F.exp(-F.abs("_z"))) + F.greatest("_z", F.lit(0.0)) - F.col("_y") * F.col("_z"))
+        gradient = [F.sum((F.col("_p") - F.col("_y")) * F.col(x)) for x in names]
+        curved = F.col("_p") * (1 - F.col("_p"))
+        second = [F.sum(curved * F.col(names[i]) * F.col(names[j])) for i in range(n) for j in range(i, n)]
+        found = {}
+        for r in scored.groupBy(*keys).agg(loss.alias("loss"), F.array(*gradient).alias("gradient"), F.array(*second).alias("second")).collect():
+            h = np.zeros((n, n))
+            h[np.triu_indices(n)] = r["second"]
+            found[tuple(r[k] for k in keys)] = (r["loss"], np.array(r["gradient"]), h + np.triu(h, 1).T)
+        return found
+
+    penalty = np.append(np.full(width, 1.0 / c), 0.0)
+    best = {g: (np.inf, np.zeros(n)) for g in groups}
+    step = {g: np.zeros(n) for g in groups}
+    for _ in range(max_rounds):
+        trial = {g: best[g][1] - step[g] for g in step}
+        for g, (loss, gradient, second) in (sums(trial) if trial else {}).items():
+            b = trial[g]
+            value = loss + (penalty * b * b).sum() / 2
+            if value > best[g][0] + 1e-9 * abs(best[g][0]):
+                step[g] = step[g] / 2
+                continue
+            best[g] = (value, b)
+            step[g] = np.linalg.solve(second + np.diag(penalty) + 1e-12 * np.eye(n), gradient + penalty * b)
+            if np.abs(step[g]).max() < 1e-8:
+                del step[g]
+    if step:
+        raise RuntimeError(f"{len(step)} groups have not settled after {max_rounds} passes")
+    return [(*g, *groups[g], b[:-1].tolist(), float(b[-1])) for g, (_, b) in best.items()]
+
+
 def metadata_baseline(rows: DataFrame, seeds: list[int], folds: int = 5) -> DataFrame:
-    """seed, auc of out-of-fold scores of a four-feature probe; rows(image_id, label, width, height, bytes)."""
-    base = rows.withColumn("features", metadata_features(F.col("width"), F.col("height"), F.col("bytes")))
-    parts = []
+    """seed, auc of out-of-fold scores of a four-feature probe; rows(image_id, label, width, height, bytes).
+
+    The models of all seeds and folds are fitted together.
+    """
+    base = rows.select("image_id", "label", metadata_features(F.col("width"), F.col("height"), F.col("bytes")).alias("features"))
+    dealt = None
     for seed in seeds:
-        dealt = stratified_folds(base, folds, seed).persist()
-        parts += [score(dealt.where(F.col("fold") == k), fit_probe(dealt.where(F.col("fold") != k), max_iter=200)).select(F.lit(seed).alias("seed"), "label", F.col("prob").alias("score")) for k in range(folds)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return roc_auc(out, ["seed"])
-
-
-def leave_pair_out(rows: DataFrame, real: list[str], fake: list[str]) -> DataFrame:
-    """pair, label, score of the rows of each (real, fake) pair of sources under a model without them."""
-    parts = []
-    for r in real:
-        for f in fake:
-            held = F.col("source").isin(r, f)
-            model = fit_probe(rows.where(~held), max_iter=200)
-            parts.append(score(rows.where(held), model).select(F.lit(f"{r}|{f}").alias("pair"), "label", F.col("prob").alias("score")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        part = stratified_folds(base, folds, seed).withColumn("seed", F.lit(seed))
+        dealt = part if dealt is None else dealt.unionByName(part)
+    dealt = dealt.persist()
+    trained = dealt.withColumn("held", F.explode(F.array(*[F.lit(k) for k in range(folds)]))).where("held <> fold")
+    models = fit_probes(trained, ["seed", "held"], 4)
+    dealt.unpersist()
+    table = rows.sparkSession.createDataFrame(models, "seed int, fold int, mean array<double>, std array<double>, weights array<double>, bias double")
+    scored = dealt.join(F.broadcast(table), ["seed", "fold"])  # a row for each seed and fold
+    m = margin(F.col("features"), F.col("mean"), F.col("std"), F.col("weights"), F.col("bias"))
+    return roc_auc(scored.select("seed", "label", probability(m).alias("score")), ["seed"])
+
+
+def auc_summary(aucs: DataFrame) -> DataFrame:
+    """n, mean, least, median and greatest AUC of a table of AUCs, one a seed or a pair; one row."""
+    return aucs.agg(F.count("auc").alias("n"), F.avg("auc").alias("mean"), F.min("auc").alias("min"), F.percentile("auc", 0.5).alias("median"), F.max("auc").alias("max"))
+
+
+def leave_pair_out(rows: DataFrame, real: list[str], fake: list[str], augmented: DataFrame | None = None, max_iter: int = 2000, tol: float = 1e-6) -> DataFrame:
+    """pair, n_fit, label, score (margin) of the rows of each (real, fake) pair of sources under a model without them.
+
+    Models are fitted on the rows of all other sources and, if given, on their ``augmented`` views; only ``rows``
+    are scored. Eight models are fitted at a time on a table kept in the cluster's memory or on its disks.
+    """
+    views = rows if augmented is None else rows.unionByName(augmented.select(rows.columns))
+    fitted = views.select("source", "label", "features").persist()
+    pairs = [(r, f) for r in real for f in fake]
+
+    def fit(pair: tuple[str, str]) -> tuple[dict, int]:
+        others = fitted.where(~F.coalesce(F.col("source").isin(*pair), F.lit(False)))
+        return fit_probe(others, max_iter=max_iter, tol=tol), others.count()
+
+    with ThreadPoolExecutor(8) as pool:
+        models = list(pool.map(fit, pairs))
+    fitted.unpersist()
+    out = None
+    for (r, f), (model, n) in zip(pairs, models, strict=True):
+        own = score(rows.where(F.col("source").isin(r, f)), model)
+        part = own.select(F.lit(f"{r}|{f}").alias("pair"), F.lit(n).cast("long").alias("n_fit"), "label", F.col("margin").alias("score"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def pair_audit(held_out: DataFrame, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """pair, n_fit, n_real, n_fake, auc, low, high of the rows that ``leave_pair_out`` scored."""
+    counts = held_out.groupBy("pair").agg(F.max("n_fit").alias("n_fit"), F.count_if(F.col("label") == 0).alias("n_real"), F.count_if(F.col("label") == 1).alias("n_fake"))
+    return counts.join(roc_auc(held_out, ["pair"]), "pair").join(bootstrap_auc_ci(held_out, ["pair"], replicates=replicates, seed=seed), "pair", "left")
+
+
 def branch_contributions(rows: DataFrame, model: dict, semantic: int, features: str = "features") -> DataFrame:
     """``rows`` with the parts of the margin that the first ``semantic`` features and the others make."""
     arrays = {k: F.array(*[F.lit(v) for v in model[k]]) for k in ("mean", "std", "weights")}
@@ -90,6 +184,21 @@ def branch_contributions(rows: DataFrame, model: dict, semantic: int, features:
     return out.withColumn("semantic_part", add(F.slice("_terms", 1, semantic))).withColumn("frequency_part", add(F.slice("_terms", semantic + 1, max(rest, 1))) if rest else F.lit(0.0)).drop("_terms")
 
 
+def branch_summary(parts: DataFrame, semantic: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, branch, class, n and quantiles of what ``branch_contributions`` gave.
+
+    Both contributions are summarised for all rows and for each class, the absolute standardized features after
+    the first ``semantic`` ones for all.
+    """
+    keys = keys or []
+    named = F.array(*[F.struct(F.lit(name).alias("branch"), F.col(f"{name}_part").alias("value")) for name in ("semantic", "frequency")])
+    classes = F.array(F.lit("all"), F.when(F.col("label") == 1, "FAKE").otherwise("REAL"))
+    sums = parts.select(*keys, F.explode(named).alias("x"), classes.alias("c")).select(*keys, "x.branch", F.explode("c").alias("class"), "x.value")
+    rest = F.expr(f"slice(standardized, {semantic + 1}, greatest(size(standardized) - {semantic}, 0))")
+    cells = parts.select(*keys, F.lit("absolute_frequency").alias("branch"), F.lit("all").alias("class"), F.explode(rest).alias("value")).withColumn("value", F.abs("value"))
+    return quantile_summary(sums.unionByName(cells), [*keys, "branch", "class"], "value")
+
+
 def shift_diagnosis(rows: DataFrame, stats: DataFrame, keys: list[str], features: str = "features") -> DataFrame:
     """keys, largest and 99.9th percentile of |standardized feature| under ``stats(idx, mean, std)``."""
     cells = rows.select(*keys, F.posexplode(features).alias("idx", "x")).join(F.broadcast(stats), "idx")  # one row a feature

@@ -7,11 +7,13 @@ before it shuffles.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.keys import seed_hex
+from ..functions.keys import normalize_group, seed_hex
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -85,8 +87,14 @@ def group_quotas(groups: DataFrame, total: int) -> DataFrame:
     return groups.withColumn("quota", F.floor(F.lit(total) / n) + F.when(turn <= F.lit(total) % n, 1).otherwise(0)).select("label", "group", "quota")
 
 
-def group_balanced_select(rows: DataFrame, groups: DataFrame, per_class: int, reserve: int, seed: int, key: str, strict: bool = True) -> DataFrame:
-    """A quota of each group, then a seeded order inside each label as selection_rank."""
+def group_balanced_select(rows: DataFrame, groups: DataFrame, per_class: int, reserve: int, seed: int, key: str, strict: bool = True, forbidden: list[str] | None = None) -> DataFrame:
+    """A quota of each group, then a seeded order inside each label as selection_rank.
+
+    Groups whose normalized name is that of a ``forbidden`` one are an error.
+    """
+    if forbidden:
+        barred = {re.sub("[^a-z0-9]+", "", name.lower()) for name in forbidden}
+        require(groups.where(normalize_group(F.col("group")).isin(*barred)), "groups are forbidden")
     quotas = group_quotas(groups, per_class + reserve)
     if strict:
         require(short_groups(rows, ["label", "group"], quotas), "groups are short")
@@ -146,9 +154,9 @@ def top_errors(scored: DataFrame, threshold: float, k: int, key: str = "image_id
     return out
 
 
-def seeded_subsamples(scored: DataFrame, per_class: int, seeds: list[int], key: str = "image_id") -> DataFrame:
-    """``per_class`` rows of each label for each seed, with the seed."""
+def seeded_subsamples(scored: DataFrame, per_class: int, seeds: list[int], key: str = "image_id", keys: list[str] | None = None) -> DataFrame:
+    """``per_class`` rows of each label for each seed and group of keys, with the seed."""
     table = scored.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")
     tagged = scored.crossJoin(F.broadcast(table))
     order = [F.sha2(F.concat_ws(":", "seed", F.col(key).cast("string")), 256), F.col(key)]
-    return ranked(tagged, ["seed", "label"], order).where(F.col("rank") <= per_class).drop("rank")
+    return ranked(tagged, [*(keys or []), "seed", "label"], order).where(F.col("rank") <= per_class).drop("rank")

@@ -203,6 +203,20 @@ def calibration_error(spark, sf):
     return _rounded(metrics.calibration_error(scored(spark, sf)))
 
 
+_KEYED = """, b AS (SELECT condition, least(CAST(floor(score * 10 + 1e-12) AS INT), 9) AS bin, count(*) AS n, avg(score) AS ms, avg(label) AS pr FROM scored GROUP BY 1, 2),
+  e AS (SELECT condition, CAST(range AS INT) AS bin, CAST(range / 10.0 AS DOUBLE) AS lower, CAST((range + 1) / 10.0 AS DOUBLE) AS upper FROM (SELECT DISTINCT condition FROM scored), range(10))"""
+
+
+@_query(_SCORED + _KEYED + " SELECT condition, bin, round(lower, 6) AS lower, round(upper, 6) AS upper, coalesce(n, 0) AS n, round(ms, 6) AS mean_score, round(pr, 6) AS positive_rate FROM e LEFT JOIN b USING (condition, bin)")
+def reliability_by_condition(spark, sf):
+    return _rounded(metrics.reliability_bins(scored(spark, sf), keys=["condition"]))
+
+
+@_query(_SCORED + _KEYED + ", c AS (SELECT condition, sum(n * abs(ms - pr)) / sum(n) AS ece FROM b GROUP BY 1) SELECT condition, round(any_value(ece), 6) AS ece, round(avg((score - label) * (score - label)), 6) AS brier FROM scored JOIN c USING (condition) GROUP BY 1")
+def calibration_by_condition(spark, sf):
+    return _rounded(metrics.calibration_error(scored(spark, sf), keys=["condition"]))
+
+
 @_query(_SCORED + " SELECT condition, count(*) FILTER (WHERE score = 0) AS n_zero, count(*) FILTER (WHERE score = 1) AS n_one, count(DISTINCT score) AS distinct_prob, count(DISTINCT score) AS distinct_margin FROM scored GROUP BY 1")
 def saturation(spark, sf):
     return metrics.saturation(scored(spark, sf), ["condition"], "score", "score")
@@ -252,15 +266,26 @@ def subsample_auc(spark, sf):
     return _rounded(metrics.roc_auc(rows, ["seed"]))
 
 
+@_query(
+    _SCORED
+    + f""", t AS (SELECT *, row_number() OVER (PARTITION BY condition, seed, label ORDER BY sha256(seed || ':' || image_id), image_id) AS k FROM scored, (VALUES {_SUB}) v(seed)),
+  sub AS (SELECT condition || '/' || seed AS slot, condition, label, score FROM t WHERE k <= 100)"""
+    + _auc_sql("slot", "sub")
+    + " SELECT split_part(slot, '/', 1) AS condition, round(min(auc), 6) AS min, round(quantile_cont(auc, 0.5), 6) AS median, round(max(auc), 6) AS max FROM auc_slot GROUP BY 1"
+)
+def subsample_summary(spark, sf):
+    return _rounded(audit.subsample_sensitivity(scored(spark, sf), 100, list(range(20)), "score", ["condition"]))
+
+
 @_query()
 def bootstrap_ci(spark, sf):
-    return _rounded(resampling.bootstrap_auc_ci(scored(spark, sf), ["condition"], replicates=200, seed=3))
+    return _rounded(resampling.bootstrap_auc_ci(scored(spark, sf), ["condition"], replicates=5000, seed=3))
 
 
 @_query()
 def paired_bootstrap_ci(spark, sf):
     rows = scored(spark, sf).withColumn("other", F.col("score") * F.col("score"))
-    return _rounded(resampling.paired_difference_ci(rows, ["condition"], "score", "other", replicates=200, seed=3))
+    return _rounded(resampling.paired_difference_ci(rows, ["condition"], "score", "other", replicates=5000, seed=3))
 
 
 @_query(_SCORED + ", s AS (SELECT *, split_part(condition, '_', 1) AS family, CASE WHEN condition = 'clean' THEN 'none' ELSE regexp_extract(condition, '^[^_]*_(.*)$', 1) END AS severity, CASE WHEN condition = 'clean' THEN 'clean' ELSE 'individual_transform' END AS kind FROM scored) SELECT family, severity, kind, count(*) AS n FROM s GROUP BY 1, 2, 3")
@@ -275,12 +300,12 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def score_audit(spark, sf):
-    return _rounded(audit.score_audit(_audited(spark, sf), T, ["condition"], replicates=100))
+    return _rounded(audit.score_audit(_audited(spark, sf), T, ["condition"], replicates=5000))
 
 
 @_query()
 def stress_audit(spark, sf):
-    return _rounded(audit.stress_audit(_audited(spark, sf), T, replicates=50)[1])
+    return _rounded(audit.stress_audit(_audited(spark, sf), T, replicates=1000)[1])
 
 
 @_query(_MATRIX + f""", weak AS (SELECT condition FROM auc_condition WHERE condition <> 'clean' ORDER BY auc, condition LIMIT 1),
@@ -569,8 +594,25 @@ def shift_diagnosis(spark, sf):
 
 @_query()
 def leave_pair_out(spark, sf):
+    """All 25 pairs, each under a model of the other sources' vectors and their shifted views."""
     rows = features(spark, sf)
-    return _rounded(metrics.roc_auc(probe.leave_pair_out(rows, ["g0", "g1"], ["g5", "g6"]), ["pair"]), 4)
+    shifted = rows.withColumn("features", F.transform("features", lambda x: (x.cast("double") * 0.98 - 0.01).cast("float")))
+    return _rounded(probe.pair_audit(probe.leave_pair_out(rows, [f"g{i}" for i in range(5)], [f"g{i}" for i in range(5, 10)], shifted)), 3)
+
+
+_LINEAR = """s AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m, stddev_pop(CAST(embedding[i] AS DOUBLE)) AS d FROM embeddings, range(1, 65) t(i) GROUP BY 1),
+  z AS (SELECT vec_id, CASE WHEN label >= 5 THEN 'FAKE' ELSE 'REAL' END AS class, i, (CAST(embedding[s.i] AS DOUBLE) - m) / d AS z FROM embeddings, s),
+  p AS (SELECT vec_id, class, CASE WHEN i <= 48 THEN 'semantic' ELSE 'frequency' END AS branch, sum(z / i) AS value FROM z GROUP BY 1, 2, 3),
+  v AS (SELECT branch, class, value FROM p UNION ALL SELECT branch, 'all', value FROM p UNION ALL SELECT 'absolute_frequency', 'all', abs(z) FROM z WHERE i > 48)"""
+
+
+@_query(f"WITH {_LINEAR} SELECT branch, class, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {p}), 5) AS {n}" for p, n in ((0.0, "min"), (0.05, "p05"), (0.5, "median"), (0.95, "p95"), (0.99, "p99"), (1.0, "max"))) + " FROM v GROUP BY 1, 2")
+def branch_summary(spark, sf):
+    """Contributions under weights of 1, 1/2, 1/3 and so on, which SQL can repeat."""
+    rows = features(spark, sf)
+    stats = sorted(probe.standardize_fit(rows).collect())
+    model = {"mean": [r["mean"] for r in stats], "std": [r["std"] for r in stats], "weights": [1.0 / (i + 1) for i in range(len(stats))], "bias": 0.0}
+    return _rounded(probe.branch_summary(probe.branch_contributions(rows, model, 48), 48), 5)
 
 
 @_query()
@@ -583,11 +625,19 @@ def promoted_probe(spark, sf):
     return _rounded(training.train_and_promote(fit, rows.where("image_id % 3 = 1"), held, least, 7)[1], 3)
 
 
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    return d.select(F.col("doc_id").alias("image_id"), F.col("quality").alias("label"), (F.col("n_chars") % 97 + 1).alias("width"), (F.col("n_chars") % 89 + 1).alias("height"), F.col("n_chars").alias("bytes"))
+
+
 @_query()
 def metadata_baseline(spark, sf):
-    d = _read(spark, sf, "documents").join(_read(spark, sf, "labels"), "doc_id")
-    rows = d.select(F.col("doc_id").alias("image_id"), F.col("quality").alias("label"), (F.col("n_chars") % 97 + 1).alias("width"), (F.col("n_chars") % 89 + 1).alias("height"), F.col("n_chars").alias("bytes"))
-    return _rounded(probe.metadata_baseline(rows, [1], folds=3), 4)
+    return _rounded(probe.metadata_baseline(_metadata(spark, sf), [0, 1, 2, 3, 4]), 4)
+
+
+@_query()
+def metadata_summary(spark, sf):
+    return _rounded(probe.auc_summary(probe.metadata_baseline(_metadata(spark, sf), [0, 1, 2, 3, 4])), 4)
 
 
 # rounds of people against the detector ------------------------------------------------------------

@@ -51,6 +51,20 @@ def write_metric_table(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.option("header", True).csv(path)
 
 
+def write_metrics_summary(robustness: DataFrame, families: DataFrame, path: str, final_model: str) -> None:
+    """One JSON object of the composites and family AUCs of every model; tables(model, ...) of robustness and family_auc.
+
+    Both hold a row for each model, or model and family, and are collected. A final model without figures is an error.
+    """
+    models = {r["model"]: {k: v for k, v in r.asDict().items() if k != "model"} | {"family_auc": {}} for r in robustness.collect()}
+    if final_model not in models:
+        raise ValueError(f"no figures of {final_model}")
+    for r in families.collect():
+        models[r["model"]]["family_auc"][r["family"]] = r["auc"]
+    text = json.dumps({"final_model": final_model, "models": models}, sort_keys=True)
+    robustness.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
 def save_model(spark: SparkSession, bundle: dict, path: str) -> None:
     check_model(bundle)
     spark.createDataFrame([(json.dumps(bundle, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -34,8 +34,10 @@ def finished_rounds_stream(rounds: DataFrame, guesses: DataFrame, late: str = "1
     """Rounds joined with their first guess; both sides have a ts. State is dropped by event time.
 
     A guess counts if it comes within ``open_for`` after its round began; what is later finds the
-    round gone.
+    round gone. With a column elapsed_ms, guesses outside 0 to 360000 are left out.
     """
+    if "elapsed_ms" in guesses.columns:
+        guesses = guesses.where("elapsed_ms between 0 and 360000")
     r = rounds.withWatermark("ts", late).alias("r")
     g = guesses.where("label in ('REAL', 'FAKE')").withWatermark("ts", late).dropDuplicatesWithinWatermark(["round_id"]).alias("g")
     on = F.expr(f"r.round_id = g.round_id and g.ts >= r.ts and g.ts <= r.ts + interval {open_for}")
