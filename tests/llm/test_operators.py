@@ -512,3 +512,24 @@ def test_licenses(spark, docs, nothing):
     assert license_scan.license_matches(nothing).count() == 0
     plan = license_scan.license_matches(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_edited_licenses(spark):
+    """Notices with words changed: of those that keep eight tenths of their shingles, 99 % are found, and no other."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rng, texts = random.Random(11), []
+    for notice in license_scan.NOTICES.values():
+        for _ in range(40):
+            own = words(notice)
+            for at in rng.sample(range(len(own)), min(len(own), rng.randint(0, 1 + len(own) // 25))):
+                own[at] = f"edit{rng.randrange(10**6)}"
+            around = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(400))]
+            cut = rng.randint(0, len(around))
+            texts.append(" ".join(around[:cut] + own + around[cut:]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in license_scan.license_matches(df).collect()}
+    share = {(i, name): len(runs(words(n)) & held) / len(runs(words(n))) for i, held in enumerate(runs(t.split()) for t in texts) for name, n in license_scan.NOTICES.items()}
+    want = {k for k, v in share.items() if v >= license_scan.CONTAINED}
+    assert got <= want and len(want) > 500 and sum(v < 1 for k, v in share.items() if k in want) > 200
+    assert len(got) >= 0.99 * len(want)
