@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, jaccard_join, license_scan, media, mixing, quality, secret_scan, sharding, token_counts
+from . import decontaminate, html_extract, jaccard_join, license_scan, media, merkle, mixing, quality, secret_scan, sharding, token_counts
 
 
 #: Shards of the sharding query and of the pipeline's last stage.
@@ -68,6 +68,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and verified witness of every document."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scans": op2_license_scans,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,4 +114,50 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": _OP3_SQL, "op9_benchmark_decontamination": _OP9_SQL}
+
+def _manifest_sql(levels: int = 7) -> str:
+    """SQL of the manifest for trees of up to 16**levels nodes: a table of nodes for each level of sources, then of the whole."""
+
+    def coded(x: str) -> str:
+        return f"coalesce(octet_length(encode({x}))::VARCHAR || ':' || {x}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(coded, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+
+    def climb(name: str, k: int) -> str:
+        # a tree of one node has no further run: its node goes up as it is
+        return f"""{name}{k} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM (SELECT tree, p // 16 AS p, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h,
+  CASE WHEN n = 1 THEN '' ELSE string_agg(h, '' ORDER BY p) END AS run FROM {name}{k - 1} GROUP BY tree, p // 16, n))"""
+
+    def walk(name: str, base: str) -> str:
+        # rows of leaves (w) get the texts before and after them, level by level
+        parts, last = [], base
+        for k in range(1, levels + 1):
+            parts.append(f"""w{name}{k} AS (SELECT w.* REPLACE (w.place // 16 AS place, w.proof || CASE WHEN r.run = '' THEN '' ELSE substr(r.run, 1, 64 * (w.place % 16)) || substr(r.run, 64 * (w.place % 16) + 65) END AS proof,
+  CASE WHEN r.run = '' THEN w.folded ELSE sha256(substr(r.run, 1, 64 * (w.place % 16)) || w.folded || substr(r.run, 64 * (w.place % 16) + 65)) END AS folded)
+  FROM {last} w JOIN {name}{k} r ON r.tree = w.tree AND r.p = w.place // 16)""")
+            last = f"w{name}{k}"
+        return ",\n".join(parts)
+
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    chain = ",\n".join(climb("s", k) for k in range(1, levels + 1))
+    upper = ",\n".join(climb("t", k) for k in range(1, levels + 1))
+    return f"""
+WITH d AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN coalesce(xor({crc}, 4294967295) % 5 = 0, false) THEN {leaf(lower)} END AS tampered FROM documents),
+src AS (SELECT source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS rank FROM (SELECT DISTINCT source FROM documents)),
+l AS (SELECT d.*, src.rank AS tree, row_number() OVER (PARTITION BY src.rank ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+s0 AS (SELECT tree, p, leaf AS h, '' AS run, count(*) OVER (PARTITION BY tree) AS n FROM l),
+{chain},
+t0 AS (SELECT 0 AS tree, tree AS p, h, '' AS run, count(*) OVER () AS n FROM s{levels}),
+{upper},
+w0 AS (SELECT doc_id, leaf, tree, tree AS rank, p AS place, '' AS proof, coalesce(tampered, leaf) AS folded FROM l),
+{walk("s", "w0")},
+v0 AS (SELECT w.* REPLACE (0 AS tree, w.rank AS place) FROM ws{levels} w),
+{walk("t", "v0")}
+SELECT w.doc_id, w.leaf, t0.h AS subroot, t{levels}.h AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = t{levels}.h AS verified
+FROM wt{levels} w JOIN t0 ON t0.p = w.rank JOIN t{levels} ON true
+"""
+
+
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": _OP3_SQL, "op9_benchmark_decontamination": _OP9_SQL, "op13_merkle_manifest": _manifest_sql()}
