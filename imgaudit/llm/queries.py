@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, jaccard_join, license_scan, media, merkle, mixing, quality, secret_scan, sharding, token_alignment, token_counts
+from . import decontaminate, html_extract, jaccard_join, language_id, license_scan, media, merkle, mixing, quality, secret_scan, sharding, token_alignment, token_counts
 
 
 #: Shards of the sharding query and of the pipeline's last stage.
@@ -68,6 +68,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and spans of languages of every document."""
+    return language_id.predicted(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of a byte-level and a piece vocabulary line up in every document."""
     return token_alignment.token_alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
+    "op11_language_id": op11_language_id,
     "op12_token_alignment": op12_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
