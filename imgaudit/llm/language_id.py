@@ -210,7 +210,7 @@ def _labelled(model: Model, scores: np.ndarray, starts: np.ndarray, ends: np.nda
     letters = np.bincount(text * k + path, weights=ends - starts, minlength=n * k).reshape(n, k)
     chosen = letters.argmax(axis=1)
     mine = path == chosen[text]
-    sums = np.stack([np.bincount(text[mine], weights=scores[mine, j], minlength=n) for j in range(k)], axis=1)
+    sums = np.stack([np.bincount(text[mine], weights=scores[mine, j], minlength=n) for j in range(k)], axis=1).astype(float)
     own = sums[np.arange(n), chosen]
     sums[np.arange(n), chosen] = -np.inf
     margin = np.clip(own - sums.max(axis=1), -50, 50) if k > 1 else np.full(n, 50.0)
