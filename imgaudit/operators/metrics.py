@@ -18,34 +18,52 @@ def score_histogram(scored: DataFrame, keys: list[str], score: str = "score") ->
     return scored.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
-#: Cells that scores are dealt into for running sums; each is ranked in a task of its own.
-CELLS = 1024
+#: Distinct values of a cell, on average, and cells of a group, on average at most.
+DEPTH, CELLS = 1 << 14, 1024
+#: Rank error of the sketch that brackets quantiles is one in so many rows; groups of up to SMALL rows need no bracket.
+SKETCH, SMALL = 10_000, 100_000
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row for each value of the keys; null keys match."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(named, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def with_cells(hist: DataFrame, keys: list[str], value: str = "score", name: str = "_cell", depth: int | None = None, most: int = CELLS) -> DataFrame:
+    """``hist`` with the cell of each row: ranges of the value that hold some ``depth`` rows each, however the values lie.
+
+    The cuts of a group are those of its values whose hash is a multiple of the depth, a sample that
+    does not depend on partitions; large groups take every n/most-th, so that a group has about
+    ``most`` cuts at most. Equal values share a cell, and cells ascend with the value.
+    """
+    size = hist.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    every = F.greatest(F.lit(depth or DEPTH).cast("long"), F.ceil(F.col("_rows") / most))
+    cuts = joined(hist, size, keys).where(F.pmod(F.xxhash64(value), every) == 0).groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_cuts"))
+    steps = ", ".join(str(1 << k) for k in range(most.bit_length(), -1, -1))
+    place = F.expr(f"aggregate(array({steps}), 0, (at, step) -> if(at + step <= size(_cuts) and get(_cuts, at + step - 1) < `{value}`, at + step, at))")
+    return joined(hist, cuts, keys, "left").withColumn(name, F.when(F.col("_cuts").isNull(), 0).otherwise(place)).drop("_cuts")
 
 
 def _running(hist: DataFrame, keys: list[str], descending: bool = False) -> DataFrame:
     """``hist`` with pos and neg sums over all scores before the row's, within the keys.
 
-    Sums of cells of scores come first; inside a cell a window adds the rest, so one group of very
-    many distinct scores still runs in many tasks.
+    Sums of cells of equally many scores come first; inside a cell a window adds the rest, so one
+    group of very many distinct scores runs in many tasks, also if they lie close together.
     """
-    bounds = hist.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    bounds = bounds.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_lo", "_hi")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0)
-    celled = hist.join(bounds, same).withColumn("_cell", cell).drop("_lo", "_hi", *[f"_k_{k}" for k in keys])
+    celled = with_cells(hist, keys)
     order = F.col("_cell").desc() if descending else F.col("_cell")
     ahead = W.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     sums = celled.groupBy(*keys, "_cell").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    starts = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_c"), F.sum("_p").over(ahead).alias("_p0"), F.sum("_n").over(ahead).alias("_n0"))
+    starts = sums.select(*keys, "_cell", F.sum("_p").over(ahead).alias("_p0"), F.sum("_n").over(ahead).alias("_n0"))
     inner = W.partitionBy(*keys, "_cell").orderBy(F.col("score").desc() if descending else F.col("score")).rowsBetween(W.unboundedPreceding, -1)
-    joined = celled.join(starts, same & (F.col("_cell") == F.col("_c")))
     zero = F.lit(0)
-    out = joined.withColumn("pos_before", F.coalesce(F.col("_p0"), zero) + F.coalesce(F.sum("pos").over(inner), zero))
+    out = joined(celled, starts, [*keys, "_cell"]).withColumn("pos_before", F.coalesce(F.col("_p0"), zero) + F.coalesce(F.sum("pos").over(inner), zero))
     out = out.withColumn("neg_before", F.coalesce(F.col("_n0"), zero) + F.coalesce(F.sum("neg").over(inner), zero))
-    return out.drop("_cell", "_c", "_p0", "_n0", *[f"_k_{k}" for k in keys])
+    return out.drop("_cell", "_p0", "_n0")
 
 
 def roc_auc(scored: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -59,23 +77,37 @@ def roc_auc(scored: DataFrame, keys: list[str], score: str = "score") -> DataFra
 def quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float], names: list[str]) -> DataFrame:
     """keys and the exact quantiles of a column, interpolated between neighbours; null where a group has no value.
 
-    Ranks come from running counts of distinct values in cells, so no task holds a whole group.
+    A mergeable sketch brackets each rank within some hundredths of a percent of the rows; a second
+    pass counts what lies below a bracket and ranks only the values inside it. Groups of up to SMALL
+    values are small enough for Spark's own exact aggregate.
     """
-    hist = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("score")).agg(F.count("*").alias("pos")).withColumn("neg", F.lit(0))
-    total = hist.groupBy(*keys).agg(F.sum("pos").alias("_total")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    ranked = _running(hist, keys).join(total, same)
-    found = []
-    for p, name in zip(points, names, strict=True):
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        on = lambda r: F.max(F.when((F.col("pos_before") <= r) & (r < F.col("pos_before") + F.col("pos")), F.col("score")))
-        low, high = on(F.floor(at)), on(F.ceil(at))
-        share = F.max(at - F.floor(at))
-        found.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(name))
-    per = ranked.groupBy(*keys).agg(*found).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *names)
-    return rows.select(*keys).distinct().join(per, same, "left").select(*keys, *names)
+    v = F.col(value).cast("double")
+    ends = [min(1.0, max(0.0, p + d / SKETCH)) for p in points for d in (-3, 3)]
+    sketch = rows.groupBy(*keys).agg(F.count(value).alias("_total"), F.percentile_approx(v, ends, SKETCH).alias("_ends"))
+    placed = joined(rows.select(*keys, v.alias("score")), sketch, keys)
+    small = F.col("_total") <= SMALL
+    low, high = ([F.get("_ends", F.lit(2 * i + k)) for i in range(len(points))] for k in (0, 1))
+    below = [F.count_if(~small & (F.col("score") < low[i])).alias(f"_below{i}") for i in range(len(points))]
+    first = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), F.percentile(F.when(small, F.col("score")), F.array(*map(F.lit, points))).alias("_small"), *below)
+    brackets = F.array(*[F.when((F.col("score") >= low[i]) & (F.col("score") <= high[i]), F.lit(i)) for i in range(len(points))])
+    inside = placed.where(~small & F.col("score").isNotNull()).select(*keys, "score", F.explode(F.array_compact(brackets)).alias("_point"))
+    hist = inside.groupBy(*keys, "_point", "score").agg(F.count("*").alias("pos")).withColumn("neg", F.lit(0))
+    ranked = joined(_running(hist, [*keys, "_point"]), first, keys)
+    at = [(F.col("_total") - 1) * F.lit(float(p)) for p in points]
+
+    def on(i: int, rank: Column) -> Column:
+        start = F.col(f"_below{i}") + F.col("pos_before")
+        return F.max(F.when((F.col("_point") == i) & (start <= rank) & (rank < start + F.col("pos")), F.col("score")))
+
+    pairs = [on(i, f(at[i])).alias(f"_{n}{i}") for i in range(len(points)) for n, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = ranked.groupBy(*keys).agg(*pairs)
+
+    def picked(i: int) -> Column:
+        lo, hi, share = F.col(f"_lo{i}"), F.col(f"_hi{i}"), at[i] - F.floor(at[i])
+        large = F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("the sketch missed a rank"))).when(lo == hi, lo).otherwise(lo * (1 - share) + hi * share)
+        return F.when(F.col("_total") > SMALL, large).otherwise(F.get("_small", F.lit(i)))
+
+    return joined(first, found, keys, "left").select(*keys, *[picked(i).alias(name) for i, name in enumerate(names)])
 
 
 def confusion(threshold: float | Column, score: str = "score") -> list[Column]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -143,29 +144,156 @@ def auc_summary(aucs: DataFrame) -> DataFrame:
     return aucs.agg(F.count("auc").alias("n"), F.avg("auc").alias("mean"), F.min("auc").alias("min"), F.percentile("auc", 0.5).alias("median"), F.max("auc").alias("max"))
 
 
-def leave_pair_out(rows: DataFrame, real: list[str], fake: list[str], augmented: DataFrame | None = None, max_iter: int = 2000, tol: float = 1e-6) -> DataFrame:
+#: Numbers of second derivatives that one pass sums, over all its models.
+SECOND = 1 << 22
+#: Numbers in a row of partial sums.
+CHUNK = 1 << 13
+
+
+def _summed(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], length: int) -> np.ndarray:
+    """Sums of ``length`` numbers over all rows: each task adds up its own, chunks of them are summed by index."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length)
+        add(batches, total)
+        for k in range(0, length, CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total[k : k + CHUNK].tobytes()], pa.binary())], names=["at", "sums"])
+
+    def whole(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(x.as_py()) for batch in batches for x in batch.column("sums"))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["at", "sums"])
+
+    schema, out = "at long, sums binary", np.zeros(length)
+    for r in df.mapInArrow(part, schema).groupBy("at").applyInArrow(whole, schema).toLocalIterator():
+        out[r["at"] : r["at"] + CHUNK] = np.frombuffer(r["sums"])
+    return out
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    if len(values) != len(column) * width or np.isnan(values).any():
+        raise ValueError("features must have one width and no nulls")
+    return values.reshape(len(column), width)
+
+
+def fit_without(rows: DataFrame, held: list[tuple[str, ...]], c: float = 1.0, max_rounds: int = 60, tol: float = 1e-9) -> list[dict]:
+    """A model (mean, std, weights, bias, n) for each tuple of sources in ``held``, fitted on the rows of all other sources.
+
+    All models are fitted in the same passes, one a Newton step: a pass multiplies blocks of rows
+    with the matrix of all coefficients, and losses, gradients and second derivatives are added up by task
+    and then by chunk. Models go in rounds of as many as SECOND second derivatives allow. A model
+    of one class, or one that has not settled after ``max_rounds`` passes, is an error.
+    """
+    width = len(rows.select("features").first()[0]) if held else 0
+    ready = rows.select("source", F.col("label").cast("double").alias("label"), "features")
+    at_once = max(1, SECOND // (width + 1) ** 2)
+    out: list[dict] = []
+    for k in range(0, len(held), at_once):
+        out += _fit_round(ready, held[k : k + at_once], width, c, max_rounds, tol)
+    return out
+
+
+def _fit_round(rows: DataFrame, held: list[tuple[str, ...]], width: int, c: float, max_rounds: int, tol: float) -> list[dict]:
+    models = len(held)
+    out_of = {s: np.array([s not in h for h in held]) for s in {s for h in held for s in h}}
+    everywhere = np.ones(models, dtype=bool)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Features, labels and which models a row belongs to."""
+        for batch in batches:
+            uses = np.array([out_of.get(s, everywhere) for s in batch.column("source").to_pylist()])
+            if len(uses):
+                yield _matrix(batch.column("features"), width), batch.column("label").to_numpy(zero_copy_only=False), uses
+
+    def moments(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
+        table = total.reshape(2 * width + 2, models)
+        for x, y, uses in blocks(batches):
+            u = uses.astype(float)
+            table[:width] += x.T @ u
+            table[width : 2 * width] += (x * x).T @ u
+            table[-2] += u.sum(axis=0)
+            table[-1] += y @ u
+
+    found = _summed(rows, moments, (2 * width + 2) * models).reshape(2 * width + 2, models)
+    n, positive = found[-2], found[-1]
+    if ((positive == 0) | (positive == n)).any():
+        raise ValueError("both classes are needed")
+    mean = found[:width] / n
+    std = np.sqrt(np.maximum(found[width : 2 * width] / n - mean * mean, 0))
+    std[std <= 1e-9 * np.abs(mean) + 1e-300] = 1.0
+    penalty = np.append(np.full(width, 1.0 / c), 0.0)[:, None]
+    size = (width + 1) ** 2
+
+    def sums(trial: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Loss, gradient and second derivatives of the models in ``some`` at ``trial`` (standardized weights and bias)."""
+        m, s = mean[:, some], std[:, some]
+        slope = trial[:-1] / s
+        shift = trial[-1] - (m * slope).sum(axis=0)
+
+        def add(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
+            loss, gradient, second = total[: len(some)], total[len(some) : (width + 2) * len(some)].reshape(width + 1, len(some)), total[(width + 2) * len(some) :].reshape(len(some), width + 1, width + 1)
+            for x, y, uses in blocks(batches):
+                one = np.column_stack([x, np.ones(len(x))])
+                for low in range(0, len(x), 4096):
+                    part, u, label = one[low : low + 4096], uses[low : low + 4096][:, some].astype(float), y[low : low + 4096, None]
+                    z = part[:, :-1] @ slope + shift
+                    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                    loss += (u * (np.logaddexp(0, z) - label * z)).sum(axis=0)
+                    gradient += part.T @ (u * (p - label))
+                    curved = u * p * (1 - p)
+                    for k in range(len(some)):
+                        second[k] += part.T @ (part * curved[:, k : k + 1])
+
+        got = _summed(rows, add, len(some) * (1 + width + 1 + size))
+        loss, gradient, second = got[: len(some)], got[len(some) : (width + 2) * len(some)].reshape(width + 1, len(some)), got[(width + 2) * len(some) :].reshape(len(some), width + 1, width + 1)
+        for k in range(len(some)):  # from features to standardized ones
+            change = np.diag(np.append(1 / s[:, k], 1.0))
+            change[-1, :-1] = -m[:, k] / s[:, k]
+            gradient[:, k] = change.T @ gradient[:, k]
+            second[k] = change.T @ second[k] @ change
+        return loss, gradient, second
+
+    best, value = np.zeros((width + 1, models)), np.full(models, np.inf)
+    step = np.zeros((width + 1, models))
+    left = np.arange(models)
+    for _ in range(max_rounds):
+        trial = best[:, left] - step[:, left]
+        loss, gradient, second = sums(trial, left)
+        now = loss + (penalty * trial * trial).sum(axis=0) / 2
+        settled = []
+        for j, k in enumerate(left):
+            if now[j] > value[k] + 1e-9 * abs(value[k]):
+                step[:, k] /= 2
+                continue
+            best[:, k], value[k] = trial[:, j], now[j]
+            step[:, k] = np.linalg.solve(second[j] + np.diag(penalty[:, 0]) + 1e-12 * np.eye(width + 1), gradient[:, j] + penalty[:, 0] * trial[:, j])
+            if np.abs(step[:, k]).max() < max(tol, 1e-12) ** 0.5:
+                best[:, k] -= step[:, k]  # what is left after this step is of the order of its square
+                settled.append(k)
+        left = np.setdiff1d(left, settled)
+        if not len(left):
+            break
+    else:
+        raise RuntimeError(f"{len(left)} models have not settled after {max_rounds} passes")
+    return [{"mean": mean[:, k].tolist(), "std": std[:, k].tolist(), "weights": best[:-1, k].tolist(), "bias": float(best[-1, k]), "n": int(n[k])} for k in range(models)]
+
+
+def leave_pair_out(rows: DataFrame, real: list[str], fake: list[str], augmented: DataFrame | None = None, tol: float = 1e-9) -> DataFrame:
     """pair, n_fit, label, score (margin) of the rows of each (real, fake) pair of sources under a model without them.
 
     Models are fitted on the rows of all other sources and, if given, on their ``augmented`` views; only ``rows``
-    are scored. Eight models are fitted at a time on a table kept in the cluster's memory or on its disks.
+    are scored. All pairs are fitted in the same passes over a table kept in the cluster's memory or on its disks,
+    and scored in one.
     """
     views = rows if augmented is None else rows.unionByName(augmented.select(rows.columns))
     fitted = views.select("source", "label", "features").persist()
     pairs = [(r, f) for r in real for f in fake]
-
-    def fit(pair: tuple[str, str]) -> tuple[dict, int]:
-        others = fitted.where(~F.coalesce(F.col("source").isin(*pair), F.lit(False)))
-        return fit_probe(others, max_iter=max_iter, tol=tol), others.count()
-
-    with ThreadPoolExecutor(8) as pool:
-        models = list(pool.map(fit, pairs))
+    models = fit_without(fitted, pairs, tol=tol)
     fitted.unpersist()
-    out = None
-    for (r, f), (model, n) in zip(pairs, models, strict=True):
-        own = score(rows.where(F.col("source").isin(r, f)), model)
-        part = own.select(F.lit(f"{r}|{f}").alias("pair"), F.lit(n).cast("long").alias("n_fit"), "label", F.col("margin").alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    table = [(s, f"{r}|{f}", m["n"], m["mean"], m["std"], m["weights"], m["bias"]) for (r, f), m in zip(pairs, models, strict=True) for s in (r, f)]
+    known = rows.sparkSession.createDataFrame(table, "source string, pair string, n_fit long, mean array<double>, std array<double>, weights array<double>, bias double")
+    m = margin(F.col("features"), F.col("mean"), F.col("std"), F.col("weights"), F.col("bias"))
+    return rows.select("source", "label", "features").join(F.broadcast(known), "source").select("pair", "n_fit", "label", m.alias("score"))  # two rows a pair
 
 
 def pair_audit(held_out: DataFrame, replicates: int = 1000, seed: int = 0) -> DataFrame:

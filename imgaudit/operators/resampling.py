@@ -1,10 +1,11 @@
-"""Stratified bootstrap of AUC.
-
-A group's histogram of distinct scores is dealt into cells of bounded size. A block of replicates first
-draws, for each class, how many rows each cell gets, and then inside each cell; together that is one
-multinomial draw over all rows. The drawn counts are dealt anew by ranges of each score, so that AUC is
-summed from ranges and no task holds a whole group. Generators are seeded by (seed, group, class, cell,
-block): partitions do not matter.
+"""Stratified bootstrap of AUC by trees of multinomial draws.
+
+A group's histogram is cut into cells along each score. A leaf is what lies in one cell of every
+score. How many of a class's rows a replicate draws from a leaf comes down a binary tree over the leaves,
+whose nodes split their draws by a binomial; inside a leaf the rows are drawn. All generators are
+seeded by (seed, group, class, node, block), so every task that needs a leaf draws the same. A cell
+therefore gives the final sums of its range of a score for all replicates, and only these are
+shuffled, a few numbers for each cell and replicate, however many rows there are.
 """
 
 from __future__ import annotations
@@ -14,116 +15,132 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Replicates of one block.
-BLOCK = 50
-#: Rows of a histogram in one cell, on average.
-CELL = 1 << 14
-#: Ranges of a score, at most; a group of fewer than CELL * RANGES distinct scores takes fewer.
-RANGES = 1024
-
-
-def _draw(key: str, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One multinomial draw over ``counts`` for each number of ``rows``."""
-    seed = int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "big")
-    return np.random.default_rng(seed).multinomial(rows, counts / counts.sum())
-
-
-def _packed(drawn: np.ndarray) -> list[bytes]:
-    """Each column of draws in as few bytes as its counts need."""
-    kind = np.uint8 if drawn.max(initial=0) < 1 << 8 else np.int64
-    return [c.tobytes() for c in np.ascontiguousarray(drawn.T.astype(kind))]
-
-
-def _unpacked(packed: list[bytes], width: int) -> np.ndarray:
-    """One row of ``width`` counts for each packed column."""
-    return np.stack([np.frombuffer(raw, np.uint8 if len(raw) == width else np.int64).astype(np.int64) for raw in packed])
+from .metrics import with_cells
+
+#: Distinct rows of a histogram in one cell, on average.
+CELL = 1 << 12
+#: Leaves of a group, on average at most: the cells of a score are this number's root by the number of scores.
+LEAVES = 1 << 16
+#: Replicates of one block, at most, and counts that a task holds at a time; both decide how many there are.
+BLOCK, COUNTS = 250, 1 << 22
+
+
+def _generator(*key: object) -> np.random.Generator:
+    return np.random.default_rng(int.from_bytes(hashlib.sha256(":".join(map(str, key)).encode()).digest()[:8], "big"))
+
+
+def _of_leaves(key: tuple, totals: np.ndarray, needed: np.ndarray, draws: np.ndarray) -> dict[int, np.ndarray]:
+    """Draws (one number a replicate) of the ``needed`` leaves, in ascending order, of all draws over ``totals``."""
+    before = np.concatenate(([0], np.cumsum(totals)))
+    found: dict[int, np.ndarray] = {}
+    open_ = [(0, len(totals), draws, needed)]
+    while open_:
+        low, high, own, some = open_.pop()
+        if not len(some):
+            continue
+        if high - low == 1:
+            found[low] = own
+            continue
+        middle = (low + high) // 2
+        both = before[high] - before[low]
+        share = (before[middle] - before[low]) / both if both else 0.0
+        left = _generator(*key, low, high).binomial(own, share)
+        cut = np.searchsorted(some, middle)
+        open_ += [(low, middle, left, some[:cut]), (middle, high, own - left, some[cut:])]
+    return found
+
+
+def _inside(rng: np.random.Generator, draws: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Draws by (replicate, row) of rows that count ``n`` times each."""
+    total = int(n.sum())
+    if total > 4 * len(n):
+        return rng.multinomial(draws, n / total)
+    row = np.repeat(np.arange(len(n)), n)[rng.integers(0, total, int(draws.sum()))]
+    return np.bincount(np.repeat(np.arange(len(draws)), draws) * len(n) + row, minlength=len(draws) * len(n)).reshape(len(draws), len(n))
+
+
+def _block(leaves: pd.DataFrame) -> int:
+    """Replicates of a block: fewer where cells are large."""
+    largest = max(leaves.groupby(c)["_k"].sum().max() for c in leaves.columns if c.startswith("_c"))
+    return int(max(1, min(BLOCK, COUNTS // max(1, largest))))
+
+
+def _view_sums(name: str, rows: pd.DataFrame, leaves: pd.DataFrame, value: str, replicates: int, seed: int) -> list[tuple]:
+    """(first replicate, positives, negatives, pairs) of a cell and block: how many are drawn, and pairs in order inside the cell."""
+    cells = [c for c in leaves.columns if c.startswith("_c")]
+    rows = rows.sort_values([value, "label", *sorted(c for c in rows.columns if c.startswith("_s"))])
+    at = pd.Series(np.arange(len(leaves)), index=pd.MultiIndex.from_frame(leaves[cells]))
+    leaf = at.loc[list(rows[cells].itertuples(index=False, name=None))].to_numpy()
+    label, n = rows["label"].to_numpy(), rows["_n"].to_numpy()
+    first = np.unique(rows[value].to_numpy(), return_index=True)[1]
+    totals = [leaves[f"_n{y}"].to_numpy() for y in (0, 1)]
+    size, out = _block(leaves), []
+    # rows of a leaf and class in an order that does not depend on which score is asked for
+    order = np.lexsort([rows[c].to_numpy() for c in rows.columns if c.startswith("_s")])
+    for start in range(0, replicates, size):
+        r = min(size, replicates - start)
+        drawn = np.zeros((r, len(rows)), dtype=np.int64)
+        for y in (0, 1):
+            own = order[label[order] == y]
+            needed = np.unique(leaf[own])
+            counts = _of_leaves((seed, name, y, start), totals[y], needed, np.full(r, totals[y].sum()))
+            for k in needed:
+                mine = own[leaf[own] == k]
+                drawn[:, mine] = _inside(_generator(seed, name, y, start, "leaf", k), counts[k], n[mine])
+        pos, neg = (np.add.reduceat(np.where(label == y, drawn, 0), first, axis=1) for y in (1, 0))
+        below = np.cumsum(neg, axis=1) - neg
+        out.append((start, pos.sum(axis=1), neg.sum(axis=1), (pos * (below + neg / 2)).sum(axis=1)))
+    return out
 
 
 def bootstrap_auc(scored: DataFrame, keys: list[str], scores: list[str], replicates: int, seed: int) -> DataFrame:
     """keys, replicate and one AUC for each score column, all from the same resample.
 
-    Groups of one class give no rows. Memory of a task: BLOCK counts for each row of a cell or range.
+    Groups of one class give no rows. Memory of a task: the rows of a cell and COUNTS draws.
     """
-    spark = scored.sparkSession
     group = F.to_json(F.struct(*keys)) if keys else F.lit("")
     values = [f"_s{i}" for i in range(len(scores))]
+    cells = [f"_c{i}" for i in range(len(scores))]
     columns = [F.col(s).cast("double").alias(v) for s, v in zip(scores, values, strict=True)]
     hist = scored.where("label in (0, 1)").groupBy(group.alias("_g"), *keys, *columns, F.col("label").cast("int").alias("label")).agg(F.count("*").alias("_n"))
-
-    cuts = [F.percentile_approx(v, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias(f"_c{i}") for i, v in enumerate(values)]
-    sizes = hist.groupBy("_g").agg(F.ceil(F.count("*") / CELL).alias("_cells"), *cuts)
-    some = "case when _cells > 1 then transform(sequence(1, cast(least(_cells, {r}) as int) - 1), k -> _c{i}[cast(k * {r} div least(_cells, {r}) as int) - 1]) else cast(array() as array<double>) end"
-    ranges = sizes.select("_g", F.array(*[F.expr(some.format(r=RANGES, i=i)) for i in range(len(values))]).alias("_cuts"))
-
-    celled = hist.join(sizes.select("_g", "_cells"), "_g").withColumn("_cell", F.pmod(F.xxhash64(*values, "label"), F.col("_cells")))
-    blocks = F.broadcast(spark.range(0, (replicates + BLOCK - 1) // BLOCK).withColumnRenamed("id", "_block"))  # replicates / BLOCK rows
-
-    def size_of(block: int) -> int:
-        return min(BLOCK, replicates - block * BLOCK)
-
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, block = pdf["_g"].iloc[0], int(pdf["_block"].iloc[0])
-        pdf = pdf.sort_values(["label", "_cell"])
-        out = pdf[["_g", "_block", "_cell", "label"]].assign(_counts=b"")
-        if pdf["label"].nunique() < 2:
-            return out.iloc[:0]
-        packed: list[bytes] = []
-        for label, part in pdf.groupby("label"):
-            n = part["_n"].to_numpy()
-            packed += _packed(_draw(f"{seed}:{name}:{label}:{block}", np.full(size_of(block), n.sum()), n))
-        return out.assign(_counts=packed)
-
-    totals = celled.groupBy("_g", "_cell", "label").agg(F.sum("_n").alias("_n"))
-    shares = totals.crossJoin(blocks).groupBy("_g", "_block").applyInPandas(share, "_g string, _block long, _cell long, label int, _counts binary")
-
-    drawn_schema = "_g string, _block long, _which int, _score double, label int, _counts binary"
-    names = [c.split()[0] for c in drawn_schema.split(", ")]
-
-    def draw(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or given.empty:
+    celled = hist.select("_g", *values, "label", "_n")
+    most = int(min(1024, LEAVES ** (1 / len(scores))))
+    for value, cell in zip(values, cells, strict=True):
+        celled = with_cells(celled, ["_g"], value, cell, CELL, most)
+    sums = [F.sum(F.when(F.col("label") == y, F.col("_n")).otherwise(0)).alias(f"_n{y}") for y in (0, 1)]
+    leaves = celled.groupBy("_g", *cells).agg(*sums, F.count("*").alias("_k")).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct(*cells, "_n0", "_n1", "_k"))).alias("_leaves"))
+    leaves = leaves.where("exists(_leaves, x -> x._n0 > 0) and exists(_leaves, x -> x._n1 > 0)")
+    views = F.explode(F.array(*[F.struct(F.lit(i).alias("_which"), F.col(c).alias("_cell")) for i, c in enumerate(cells)]))
+    viewed = celled.withColumn("_view", views).select("_g", "_view._which", "_view._cell", *values, *cells, "label", "_n")
+    trees = viewed.select("_g", "_which", "_cell").distinct().join(leaves, "_g").toDF("_of", "_view", "_part", "_leaves")
+    schema = "_g string, _which int, _cell int, _start int, _pos binary, _neg binary, _pairs binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def view(rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or tree.empty:
             return pd.DataFrame(columns=names)
-        name, block, cell = rows["_g"].iloc[0], int(rows["_block"].iloc[0]), int(rows["_cell"].iloc[0])
-        rows = rows.sort_values([*values, "label"])
-        out = []
-        for label, counts in zip(given["label"], given["_counts"], strict=True):
-            own = rows[rows["label"] == label]
-            drawn = _draw(f"{seed}:{name}:{label}:{block}:{cell}", _unpacked([counts], size_of(block))[0], own["_n"].to_numpy())
-            for which, value in enumerate(values):
-                s = own[value].to_numpy()
-                order = np.argsort(s, kind="stable")
-                distinct, first = np.unique(s[order], return_index=True)
-                packed = _packed(np.add.reduceat(drawn[:, order], first, axis=1))
-                out.append(pd.DataFrame({"_g": name, "_block": block, "_which": which, "_score": distinct, "label": label, "_counts": packed}))
-        return pd.concat(out)
-
-    at = ["_g", "_cell", "_block"]
-    slim = celled.select("_g", "_cell", *values, "label", "_n").crossJoin(blocks)
-    drawn = slim.groupBy(*at).cogroup(shares.groupBy(*at)).applyInPandas(draw, drawn_schema)
-    below_score = F.filter(F.get(F.col("_cuts"), F.col("_which")), lambda x: x < F.col("_score"))
-    placed = drawn.join(ranges, "_g").withColumn("_at", F.size(below_score)).drop("_cuts")
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["_block"].iloc[0])
-        pdf = pdf.sort_values(["_score", "label"])
-        counts = _unpacked(pdf["_counts"].tolist(), size_of(block))
-        first = np.unique(pdf["_score"].to_numpy(), return_index=True)[1]
-        is_pos = (pdf["label"] == 1).to_numpy()[:, None]
-        pos, neg = (np.add.reduceat(np.where(mask, counts, 0), first, axis=0) for mask in (is_pos, ~is_pos))
-        below = np.cumsum(neg, axis=0) - neg
-        figures = {"_pos": pos.sum(axis=0), "_neg": neg.sum(axis=0), "_pairs": (pos * (below + neg / 2)).sum(axis=0)}
-        ids = np.arange(block * BLOCK, block * BLOCK + size_of(block))
-        return pd.DataFrame({"_g": pdf["_g"].iloc[0], "_which": pdf["_which"].iloc[0], "_at": pdf["_at"].iloc[0], "replicate": ids} | figures)
-
-    parts = placed.groupBy("_g", "_block", "_which", "_at").applyInPandas(part, "_g string, _which int, _at int, replicate int, _pos long, _neg long, _pairs double")
-    ahead = W.partitionBy("_g", "_which", "replicate").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    ranked = parts.withColumn("_pairs", F.col("_pairs") + F.col("_pos") * F.coalesce(F.sum("_neg").over(ahead), F.lit(0)))
-    of = lambda c, i: F.sum(F.when(F.col("_which") == i, F.col(c)))
-    aucs = [(of("_pairs", i) / (of("_pos", i).cast("double") * of("_neg", i))).alias(f"auc_{s}") for i, s in enumerate(scores)]
-    found = ranked.groupBy("_g", "replicate").agg(*aucs)
-    return found.join(hist.select("_g", *keys).distinct(), "_g").drop("_g").select(*keys, "replicate", *[f"auc_{s}" for s in scores])
+        at = [rows[c].iloc[0] for c in ("_g", "_which", "_cell")]
+        found = _view_sums(at[0], rows, pd.DataFrame(list(tree["_leaves"].iloc[0])), values[at[1]], replicates, seed)
+        return pd.DataFrame([(*at, start, *(x.astype(np.float64).tobytes() for x in sums)) for start, *sums in found], columns=names)
+
+    at = ["_g", "_which", "_cell"]
+    parts = viewed.groupBy(*at).cogroup(trees.groupBy("_of", "_view", "_part")).applyInPandas(view, schema)
+    aucs = [f"auc_{s}" for s in scores]
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = {}
+        for which, own in pdf.sort_values("_cell").groupby("_which"):
+            pos, neg, pairs = (np.stack([np.frombuffer(x) for x in own[c]]) for c in ("_pos", "_neg", "_pairs"))
+            pairs = (pairs + pos * (np.cumsum(neg, axis=0) - neg)).sum(axis=0)
+            found[aucs[which]] = pairs / (pos.sum(axis=0) * neg.sum(axis=0))
+        out = pd.DataFrame(found)
+        start = int(pdf["_start"].iloc[0])
+        return out.assign(_g=pdf["_g"].iloc[0], replicate=np.arange(start, start + len(out)))[["_g", "replicate", *aucs]]
+
+    found = parts.groupBy("_g", "_start").applyInPandas(whole, ", ".join(["_g string", "replicate int", *(f"`{a}` double" for a in aucs)]))
+    return found.join(hist.select("_g", *keys).distinct(), "_g").drop("_g").select(*keys, "replicate", *aucs)
 
 
 def interval(replicates: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:

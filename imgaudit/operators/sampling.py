@@ -7,7 +7,9 @@ before it shuffles.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -80,6 +82,31 @@ def quota_select(rows: DataFrame, per_class: int, seed: int, page: str, key: str
     return ranked(kept, [label], order).where(F.col("rank") <= per_class)
 
 
+def quota_select_pages(pages: DataFrame, read: Callable[[list[str]], DataFrame], per_class: int, seed: int, page: str, key: str, excluded: DataFrame | None = None, label: str = "label", first: int = 8) -> tuple[DataFrame, int]:
+    """What ``quota_select`` gives of all pages, read in rounds that end when both quotas are full; and how many pages were read.
+
+    ``pages`` has a row for each page name in the column ``page``; ``read`` gives the rows of some
+    pages. Pages go in seeded order, ``first`` of them in the first round and twice as many in each
+    further one. Only the chosen rows, 2 * per_class at most, are kept between rounds.
+    """
+    names = (r[0] for r in pages.select(page).distinct().orderBy(seed_hex(seed, F.col(page)), page).toLocalIterator())
+    chosen, left, size, opened = None, {0: per_class, 1: per_class}, first, 0
+    while any(left.values()) and (some := list(itertools.islice(names, size))):
+        opened += len(some)
+        found = quota_select(read(some), per_class, seed, page, key, excluded, label)
+        kept = [r for r in found.collect() if r["rank"] <= left[r[label]]]
+        part = [{**r.asDict(), "rank": r["rank"] + per_class - left[r[label]]} for r in kept]
+        for r in kept:
+            left[r[label]] -= 1
+        chosen = chosen or (found.schema, [])
+        chosen[1].extend(part)
+        size *= 2
+    if chosen is None:
+        return quota_select(read([]), per_class, seed, page, key, excluded, label), opened
+    schema, rows = chosen
+    return pages.sparkSession.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema), opened
+
+
 def group_quotas(groups: DataFrame, total: int) -> DataFrame:
     """label, group, quota: ``total`` split over the groups of a label, remainder to the first in list order."""
     w = W.partitionBy("label")

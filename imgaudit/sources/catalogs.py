@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import path_id, seed_hex
+from ..operators import images
 
 MANIFEST = T.StructType([T.StructField(n, T.StringType()) for n in ("image_id", "relative_path", "source_split", "role")] + [T.StructField("label", T.IntegerType()), T.StructField("class_name", T.StringType())])
 PAGE = "num_rows_total long, rows array<struct<row_idx:long,row:struct<label:int,img_id:string,image:struct<src:string>>>>"
@@ -70,6 +71,14 @@ def decoded_pixels(good: DataFrame) -> DataFrame:
     return good.select("image_id", "image_path", F.col("image.height").alias("height"), F.col("image.width").alias("width"), rgb("image.data", "image.nChannels").alias("pixels"))
 
 
+def upright_pixels(spark: SparkSession, root: str) -> DataFrame:
+    """``decoded_pixels`` of all images below a root, turned as the Exif part of each file's head tells."""
+    good, _ = catalog_unlabeled_images(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(IMAGE_NAME))
+    told = images.orientations(files).select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("image_path"), "orientation")
+    return images.turn_upright(decoded_pixels(good).join(told, "image_path", "left"))
+
+
 def validate_decode_sample(manifest: DataFrame, root: str, n: int, seed: int) -> None:
     """Decode a seeded sample of the manifest's images; an error names those that cannot be read."""
     sample = manifest.select("relative_path").orderBy(seed_hex(seed, F.col("relative_path")), "relative_path").limit(n)

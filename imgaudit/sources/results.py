@@ -3,15 +3,56 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import CommitLog
+
 REQUIRED = ("schema_version", "final_model", "models", "config")
 
 
+#: Shards of a dataset's condition: the unit whose work is done or pending.
+SHARDS = 64
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """dataset, condition, shard, n and fingerprint of the image ids of each unit of work."""
+    return rows.groupBy("dataset", "condition", "shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("image_id")).alias("fingerprint"))
+
+
+def _sharded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("shard", F.pmod(F.xxhash64("image_id"), F.lit(SHARDS)).cast("int"))
+
+
+def _committed(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """Rows or units of all commits; what a torn write left has no marker and is never opened."""
+    names = CommitLog(spark, path).names()
+    return spark.read.option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{kind}/commit={n}" for n in names]) if names else None
+
+
+def pending_units(rows: DataFrame, path: str) -> DataFrame:
+    """dataset, condition and shard of the units of ``rows(dataset, condition, image_id)`` that are not done.
+
+    Told from the markers' unit tables alone: a unit is done if it holds as many ids, with the same fingerprint.
+    """
+    wanted = _units(_sharded(rows.select("dataset", "condition", "image_id").distinct()))
+    units = _committed(rows.sparkSession, path, "units")
+    keys = ["dataset", "condition", "shard"]
+    if units is None:
+        return wanted.select(*keys)
+    done = units.groupBy(*keys).agg(F.sum("n").alias("done"), F.bit_xor("fingerprint").alias("seen"))
+    return wanted.join(done, keys, "left").where("done is null or done <> n or seen <> fingerprint").select(*keys)
+
+
 def write_feature_table(rows: DataFrame, path: str, metadata: dict) -> DataFrame:
-    """Append the (image_id, condition) pairs that the table lacks; other metadata than the table's is an error."""
+    """Add the (dataset, condition, image_id) rows that the table lacks, as one commit; other metadata than the table's is an error.
+
+    Ids are compared inside pending units only, so a rerun of work that is done reads unit tables and
+    no features. Rows and units are written first and the commit's marker last: a write that breaks
+    off leaves nothing that counts. Of rows with the same id one is kept.
+    """
     spark = rows.sparkSession
     meta = f"{path}/_metadata_json"
     text = json.dumps(metadata, sort_keys=True)
@@ -24,19 +65,30 @@ def write_feature_table(rows: DataFrame, path: str, metadata: dict) -> DataFrame
         known = text
     if known != text:
         raise ValueError("the feature table was made with other settings")
-    data = f"{path}/data"
-    try:
-        done = spark.read.parquet(data).select("image_id", "condition")
-        rows = rows.join(done, ["image_id", "condition"], "left_anti")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    rows.write.mode("append").partitionBy("dataset", "condition").parquet(data)
+    keys = ["dataset", "condition", "shard"]
+    pending = F.broadcast(pending_units(rows, path))  # datasets x conditions x SHARDS rows at most
+    fresh = _sharded(rows).join(pending, keys, "left_semi").dropDuplicates(["dataset", "condition", "image_id"])
+    done = _committed(spark, path, "data")
+    if done is not None:
+        there = done.select(*keys, "image_id").join(pending, keys, "left_semi").select("dataset", "condition", "image_id")
+        fresh = fresh.join(there, ["dataset", "condition", "image_id"], "left_anti")
+    name = uuid.uuid4().hex
+    data = f"{path}/data/commit={name}"
+    fresh.write.partitionBy("dataset", "condition").parquet(data)
+    schema = fresh.select("dataset", "condition", *[c for c in fresh.columns if c not in ("dataset", "condition")]).schema
+    written = spark.read.schema(schema).parquet(data)
+    if not written.isEmpty():
+        _units(written).coalesce(1).write.parquet(f"{path}/units/commit={name}")
+        CommitLog(spark, path).commit(name, {"metadata": metadata})
     return read_feature_table(spark, path)
 
 
 def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/data")
+    """The committed rows; an error if nothing was committed."""
+    found = _committed(spark, path, "data")
+    if found is None:
+        raise ValueError(f"{path} holds no committed rows")
+    return found.drop("commit", "shard")
 
 
 def write_predictions(scored: DataFrame, path: str, threshold: float | None = None) -> None:

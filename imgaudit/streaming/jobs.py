@@ -2,32 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import probe
+from ..sources.commits import CommitLog
+
+
+#: Keys of the state of what was scored; each holds its share of the ids.
+BUCKETS = 256
+
+
+class FirstScores(StatefulProcessor):
+    """Lets the rows of an image id pass once, in the first batch that has it; of several in that batch the least score."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "image_id string", "seen boolean")
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values(["image_id", "margin", "prob"]).drop_duplicates("image_id")
+        new = batch[[not self.seen.containsKey((i,)) for i in batch["image_id"]]]
+        for i in new["image_id"]:
+            self.seen.updateValue((i,), (True,))
+        if len(new):
+            yield new[["image_id", "margin", "prob"]]
 
-def stream_score_new_images(spark: SparkSession, features_path: str, schema: str, model: dict, out: str, checkpoint: str) -> StreamingQuery:
-    """Score feature rows as files arrive; a row is written once, also after a restart.
+    def close(self) -> None:
+        pass
 
-    Rows that the output already holds are left out of a batch, so a batch that is run again after
-    a failure adds nothing.
+
+def stream_score_new_images(spark: SparkSession, features_path: str, schema: str, model: dict, out: str, checkpoint: str, written: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Score feature rows as files arrive; an image is written once, also after a restart.
+
+    Which ids were scored is keyed state of the stream, so a batch costs the same however much was
+    scored before. A batch is written to a folder of its number, replacing what a broken run of it
+    left, and counts from its marker on; ``read_scores`` reads no other. ``written`` is called between both.
     """
     rows = spark.readStream.schema(schema).parquet(features_path)
+    scored = probe.score(rows, model).select("image_id", "margin", "prob").withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(BUCKETS)))
+    fresh = scored.groupBy("bucket").transformWithStateInPandas(statefulProcessor=FirstScores(), outputStructType="image_id string, margin double, prob double", outputMode="Append", timeMode="None")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={number:09d}")
+        if written:
+            written(number)
+        CommitLog(spark, out).commit(f"{number:09d}", {"batch": number})
+
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    def write(batch: DataFrame, _: int) -> None:
-        made = probe.score(batch, model).select("image_id", "margin", "prob").dropDuplicates(["image_id"])
-        try:
-            done = spark.read.parquet(out).select("image_id")
-            made = made.join(done, "image_id", "left_anti")
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-        made.write.mode("append").parquet(out)
-
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_scores(spark: SparkSession, out: str) -> DataFrame:
+    """image_id, margin and prob of all finished batches of ``stream_score_new_images``."""
+    names = CommitLog(spark, out).names()
+    read = spark.read.schema("image_id string, margin double, prob double")
+    return read.parquet(*[f"{out}/data/batch={n}" for n in names]) if names else spark.createDataFrame([], "image_id string, margin double, prob double")
 
 
 def finished_rounds_stream(rounds: DataFrame, guesses: DataFrame, late: str = "10 minutes", open_for: str = "6 minutes") -> DataFrame:
