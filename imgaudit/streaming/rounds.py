@@ -77,7 +77,7 @@ class Rounds(StatefulProcessor):
         self.figures.update((turns, *figures["human"], *figures["ai"]))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self.handle.registerTimer(int(events["ts"].max().timestamp() * 1000) + self.idle_ms)
         frame = pd.DataFrame(out, columns=_COLUMNS)
         if len(frame):
             yield frame.astype({c: "Int32" for c in _COLUMNS if c == "turn" or c.endswith(("_completed", "_points", "_accuracy", "_streak"))} | {f"{s}_correct": "boolean" for s in _SIDES})
@@ -91,16 +91,17 @@ class Rounds(StatefulProcessor):
         pass
 
 
-def rounds_with_figures(events: DataFrame, cache_size: int = 256, rounds_per_match: int = 10, idle_ms: int = 24 * 3_600_000) -> DataFrame:
+def rounds_with_figures(events: DataFrame, cache_size: int = 256, rounds_per_match: int = 10, idle_ms: int = 24 * 3_600_000, late: str = "10 minutes") -> DataFrame:
     """One row for each guess of ``round_events``: whether it counts, who was right, and both sides' running figures after it.
 
     status is accepted, invalid (no such label or time), unknown (no such round, or it was pushed
     out) or finished (the round has its guess). Figures are those of the first ``rounds_per_match``
     finished rounds of the game, as in ``scoreboard``. Events of one batch go by time, rounds before guesses.
-    Memory of a game is ``cache_size`` rounds; a game silent for ``idle_ms`` is forgotten.
+    Memory of a game is ``cache_size`` rounds; a game whose last event the watermark (``late`` behind
+    the latest event) has passed by ``idle_ms`` is forgotten, and events later than the watermark are dropped.
     """
     processor = Rounds(cache_size, rounds_per_match, idle_ms)
-    return events.groupBy("game_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_OUT, outputMode="Append", timeMode="ProcessingTime")
+    return events.withWatermark("ts", late).groupBy("game_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
 
 
 def running_board(figures: DataFrame) -> DataFrame:

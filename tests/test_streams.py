@@ -63,7 +63,7 @@ def test_a_thousand_rounds_equal_the_batch_scoreboard(spark, tmp_path):
         wrong = [("m1", f"none{batch}", base + 500, "REAL", 1.0), ("m2", new[2][1], base + 299, "MAYBE", 1.0), ("m3", new[3][1], base + 299, "REAL", 400_000.0)]
         game.send(new, guessed + again + wrong)
     r, g = game.tables()
-    finished = scoreboard.finish_rounds(r.withColumnRenamed("game_id", "match_id"), g.drop("game_id"))
+    finished = scoreboard.finish_rounds(r.withColumnRenamed("game_id", "match_id").drop("ts"), g.drop("game_id"))
     want = scoreboard.scoreboard(finished, 60)
     got = rounds.running_board(game.out())
     columns = ["match_id", "side", "completed", "correct", "mean_ms", "streak", "accuracy"]
@@ -161,7 +161,7 @@ def test_torn_shards_do_not_count(spark, tmp_path):
 def test_pending_work_comes_from_markers(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = features(spark, [f"i{k}" for k in range(200)])
-    assert results.pending_units(rows, path).count() == 2 * 61 or results.pending_units(rows, path).count() <= 128
+    assert 0 < results.pending_units(rows, path).count() <= 2 * results.SHARDS
     results.write_feature_table(rows, path, {})
     shutil.rmtree(f"{path}/data")  # features are not read to tell what is done
     assert results.pending_units(rows, path).count() == 0
