@@ -64,7 +64,7 @@ def grams_at(hashes: np.ndarray, firsts: np.ndarray, length: int) -> np.ndarray:
 class PatternSet:
     """Windows of benchmark items as positions in the items' words, by length, in flat arrays."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         data = [(text or "").encode() for _, text in items]
         found = [words_of(np.frombuffer(x, dtype=np.uint8), ALNUM) for x in data]
         offset = np.cumsum([0, *map(len, data)])
@@ -119,7 +119,7 @@ class PatternSet:
                             items.add(int(one.owners[k]))
                         k += 1
                 at += 1
-        return _merged(spans), {self.items[i] for i in items}
+        return _merged(spans), {self.items[i] for i in items} - {None}
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -132,7 +132,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(docs: DataFrame, items: list[tuple[str, str | None]], window: int, columns: list[str], schema: str) -> tuple[DataFrame, Broadcast]:
+def _search(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int, columns: list[str], schema: str) -> tuple[DataFrame, Broadcast]:
     patterns = docs.sparkSession.sparkContext.broadcast(PatternSet(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +158,15 @@ def _passes(benchmark: DataFrame, limit: int) -> tuple[DataFrame, int]:
 
     Items are dealt by hash to as many passes as there are times ``limit`` bytes of text.
     """
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // limit))
     return rows.withColumn("pass", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
 
-def _items(passes: DataFrame, k: int) -> list[tuple[str, str]]:
-    """The items of one pass."""
-    return sorted({(row.item, row.text) for row in passes.where(F.col("pass") == k).toLocalIterator()})
+def _items(passes: DataFrame, k: int) -> list[tuple[str | None, str]]:
+    """The items of one pass; those without an id are windows that no item owns."""
+    return sorted({(row.item, row.text) for row in passes.where(F.col("pass") == k).toLocalIterator()}, key=lambda x: (x[0] or "", x[0] is None, x[1]))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -201,9 +201,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     occurrence of a window is hit; contaminated means n_hit > 0 and share * n_hit >= n_words.
     items_sha256 is of the ids of the items found, sorted as strings and joined by commas (of the
     empty string if none). An item of fewer words than ``window`` is one window, one without words
-    or with a null id or text is none. A null text has no words; repeated and null doc_ids keep
-    their rows; a repeated item_id counts once; other columns are ignored, empty tables give no
-    rows or no hits. The benchmark reaches the tasks in passes of bounded size.
+    or with a null text is none. The windows of an item with a null id hit words, but it counts as no
+    item. A null text has no words; repeated and null doc_ids keep their rows; a repeated item_id
+    counts once; other columns are ignored, empty tables give no rows or no hits. The benchmark reaches the tasks in passes of bounded size.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     passes, n = _passes(benchmark, pass_bytes)
