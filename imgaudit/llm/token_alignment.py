@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .token_counts import _PLAIN, _SPELLING
 #: Characters of text that are aligned at a time; a longer text is aligned in parts of this size.
 PIECE = 1 << 19
 #: Segments that a worker remembers at most (some 300 bytes each).
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Segments longer than this are not remembered.
 LONG_SEGMENT = 64
 #: Pairs of ids with their counts that are broadcast at most (16 bytes each); rarer pairs are joined.
@@ -61,6 +62,7 @@ class Pair:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.lengths = tuple(pa.array([len(x) for x in own], pa.int64()) for own in (self.bytes_a, self.bytes_b))
+        self.tokens = tuple(pa.array(own, pa.binary()) for own in (self.bytes_a, self.bytes_b))
         self.names = tuple(pa.array([str(k) for k in range(len(own))]) for own in (self.bytes_a, self.bytes_b))
         config = json.loads(self.a.to_str())
         before = config["pre_tokenizer"] or {}
@@ -78,18 +80,39 @@ class Pair:
         new = [k for k, x in enumerate(found) if x is None]
         if new:
             texts = [segments[k] for k in new]
-            ids_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-            ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+            sides = (
+                [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)],
+                self.b.encode([t[1:] for t in texts], num_threads=1),
+            )
+            raw = [t.encode() for t in texts]
+            packed, spelled = [], np.ones(len(new), dtype=bool)
+            for k, ids in enumerate(sides):
+                own, right = self._packed(k, ids, raw)
+                packed.append(own)
+                spelled &= right
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-            for k, text, a, b in zip(new, texts, ids_a, ids_b, strict=True):
-                raw = text.encode()
-                whole = b"".join([self.bytes_a[x] for x in a]) == raw and b"".join([self.bytes_b[x] for x in b]) == raw
-                found[k] = (np.array(a, dtype=np.int32).tobytes(), np.array(b, dtype=np.int32).tobytes(), whole)
+            for k, text, *entry in zip(new, texts, *packed, spelled.tolist(), strict=True):
+                found[k] = tuple(entry)
                 if len(text) <= LONG_SEGMENT and len(self.known) < REMEMBERED:
                     self.known[text] = found[k]
         return found
 
+    def _packed(self, side: int, ids: list[list[int]], raw: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """Packed ids of each segment, and whether their bytes are the segment's."""
+        ends = np.cumsum([0, *map(len, ids)])
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
+        data = flat.tobytes()
+        cuts = (4 * ends).tolist()
+        places = np.concatenate(([0], np.cumsum(self.lengths[side].to_numpy()[flat])))[ends]
+        taken = self.tokens[side].take(pa.array(flat)).buffers()[2]
+        joined = taken.to_pybytes()[: int(places[-1])] if taken is not None else b""
+        right = np.diff(places) == np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        if not right.all() or joined != b"".join(raw):
+            own = places.tolist()
+            right = np.array([joined[x:y] == r for x, y, r in zip(own, own[1:], raw, strict=False)], dtype=bool)
+        return [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], right
+
 
 @cache
 def _pair(path_a: str, path_b: str) -> Pair:
