@@ -237,7 +237,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
             data, offsets = text_bytes(batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             pred, score = np.full(batch.num_rows, -1, dtype=np.int64), np.zeros(batch.num_rows)
-            cuts: list[tuple] = [(np.zeros(0, dtype=np.int64),) * 4]  # row, first byte, last byte, language of each span
+            cuts: list[tuple] = [(np.zeros(0, dtype=np.int64),) * 4]  # row, start, end and language of each span
             held: list[tuple] = []
 
             def label() -> None:
@@ -256,7 +256,12 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
             if model.languages:
                 size = 0
                 for first, hashes, starts, ends, bounds in batch_words(data, offsets, _LETTERS):
-                    held.append((np.arange(first, first + len(bounds) - 1), word_scores(model, data, hashes, starts, ends), starts, ends, np.diff(bounds)))
+                    # places of words are counted in code points of their text from here on
+                    at, last = int(offsets[first]), first + len(bounds) - 1
+                    points = np.concatenate(([0], np.cumsum((data[at : int(offsets[last])] & 0xC0) != 0x80, dtype=np.int32)))
+                    zero = np.repeat(points[offsets[first:last] - at], np.diff(bounds))
+                    scores = word_scores(model, data, hashes, starts, ends)
+                    held.append((np.arange(first, last), scores, points[starts - at] - zero, points[ends - at] - zero, np.diff(bounds)))
                     size += len(starts)
                     if size * len(model.languages) >= SCORES:
                         label()
@@ -265,12 +270,9 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
             row, start, end, lang = (np.concatenate(x) for x in zip(*cuts, strict=True))
             keep = letters[row]
             row, start, end, lang = row[keep], start[keep], end[keep], lang[keep]
-            base = int(offsets[0])
-            points = np.concatenate(([0], np.cumsum((data[base : int(offsets[-1])] & 0xC0) != 0x80))) if len(row) else np.zeros(1, dtype=np.int64)
-            zero = points[offsets[row] - base]
             place = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
             languages = pa.array([*model.languages, "und"])
-            struct = pa.StructArray.from_arrays([pa.array((points[x - base] - zero).astype(np.int32)) for x in (start, end)] + [languages.take(pa.array(lang))], names=["start", "end", "lang"])
+            struct = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (start, end)] + [languages.take(pa.array(lang))], names=["start", "end", "lang"])
             named = languages.take(pa.array(np.where(pred < 0, len(model.languages), pred)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), named, pa.array(score), pa.ListArray.from_arrays(pa.array(place), struct)], names=names)
 
