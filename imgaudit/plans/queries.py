@@ -259,11 +259,12 @@ _SUB = ", ".join(f"({s})" for s in range(20))
     + f""", t AS (SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY sha256(seed || ':' || image_id), image_id) AS k FROM scored, (VALUES {_SUB}) v(seed)),
   sub AS (SELECT * FROM t WHERE k <= 200)"""
     + _auc_sql("seed", "sub")
-    + " SELECT seed, round(auc, 6) AS auc FROM auc_seed"
+    + " SELECT seed, round(auc, 7) AS auc FROM auc_seed"
 )
 def subsample_auc(spark, sf):
+    """AUCs are multiples of 1 / 80,000, which seven digits hold without rounding."""
     rows = sampling.seeded_subsamples(scored(spark, sf).select("image_id", "label", "score"), 200, list(range(20)))
-    return _rounded(metrics.roc_auc(rows, ["seed"]))
+    return _rounded(metrics.roc_auc(rows, ["seed"]), 7)
 
 
 @_query(
@@ -353,6 +354,18 @@ def quota_select(spark, sf):
     return sampling.quota_select(rows, 20, 7, "source", "image_id", rows.where("image_id % 10 = 0")).select("image_id", "label", "source", "rank")
 
 
+_QUOTA = ORACLES["quota_select"]
+
+
+@_query(_QUOTA)
+def quota_select_pages(spark, sf):
+    """The same rows as quota_select, from sources that are read in rounds until the quotas are full."""
+    excluded = items(spark, sf).where("image_id % 10 = 0").select("image_id")
+    pages = _read(spark, sf, "documents").select("source")
+    read = lambda names: items(spark, sf).where(F.col("source").isin(names))
+    return sampling.quota_select_pages(pages, read, 20, 7, "source", "image_id", excluded, first=2)[0].select("image_id", "label", "source", "rank")
+
+
 @_query(
     _ITEMS
     + f""", g AS (SELECT label, source, 22 // count(*) OVER (PARTITION BY label) + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY source) <= 22 % count(*) OVER (PARTITION BY label) THEN 1 ELSE 0 END AS quota
@@ -460,7 +473,17 @@ def provenance_violations(spark, sf):
     return exclusion.provenance_violations(p)
 
 
-@_query()
+@_query(
+    _ITEMS
+    + f""", f AS (SELECT * FROM items WHERE image_id % 10 = 0), n AS (SELECT * FROM items WHERE image_id % 10 <> 0 AND sha256 NOT IN (SELECT sha256 FROM f)),
+  g AS (SELECT label, source, 50 // count(*) OVER (PARTITION BY label) + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY source) <= 50 % count(*) OVER (PARTITION BY label) THEN 1 ELSE 0 END AS quota
+    FROM (SELECT DISTINCT label, source FROM n)),
+  c AS (SELECT n.*, row_number() OVER (PARTITION BY n.label, n.source ORDER BY {_h(7, 'image_id')}, image_id) AS r, quota FROM n JOIN g ON n.label = g.label AND n.source = g.source),
+  s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_h(7, "'order'", 'image_id')}, image_id) AS selection_rank FROM c WHERE r <= quota),
+  u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY selection_rank * 2 + label) = 1)
+  SELECT image_id, label, source, CAST(selection_rank AS INT) AS selection_rank,
+    CASE WHEN row_number() OVER w <= 30 THEN 'train' WHEN row_number() OVER w <= 40 THEN 'evaluation' ELSE 'reserve' END AS role FROM u WINDOW w AS (PARTITION BY label ORDER BY selection_rank)"""
+)
 def training_set(spark, sf):
     """Frozen items out, groups balanced, repeats out, roles by rank."""
     rows = items(spark, sf)
@@ -515,7 +538,20 @@ def names_of_pages(spark, sf):
     return p.select("page_id", keys.safe_name(F.col("url")).alias("safe_name"), keys.normalize_group(F.col("url")).alias("grp"))
 
 
-@_query()
+def _picked_sql(options: list[str], salt: str) -> str:
+    """The option that a stable seed of document and ``salt`` picks."""
+    listed = ", ".join(f"'{o}'" for o in options)
+    return f"[{listed}][CAST(('0x' || substr(sha256('7:' || doc_id || ':{salt}'), 1, 16))::UBIGINT % {len(options)} AS INT) + 1]"
+
+
+_FAMILIES = sorted({f for f, _, _ in conditions.TRANSFORMS})
+
+
+@_query(
+    f"SELECT doc_id, CASE {_picked_sql(_FAMILIES, 'family')} "
+    + " ".join(f"WHEN '{name}' THEN {_picked_sql([f'{f}_{s}' for f, s, _ in conditions.TRANSFORMS if f == name], name)}" for name in _FAMILIES)
+    + " END AS condition FROM documents"
+)
 def training_conditions(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", conditions.training_condition(7, F.col("doc_id")).alias("condition"))
 
@@ -563,7 +599,14 @@ def near_duplicate_pairs(spark, sf):
     return found.select(text("a").alias("a"), text("b").alias("b"), F.col("distance").cast("int").alias("distance"))
 
 
-@_query()
+@_query(
+    f"""WITH h AS (SELECT vec_id AS image_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label, 'g' || label AS source, s FROM ({_BITS})),
+  e AS (SELECT *, 'd' || (image_id % 3) AS dataset FROM h WHERE image_id % 5 = 0), t AS (SELECT * FROM h WHERE image_id % 5 <> 0),
+  p AS (SELECT a.s AS a, b.s AS b FROM (SELECT DISTINCT s FROM e) a, (SELECT DISTINCT s FROM t) b WHERE hamming(a.s, b.s) <= 4),
+  k AS (SELECT p.a, max(t.label) AS hi, min(t.label) AS lo, list(DISTINCT t.source) AS sources FROM p JOIN t ON t.s = p.b GROUP BY 1)
+  SELECT dataset, count(*) AS n_rows, count(hi) AS n_near, count(*) FILTER (WHERE hi <> label OR lo <> label) AS n_opposite,
+    coalesce(array_to_string(list_sort(list_distinct(flatten(list(sources) FILTER (WHERE sources IS NOT NULL)))), ','), '') AS sources FROM e LEFT JOIN k ON e.s = k.a GROUP BY 1"""
+)
 def near_duplicate_summary(spark, sf):
     h = _hashes(spark, sf).withColumn("dataset", F.concat(F.lit("d"), F.col("image_id") % 3))
     return near_duplicates.near_duplicate_summary(h.where("image_id % 5 = 0"), h.where("image_id % 5 <> 0"))
@@ -572,13 +615,13 @@ def near_duplicate_summary(spark, sf):
 @_query()
 def probe_scores(spark, sf):
     rows = features(spark, sf)
-    return _rounded(probe.score(rows, probe.fit_probe(rows, max_iter=100)).select("image_id", "label", "margin", "prob"), 4)
+    return _rounded(probe.score(rows, probe.fit_probe(rows)).select("image_id", "label", "margin", "prob"), 4)
 
 
 @_query()
 def branch_contributions(spark, sf):
     rows = features(spark, sf)
-    model = probe.fit_probe(rows, max_iter=100)
+    model = probe.fit_probe(rows)
     return _rounded(probe.branch_contributions(rows, model, 48).select("image_id", "semantic_part", "frequency_part"), 4)
 
 
@@ -667,18 +710,26 @@ def finished_rounds(spark, sf):
     return scoreboard.finish_rounds(*rounds(spark, sf)).select("round_id", "match_id", "human_label", "human_correct", "ai_correct")
 
 
-@_query(
+_BOARD = (
     _ROUNDS
     + """, k AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY ts, round_id) AS turn FROM f QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY ts, round_id) <= 10),
-  s AS (SELECT match_id, turn, 'human' AS side, human_correct AS ok, human_elapsed_ms AS ms FROM k UNION ALL SELECT match_id, turn, 'ai', ai_correct, ai_elapsed_ms FROM k)
-  SELECT match_id, side, count(*) AS completed, count(*) FILTER (WHERE ok) AS correct, round(avg(ms), 6) AS mean_ms, CAST(max(turn) - coalesce(max(CASE WHEN NOT ok THEN turn END), 0) AS INT) AS streak,
-  CAST(round(count(*) FILTER (WHERE ok) * 100.0 / count(*)) AS INT) AS accuracy FROM s GROUP BY 1, 2"""
+  s AS (SELECT match_id, turn, 'human' AS side, human_correct AS ok, human_elapsed_ms AS ms FROM k UNION ALL SELECT match_id, turn, 'ai', ai_correct, ai_elapsed_ms FROM k),
+  board AS (SELECT match_id, side, count(*) AS completed, count(*) FILTER (WHERE ok) AS correct, avg(ms) AS mean_ms, CAST(max(turn) - coalesce(max(CASE WHEN NOT ok THEN turn END), 0) AS INT) AS streak,
+    CAST(round(count(*) FILTER (WHERE ok) * 100.0 / count(*)) AS INT) AS accuracy FROM s GROUP BY 1, 2)"""
 )
+
+
+@_query(_BOARD + " SELECT match_id, side, completed, correct, round(mean_ms, 6) AS mean_ms, streak, accuracy FROM board")
 def scoreboard_by_match(spark, sf):
     return _rounded(scoreboard.scoreboard(scoreboard.finish_rounds(*rounds(spark, sf))))
 
 
-@_query()
+@_query(
+    _BOARD
+    + """, p AS (SELECT h.match_id, CAST((h.accuracy > a.accuracy)::INT + (h.mean_ms < a.mean_ms)::INT AS INT) AS human_points, CAST((a.accuracy > h.accuracy)::INT + (a.mean_ms < h.mean_ms)::INT AS INT) AS ai_points
+    FROM board h JOIN board a ON h.match_id = a.match_id AND h.side = 'human' AND a.side = 'ai')
+  SELECT *, CASE WHEN human_points > ai_points THEN 'human' WHEN human_points < ai_points THEN 'ai' ELSE 'draw' END AS winner FROM p"""
+)
 def match_winners(spark, sf):
     return scoreboard.match_winners(scoreboard.scoreboard(scoreboard.finish_rounds(*rounds(spark, sf)))).select("match_id", "human_points", "ai_points", "winner")
 
@@ -691,4 +742,4 @@ def image_view_features(spark, sf):
     """Radial spectrum and difference hash of every embedding under one transform each, drawn as 8 x 8 tiles."""
     rows = features(spark, sf).withColumn("condition", conditions.training_condition(7, F.col("image_id"))).withColumn("seed", keys.stable_seed(7, F.col("image_id"), F.col("condition")))
     drawn = images.vectors_as_images(rows.select("image_id", "condition", "seed", "features"))
-    return images.view_features(drawn, bins=8, size=32)
+    return images.view_features(drawn)

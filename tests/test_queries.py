@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
 def plain(x):
     if isinstance(x, float):
-        return round(x, 5)
+        return round(x, 9)
     return str(x) if isinstance(x, datetime.datetime) else x
 
 
