@@ -11,6 +11,7 @@ Table.group_by in each task and merged by Spark.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -241,7 +242,7 @@ def _batch(rows: list[tuple], ids: list[tuple[int | None, int | None]]) -> pa.Re
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Each row of ``docs(row, doc_id, text)`` with its tokens, groups and links; see Block for pairs and times."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(path_a, path_b)
         for batch in batches:
             ids = list(zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), strict=True))
@@ -274,6 +275,13 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             if held:
                 yield _batch([d.row() for d in held], ids[first:])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and looking for them among millions of segments takes a quarter of the time
+        try:
+            yield from lined_up(batches)
+        finally:
+            gc.enable()
+
     return docs.mapInArrow(run, _ROW)
 
 
