@@ -13,6 +13,8 @@ from ..operators import probe
 from ..sources.commits import CommitLog
 
 
+#: Setting of the state store, and the store that keyed state needs.
+STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Keys of the state of what was scored; each holds its share of the ids.
 BUCKETS = 256
 
@@ -52,7 +54,16 @@ def stream_score_new_images(spark: SparkSession, features_path: str, schema: str
             written(number)
         CommitLog(spark, out).commit(f"{number:09d}", {"batch": number})
 
-    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # a query keeps the state store that its session names when it starts
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
 
 
 def read_scores(spark: SparkSession, out: str) -> DataFrame:

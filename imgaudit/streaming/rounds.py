@@ -14,9 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: State store that keyed state needs; set it on the session before the stream starts.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 _SIDES = ("human", "ai")
 _OUT = "game_id string, round_id string, ts timestamp, status string, turn int, " + ", ".join(f"{s}_correct boolean, {s}_elapsed_ms double, {s}_completed int, {s}_points int, {s}_accuracy int, {s}_mean_ms double, {s}_streak int" for s in _SIDES)
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
@@ -96,7 +93,8 @@ def rounds_with_figures(events: DataFrame, cache_size: int = 256, rounds_per_mat
 
     status is accepted, invalid (no such label or time), unknown (no such round, or it was pushed
     out) or finished (the round has its guess). Figures are those of the first ``rounds_per_match``
-    finished rounds of the game, as in ``scoreboard``. Events of one batch go by time, rounds before guesses.
+    finished rounds of the game, as in ``scoreboard``. The session must name ROCKSDB as state store when
+    the stream starts. Events of one batch go by time, rounds before guesses.
     Memory of a game is ``cache_size`` rounds; a game whose last event the watermark (``late`` behind
     the latest event) has passed by ``idle_ms`` is forgotten, and events later than the watermark are dropped.
     """

@@ -18,9 +18,9 @@ GUESS = "game_id string, round_id string, ts timestamp, label string, elapsed_ms
 
 @pytest.fixture(scope="module", autouse=True)
 def rocksdb(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", rounds.ROCKSDB)
+    spark.conf.set(jobs.STORE, jobs.ROCKSDB)
     yield
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.unset(jobs.STORE)
 
 
 def moment(k):

@@ -158,7 +158,7 @@ def test_streams(spark, tmp_path):
     for ids in (["a", "b"], ["b", "c"]):
         spark.createDataFrame([(i, [1.0]) for i in ids], "image_id string, features array<double>").write.mode("append").parquet(source)
         jobs.stream_score_new_images(spark, source, "image_id string, features array<double>", model, out, str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r[0] for r in spark.read.parquet(out).select("image_id").collect()) == ["a", "b", "c"]
+    assert sorted(r[0] for r in jobs.read_scores(spark, out).select("image_id").collect()) == ["a", "b", "c"]
     spark.sql("select 'r' round_id, 'm' match_id, 'REAL' ground_truth, 'FAKE' ai_label, timestamp'2024-01-01 00:00:00' ts").write.parquet(str(tmp_path / "r"))
     spark.sql("select 'r' round_id, 'REAL' label, timestamp'2024-01-01 00:01:00' ts union all select 'q', 'REAL', timestamp'2024-01-01 00:01:00'").write.parquet(str(tmp_path / "g"))
     r = spark.readStream.schema("round_id string, match_id string, ground_truth string, ai_label string, ts timestamp").parquet(str(tmp_path / "r"))
