@@ -47,7 +47,7 @@ def validate_disjoint(a: DataFrame, b: DataFrame, key: str = "image_id") -> None
     common = overlapping_ids(a, b, key)
     n = common.count()
     if n:
-        raise ValueError(f"sets overlap by {n} image IDs, such as {[r[0] for r in common.orderBy(key).limit(3).collect()]}")
+        raise ValueError(f"{n} ids are in both sets, such as {[r[0] for r in common.orderBy(key).limit(3).collect()]}")
 
 
 def misaligned(a: DataFrame, b: DataFrame, key: str = "image_id", label: str = "label") -> DataFrame:

@@ -256,8 +256,10 @@ def calibration_error(scored: DataFrame, bins: int = 10, score: str = "score", k
     return ece.join(brier, keys) if keys else ece.crossJoin(brier)  # one row each
 
 
-def saturation(scored: DataFrame, keys: list[str], prob: str = "prob", margin: str = "margin") -> DataFrame:
-    return scored.groupBy(*keys).agg(F.count_if(F.col(prob) == 0).alias("n_zero"), F.count_if(F.col(prob) == 1).alias("n_one"), F.count_distinct(prob).alias("distinct_prob"), F.count_distinct(margin).alias("distinct_margin"))
+def saturation(scored: DataFrame, keys: list[str], prob: str = "prob", margin: str = "margin", approximate: bool = False) -> DataFrame:
+    """Rows at 0 and at 1, and distinct probabilities and margins; by a sketch within about 2 % if ``approximate``, which shuffles no value."""
+    distinct = (lambda c: F.approx_count_distinct(c, 0.02)) if approximate else F.count_distinct
+    return scored.groupBy(*keys).agg(F.count_if(F.col(prob) == 0).alias("n_zero"), F.count_if(F.col(prob) == 1).alias("n_one"), distinct(prob).alias("distinct_prob"), distinct(margin).alias("distinct_margin"))
 
 
 def quantile_summary(rows: DataFrame, keys: list[str], value: str, approximate: bool = False) -> DataFrame:

@@ -152,3 +152,12 @@ def test_models_without_some_sources_are_those_fitted_alone(spark, monkeypatch):
             assert model["weights"] == pytest.approx(alone["weights"], abs=1e-4) and model["bias"] == pytest.approx(alone["bias"], abs=1e-4)
     with pytest.raises(ValueError, match="classes"):
         probe.fit_without(rows.where("label = 1 or source = 'g0'"), [("g0",)])
+
+
+def test_distinct_scores_by_a_sketch(spark):
+    df = spark.range(40_000).selectExpr("id % 3 as k", "(id % 9000) / 9000d as prob", "double(id) as margin")
+    exact = {r["k"]: r for r in metrics.saturation(df, ["k"]).collect()}
+    for r in metrics.saturation(df, ["k"], approximate=True).collect():
+        assert (r["n_zero"], r["n_one"]) == (exact[r["k"]]["n_zero"], 0)
+        assert r["distinct_prob"] == pytest.approx(exact[r["k"]]["distinct_prob"], rel=0.08)
+        assert r["distinct_margin"] == pytest.approx(exact[r["k"]]["distinct_margin"], rel=0.08)

@@ -42,7 +42,7 @@ def test_dedupe_keeps_first_and_blank(spark):
 
 def test_disjoint_message(spark):
     a = spark.createDataFrame([("x",), ("y",)], "image_id string")
-    with pytest.raises(ValueError, match="overlap by 2 image IDs"):
+    with pytest.raises(ValueError, match="2 ids are in both sets"):
         exclusion.validate_disjoint(a, a)
 
 
