@@ -170,6 +170,7 @@ def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, t
     links = both.withColumn("i", common).where(100 * F.col("i") >= t * (F.size("x.shingles") + F.size("y.shingles") - F.col("i")))
     out = own.write(links.select("a", "b"), "links")
     known.destroy()
+    own.drop("plausible")
     return out
 
 
@@ -208,6 +209,7 @@ def _postings(heads: DataFrame, t: int, own: Scratch) -> DataFrame:
 
     out = own.write(heads.select("set_id", "n", "copies", "tokens").mapInArrow(run, "token long, at int, set_id long, n long, copies long"), "postings")
     known.destroy()
+    own.drop("shared-tokens")
     return out
 
 
@@ -237,8 +239,10 @@ def set_components(texts: DataFrame, table: DataFrame, distinct: DataFrame, size
     label = forest_roots(_verified(own.write(star, "stars"), heads, texts, size, t, own), own)
     # 2. every pair of sets in different components with a common token. Of a token's sets, those in its largest component are never paired with each other.
     tagged = own.write(postings.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "tagged")
+    own.drop("postings")  # as large as what is tagged
     apart = tagged.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("token")
     rows = own.write(tagged.join(apart, "token").select("token", "component", F.struct("set_id", "n", "at").alias("set")), "open")
+    own.drop("tagged")
     per = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
     major = own.write(per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major")), "major")
     x = rows.join(major, "token").where("component <> major").select("token", F.col("component").alias("of_x"), "major", F.col("set").alias("x"))

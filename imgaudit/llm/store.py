@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the bitmaps below; a bitmap is 2 MB, whatever the size of the input.
+#: Bits of a bitmap whose keys were not counted (2 MB); see bitmap_bits for the others.
 BITMAP_BITS = 24
 
 
