@@ -50,8 +50,11 @@ NO_CLOSE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td
 
 #: A text is template if it is on this share of the (at least so many) pages that have its path.
 SAME_SHARE, LEAST_PAGES = 0.9, 5
-#: Pages of a host that are merged into its skeleton, and kids of one label it keeps below a parent.
+#: Pages of a host that are merged into its skeleton, and kids of one label that are slots below a parent;
+#: texts of further kids are counted by what they say, wherever they stand below that parent.
 REFERENCES, SKELETON_KIDS = 5, 32
+#: Numbers in place of a slot: a text without one, and the page itself.
+_NO_SLOT, _PAGE = -1, -2
 #: The content slot is followed into a child that holds this share of the varying text.
 DOMINANT = 0.7
 #: A slot outside the article is a menu if links make up this share of its text.
@@ -89,6 +92,11 @@ class Block:
         """Hash of the block's own texts; 0 if it has none."""
         return _hash(*own) if (own := [t for t in self.items if isinstance(t, tuple)]) else 0
 
+    @property
+    def placed_text(self) -> int:
+        """Hash of the block's own texts and the labels down to it; 0 if it has none."""
+        return _hash((_path(self.parent, self.label), 0), *own) if (own := [t for t in self.items if isinstance(t, tuple)]) else 0
+
 
 class Page:
     """The block tree of a page, and its blocks in page order."""
@@ -346,16 +354,20 @@ def merged(htmls: list[str]) -> Skeleton:
 
 @dataclass(frozen=True)
 class Wrapper:
-    """What a host's pages have in common: skeleton, slots of template texts and menus, content slot (0: none)."""
+    """What a host's pages have in common: skeleton, slots of template texts and menus, content slot (0: none), template texts without a slot."""
 
     skeleton: Skeleton
     out: frozenset[int]
     menus: frozenset[int]
     content: int
+    loose: frozenset[int] = frozenset()
 
 
-def wrapper(rows: list[list], sums: list[tuple[int, int, int, int, int]]) -> Wrapper:
-    """Judge a host's slots by sums over its pages: (slot, pages, pages with the constant text, characters, linked ones)."""
+def wrapper(rows: list[list], sums: list[tuple[int, int, int, int, int]], loose: list[int] | None = None) -> Wrapper:
+    """Judge a host's slots by sums over its pages: (slot, pages, pages with the constant text, characters, linked ones).
+
+    ``loose`` are the texts without a slot that nearly all pages have.
+    """
     skeleton = Skeleton(rows)
     out, menus, varying = set(), set(), [0] * len(rows)
     for slot, pages, same, chars, linked in sums:
@@ -374,7 +386,7 @@ def wrapper(rows: list[list], sums: list[tuple[int, int, int, int, int]]) -> Wra
         if not best or varying[best] < DOMINANT * varying[content] or own[best] >= varying[best] / 2:
             break
         content = best
-    return Wrapper(skeleton, frozenset(out), frozenset(menus), content)
+    return Wrapper(skeleton, frozenset(out), frozenset(menus), content, frozenset(loose or ()))
 
 
 def _hash(*texts: tuple[str, int]) -> int:
@@ -390,7 +402,9 @@ class Aligned:
 
     def is_template(self, block: Block) -> bool:
         slot = self.slots.get(block.number)
-        return slot in self.host.out and block.text == self.host.skeleton.constant.get(slot) if slot is not None else False
+        if slot is None:
+            return bool(self.host and self.host.loose) and block.placed_text in self.host.loose
+        return slot in self.host.out and block.text == self.host.skeleton.constant.get(slot)
 
     def is_menu(self, block: Block, text: str, linked: int) -> bool:
         return linked >= len(text) * LINK_SHARE and self.slots.get(block.number, -1) in (self.host.menus if self.host else ())
@@ -513,7 +527,7 @@ def skeletons(pages: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, rows, sums) of ``pages(host, page_id, html)``, written: skeletons and the sums over their slots.
+    """(host, rows, sums, loose) of ``pages(host, page_id, html)``, written: skeletons, sums over their slots, template texts without one.
 
     Pages of equal html count as one.
     """
@@ -523,26 +537,35 @@ def induce(pages: DataFrame) -> DataFrame:
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Cache()
         for batch in batches:
-            out: list[tuple[str, int, int, int, int, int]] = []
+            out: list[tuple[str, int, int, int, int, int, int]] = []
             for host, html, (rows,) in _rows_of(batch, known, ["rows"]):
                 if not rows:
                     continue
                 skeleton = cache.of((host,), lambda rows=rows: Skeleton(json.loads(rows)))
                 page = Page(html)
                 key = _hash((html, 0))
-                for number, slot in skeleton.align(page).items():
-                    block = page.nodes[number]
+                slots = skeleton.align(page)
+                out.append((host, key, _PAGE, 0, 0, 1, 0))
+                for block in page.nodes:
                     own = [t for t in block.items if isinstance(t, tuple)]
-                    same = bool(own) and block.text == skeleton.constant.get(slot)
-                    out.append((host, key, slot, int(same), sum(len(t) for t, _ in own), sum(n for _, n in own)))
-            kinds = (pa.string(), *[pa.int64()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["host", "page", "slot", "same", "chars", "linked"])
-
-    found = ready.select("host", "html", "rows").mapInArrow(slots, "host string, page long, slot long, same long, chars long, linked long")
-    once = found.where("chars > 0").groupBy("host", "page", "slot").agg(*[F.first(c).alias(c) for c in ("same", "chars", "linked")])
-    sums = once.groupBy("host", "slot").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("same", "chars", "linked")])
-    per_host = sums.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.array("slot", "pages", "same", "chars", "linked")))).alias("sums"))
-    out = materialize(hosts.join(per_host, "host", "left"), "wrappers")
+                    if not own:
+                        continue
+                    slot = slots.get(block.number, _NO_SLOT)
+                    loose = block.placed_text if slot == _NO_SLOT else 0
+                    same = slot != _NO_SLOT and block.text == skeleton.constant.get(slot)
+                    out.append((host, key, slot, loose, int(same), sum(len(t) for t, _ in own), sum(n for _, n in own)))
+            kinds = (pa.string(), *[pa.int64()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["host", "page", "slot", "loose", "same", "chars", "linked"])
+
+    found = ready.select("host", "html", "rows").mapInArrow(slots, "host string, page long, slot long, loose long, same long, chars long, linked long")
+    once = found.groupBy("host", "page", "slot", "loose").agg(*[F.first(c).alias(c) for c in ("same", "chars", "linked")])
+    sums = once.groupBy("host", "slot", "loose").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("same", "chars", "linked")])
+    kept = materialize(sums.where(f"slot <> {_NO_SLOT} or pages >= {LEAST_PAGES}"), "slots")
+    per_host = kept.where("slot >= 0").groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.array("slot", "pages", "same", "chars", "linked")))).alias("sums"))
+    # of the texts without a slot only those of nearly all pages are collected: no more than a page holds
+    totals = kept.where(f"slot = {_PAGE}").select("host", F.col("pages").alias("total"))
+    loose = kept.where(f"slot = {_NO_SLOT}").join(totals, "host").where(f"pages >= total * {SAME_SHARE}").groupBy("host").agg(F.to_json(F.array_sort(F.collect_list("loose"))).alias("loose"))
+    out = materialize(hosts.join(per_host, "host", "left").join(loose, "host", "left"), "wrappers")
     if known:
         known.destroy()
     return out
@@ -563,8 +586,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
         cache = _Cache()
         for batch in batches:
             texts = []
-            for host, html, (rows, sums) in _rows_of(batch, known, ["rows", "sums"]):
-                judged = cache.of((host,), lambda rows=rows, sums=sums: wrapper(json.loads(rows), json.loads(sums or "[]")) if rows else None)
+            for host, html, (rows, sums, loose) in _rows_of(batch, known, ["rows", "sums", "loose"]):
+                judged = cache.of((host,), lambda rows=rows, sums=sums, loose=loose: wrapper(json.loads(rows), json.loads(sums or "[]"), json.loads(loose or "[]")) if rows else None)
                 texts.append(main_text(Aligned(Page(html), judged)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
