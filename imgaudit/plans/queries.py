@@ -6,6 +6,8 @@ The driver's tables stand in for the library's own: ``events`` are scored views
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, conditions, keys
 from ..operators import exclusion, images, metrics, near_duplicates, probe, resampling, sampling, scoreboard
+from ..streaming import rounds as stream_rounds
 from . import audit, training
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -734,6 +737,28 @@ def match_winners(spark, sf):
     return scoreboard.match_winners(scoreboard.scoreboard(scoreboard.finish_rounds(*rounds(spark, sf)))).select("match_id", "human_points", "ai_points", "winner")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see; a local one only where the session runs in one process and names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='spark-stream-', dir='/tmp')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@_query(_BOARD + " SELECT match_id, side, completed, correct, round(mean_ms, 6) AS mean_ms, streak, accuracy FROM board")
+def scoreboard_stream(spark, sf):
+    """The scoreboard as a stream's running figures: rounds and the earlier half of the guesses, then the later half."""
+    r, g = rounds(spark, sf)
+    games = r.select("round_id", F.col("match_id").alias("game_id"))
+    g = g.join(games, "round_id")
+    middle = g.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    first = g.agg(F.min("ts")).first()[0]
+    opened = r.withColumnRenamed("match_id", "game_id").withColumn("ts", F.lit(first))
+    slices = [(opened, g.where(F.col("ts") <= middle)), (opened.limit(0), g.where(F.col("ts") > middle))]
+    text = [tuple(df.withColumn("round_id", F.col("round_id").cast("string")) for df in pair) for pair in slices]
+    return _rounded(stream_rounds.running_board(stream_rounds.replay(text, _scratch(spark), cache_size=1_000_000)))
+
+
 # pixels -------------------------------------------------------------------------------------------
 
 

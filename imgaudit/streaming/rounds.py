@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .jobs import ROCKSDB, STORE
+
 _SIDES = ("human", "ai")
 _OUT = "game_id string, round_id string, ts timestamp, status string, turn int, " + ", ".join(f"{s}_correct boolean, {s}_elapsed_ms double, {s}_completed int, {s}_points int, {s}_accuracy int, {s}_mean_ms double, {s}_streak int" for s in _SIDES)
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
@@ -109,3 +111,27 @@ def running_board(figures: DataFrame) -> DataFrame:
     last = counted.groupBy("game_id").agg(F.max_by(F.struct(*[f"{s}_{c}" for s in _SIDES for c in fields]), F.struct("turn", "ts", "round_id")).alias("x"))
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), *[F.col(f"x.{s}_{c}").alias(c) for c in fields]) for s in _SIDES]))
     return last.select(F.col("game_id").alias("match_id"), sides.alias("s")).select("match_id", "s.side", F.col("s.completed").cast("long").alias("completed"), F.col("s.points").cast("long").alias("correct"), "s.mean_ms", "s.streak", "s.accuracy")
+
+
+def replay(slices: list[tuple[DataFrame, DataFrame]], folder: str, **options: int) -> DataFrame:
+    """What the stream makes of (rounds, guesses) tables that arrive one after another: the rows of ``rounds_with_figures``.
+
+    Each slice is added to the stream's input in ``folder``, and the stream runs until it has read it; its
+    state goes on from run to run.
+    """
+    spark = slices[0][0].sparkSession
+    source, out = f"{folder}/events", f"{folder}/figures"
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        for rounds, guesses in slices:
+            events = round_events(rounds, guesses)
+            events.write.mode("append").parquet(source)
+            figures = rounds_with_figures(spark.readStream.schema(events.schema).parquet(source), **options)
+            figures.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+    return spark.read.parquet(out)
