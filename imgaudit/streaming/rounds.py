@@ -72,7 +72,10 @@ class Rounds(StatefulProcessor):
                 row |= {f"{side}_completed": turns, f"{side}_points": points, f"{side}_streak": streak}
                 row |= {f"{side}_accuracy": int(points * 100 / turns + 0.5), f"{side}_mean_ms": total / turns} if turns else {}
             out.append(row | {"turn": turns})
-        self.held.put([tuple(r) for r in held.values()])
+        if held:
+            self.held.put([tuple(r) for r in held.values()])
+        else:
+            self.held.clear()
         self.figures.update((turns, *figures["human"], *figures["ai"]))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)

@@ -79,7 +79,7 @@ def test_pushed_out_rounds_reject_guesses(spark, tmp_path):
     t = 1_700_000_000
     game.send([("g", f"r{k}", t + k, "REAL", "REAL", 5.0) for k in range(3)] + [("h", "r0", t, "FAKE", "REAL", 5.0)], [("g", "r0", t + 10, "REAL", 7.0)])
     # two more push out r0 (finished) and r1; r2 is still held, also after the restart of the stream
-    game.send([("g", f"r{k}", t + 20 + k, "REAL", "FAKE", 6.0) for k in (3, 4)], [("g", k, t + 30 + i, "REAL", 9.0) for i, k in enumerate(("r0", "r1", "r2", "r3", "r2"))] + [("h", "r0", t + 40, "REAL", 3.0)])
+    game.send([("g", f"r{k}", t + 20 + k, "REAL", "FAKE", 6.0) for k in (3, 4)], [("g", k, t + 30 + i, "REAL", 9.0) for i, k in enumerate(("r0", "r1", "r2", "r3", "r2"))] + [("h", "r0", t + 40, "REAL", 3.0), ("none", "r0", t + 41, "REAL", 3.0)])
     rows = {(r["game_id"], r["round_id"], r["ts"].timestamp()): r for r in game.out().collect()}
     status = [r["status"] for r in sorted((r for r in rows.values() if r["game_id"] == "g"), key=lambda r: r["ts"])]
     assert status == ["accepted", "unknown", "unknown", "accepted", "accepted", "finished"]
