@@ -168,9 +168,11 @@ def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, t
     both = _joined(plausible, _whole_sets(texts, size, known), "row", ["shingles"])
     common = F.size(F.array_intersect("x.shingles", "y.shingles"))
     links = both.withColumn("i", common).where(100 * F.col("i") >= t * (F.size("x.shingles") + F.size("y.shingles") - F.col("i")))
+    own.release()
     out = own.write(links.select("a", "b"), "links")
     known.destroy()
     own.drop("plausible")
+    own.release()
     return out
 
 
@@ -224,7 +226,9 @@ def set_components(texts: DataFrame, table: DataFrame, distinct: DataFrame, size
     """(node, component) of the distinct sets, by number, that link with any other."""
     heads = _heads(table, distinct, own)
     own.drop("prefixes")  # as large as the heads
+    own.release()
     postings = _postings(heads, t, own)
+    own.release()
     # 1. one hub for each set: among the candidates at hand the one with most copies
     hubs = postings.groupBy("token").agg(F.max(F.struct("copies", "set_id", "n", "at")).alias("y"))
     star = (
@@ -240,9 +244,11 @@ def set_components(texts: DataFrame, table: DataFrame, distinct: DataFrame, size
     # 2. every pair of sets in different components with a common token. Of a token's sets, those in its largest component are never paired with each other.
     tagged = own.write(postings.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "tagged")
     own.drop("postings")  # as large as what is tagged
+    own.release()
     apart = tagged.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("token")
     rows = own.write(tagged.join(apart, "token").select("token", "component", F.struct("set_id", "n", "at").alias("set")), "open")
     own.drop("tagged")
+    own.release()
     per = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
     major = own.write(per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major")), "major")
     x = rows.join(major, "token").where("component <> major").select("token", F.col("component").alias("of_x"), "major", F.col("set").alias("x"))
@@ -254,7 +260,9 @@ def set_components(texts: DataFrame, table: DataFrame, distinct: DataFrame, size
         .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
         .distinct()
     )
-    known = _verified(own.write(pairs, "pairs"), heads, texts, size, t, own)
+    written = own.write(pairs, "pairs")
+    own.release()
+    known = _verified(written, heads, texts, size, t, own)
     if known.isEmpty():
         return label
     # the late links connect components of the early ones

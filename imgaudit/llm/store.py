@@ -6,6 +6,7 @@ which every executor can read, so a lost executor never loses an intermediate re
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,6 +67,11 @@ class Scratch:
         self.paths[name] = f"{self.folder}/{name}-{uuid.uuid4().hex}"
         return _write(df, self.paths[name])
 
+    def release(self) -> None:
+        """Let go of the shuffle files of finished jobs now: Spark keeps them until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Remove the table last written by this name before the block ends."""
         self._remove(self.paths.pop(name))
