@@ -740,7 +740,7 @@ def match_winners(spark, sf):
 def _scratch(spark: SparkSession) -> str:
     """A new folder that all executors see; a local one only where the session runs in one process and names none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='spark-stream-', dir='/tmp')).rstrip('/')}/{uuid.uuid4().hex}"
 
