@@ -11,6 +11,12 @@ prefix shingle and up to the whole set. A pair uses the smaller l of its two set
 prefixes are long enough. Postings are made of the prefix for l = 1 alone, which must hold a common
 shingle in any case: postings of the longer ones would list each pair of a large group many times.
 
+A posting's token is a shingle with a class of set sizes, as wide as the sizes that may link: a set
+stands below its own class, with the prefix for partners of at least that class, and below the
+class before it, for smaller partners. Sets of too different sizes so share no token, and tokens
+of one set alone, most of them, are never joined. Before whole sets are compared, a parity bitmap
+of each (a bit flips with every shingle it gets) bounds in how many shingles the two differ.
+
 Large groups of near copies would make all pairs of a group candidates. Instead every set is first
 verified against one hub among its candidates (the set with most copies), which already connects
 such groups; then only pairs of sets in different components are candidates, so what is left grows
@@ -33,15 +39,18 @@ from pyspark.sql import functions as F
 from .components import connected_components, forest_roots
 from .counters import count_all
 from .store import Scratch, bitmap, bitmap_bits, free_name, held, in_bitmap, materialize, only_in
-from .words import SPACED, batch_words, grams, text_bytes
+from .words import SPACED, batch_words, grams, mix, text_bytes
 
 #: Buckets of the sketch of document frequencies: 2**22 counters of two bytes. With many more
 #: shingles it still tells apart what is commoner than an average bucket; any order is right.
 SKETCH_BITS = 22
 #: Cost of verifying one candidate for each shingle of a set, in postings read.
 VERIFY = 0.125
+#: Sets whose postings are made at a time.
+SLICE = 1024
 
-_SETS = "row long, doc_id long, n_shingles long, high long, low long, matches int, tokens array<long>"
+_SETS = "row long, doc_id long, n_shingles long, high long, low long, matches int, tokens array<long>, parity array<long>"
+_CLASS = np.uint64(0xA0761D6478BD642F)
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -62,6 +71,19 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each bit of a power of two of them, 64 and as many as shingles at least: whether an odd number of shingles falls on it.
+
+    Two bitmaps differ in no more bits than their sets differ in shingles, also when the longer one
+    is folded to the length of the other.
+    """
+    bits = 64
+    while bits < len(shingles):
+        bits *= 2
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def document_frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     """Documents per hash bucket of their shingles; 2**bits numbers, 65,535 at most, over all documents."""
 
@@ -95,7 +117,7 @@ def _prefix(shingles: np.ndarray, frequency: np.ndarray, load: float, t: int) ->
 
 
 def shingle_table(texts: DataFrame, size: int, t: int, own: Scratch, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per row of ``texts(row, doc_id, text)``: its number, set size, 128-bit key, l and prefix."""
+    """One row per row of ``texts(row, doc_id, text)``: its number, set size, 128-bit key, l, prefix and parity bitmap."""
     frequency = document_frequencies(texts, size, bits)
     load = float(np.median(frequency))
     known = texts.sparkSession.sparkContext.broadcast(frequency)
@@ -115,8 +137,9 @@ def shingle_table(texts: DataFrame, size: int, t: int, own: Scratch, bits: int =
                     pa.array(keys[:, 1]),
                     pa.array([m for _, m in parts], pa.int32()),
                     _lists([p for p, _ in parts]),
+                    _lists([parity(s) for s in sets]),
                 ],
-                names=["row", "doc_id", "n_shingles", "high", "low", "matches", "tokens"],
+                names=["row", "doc_id", "n_shingles", "high", "low", "matches", "tokens", "parity"],
             )
 
     out = own.write(texts.mapInArrow(run, _SETS), "prefixes")
@@ -145,6 +168,12 @@ def _least(n: Column, m: Column, t: int) -> Column:
     return F.ceil((n + m) * t / (100 + t))
 
 
+def _bits_apart(x: str, y: str) -> Column:
+    """In how many bits two parity bitmaps differ, the longer one folded."""
+    fold = lambda s: f"aggregate(sequence(i, size({s}), least(size({x}), size({y}))), 0L, (word, j) -> word ^ element_at({s}, j))"
+    return F.expr(f"aggregate(sequence(1, least(size({x}), size({y}))), 0, (bits, i) -> bits + bit_count({fold(x)} ^ {fold(y)}))")
+
+
 def _joined(pairs: DataFrame, rows: DataFrame, key: str, names: list[str]) -> DataFrame:
     """``pairs(a, b)`` with structs x and y of the rows that ``key`` numbers."""
     x = rows.select(F.col(key).alias("a"), F.struct(*names).alias("x"))
@@ -155,14 +184,15 @@ def _joined(pairs: DataFrame, rows: DataFrame, key: str, names: list[str]) -> Da
 def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, t: int, own: Scratch) -> DataFrame:
     """The pairs(a, b) whose whole sets link; ``pairs`` is a written table of row numbers.
 
-    First the longer prefixes decide, then the whole sets of what is left. Bitmaps keep most other
-    rows out of the shuffles.
+    First the parity bitmaps and the longer prefixes decide, then the whole sets of what is left.
+    Bitmaps of row numbers keep most other rows out of the shuffles.
     """
     known = _numbers(pairs)
-    least = F.least("x.matches", "y.matches")
-    reach = lambda s: F.slice(f"{s}.tokens", F.lit(1), (F.col(f"{s}.n") - _least(F.col("x.n"), F.col("y.n"), t) + least).cast("int"))
-    both = _joined(pairs, only_in(heads, F.xxhash64("set_id"), known), "set_id", ["n", "matches", "tokens"])
-    plausible = own.write(both.where(F.size(F.array_intersect(reach("x"), reach("y"))) >= least).select("a", "b"), "plausible")
+    least, shared = F.least("x.matches", "y.matches"), _least(F.col("x.n"), F.col("y.n"), t)
+    reach = lambda s: F.slice(f"{s}.tokens", F.lit(1), (F.col(f"{s}.n") - shared + least).cast("int"))
+    both = _joined(pairs, only_in(heads, F.xxhash64("set_id"), known), "set_id", ["n", "matches", "tokens", "parity"])
+    close = both.where(_bits_apart("x.parity", "y.parity") <= F.col("x.n") + F.col("y.n") - 2 * shared)
+    plausible = own.write(close.where(F.size(F.array_intersect(reach("x"), reach("y"))) >= least).select("a", "b"), "plausible")
     known.destroy()
     known = _numbers(plausible)
     both = _joined(plausible, _whole_sets(texts, size, known), "row", ["shingles"])
@@ -177,37 +207,60 @@ def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, t
 
 
 def _numbers(pairs: DataFrame) -> Broadcast:
-    """A bitmap of the hashed numbers in pairs(a, b)."""
+    """A bitmap of the hashed numbers in pairs(a, b); a sparse one, since the pairs name few of all rows."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    return pairs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64("id"), bitmap_bits(2 * pairs.count())))
+    return pairs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64("id"), bitmap_bits(16 * pairs.count())))
 
 
 def _heads(table: DataFrame, distinct: DataFrame, own: Scratch) -> DataFrame:
-    """(set_id, n, matches, tokens, copies): the prefix of each distinct set, once."""
-    prefixes = table.where("n_shingles > 0").select(F.col("row").alias("set_id"), F.col("n_shingles").alias("n"), "matches", "tokens")
+    """(set_id, n, matches, tokens, parity, copies): the prefix of each distinct set, once."""
+    prefixes = table.where("n_shingles > 0").select(F.col("row").alias("set_id"), F.col("n_shingles").alias("n"), "matches", "tokens", "parity")
     return own.write(prefixes.join(distinct.select("set_id", "copies"), "set_id"), "heads")
 
 
+def _entries(batch: pa.RecordBatch, t: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(sets, tokens, whether below the own class, positions in the prefix, indices of the sets) for some of the rows (n, tokens) at a time."""
+    wide = max(1.05, 1.001 * 100 / t)  # sizes that may link are less than a class apart, rounding included
+    for first in range(0, batch.num_rows, SLICE):
+        some = batch.slice(first, SLICE)
+        n, shingles = some.column("n").to_numpy(), some.column("tokens")
+        size_class = np.floor(np.log(n) / np.log(wide)).astype(np.int64)
+        begin = wide**size_class
+        smallest = -(-t * n // 100)
+        # the smallest partner of the own class or the next; rounded down, as a longer prefix loses nothing
+        partner = np.maximum(smallest, np.floor(begin * 0.9999).astype(np.int64))
+        own = n + (-(n + partner) * t) // (100 + t) + 1
+        below = np.where((size_class > 0) & (smallest < begin * 1.0001), n - smallest + 1, 0)
+        lengths = np.concatenate((own, below))
+        row = np.repeat(np.tile(np.arange(len(n)), 2), lengths)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        classes = np.repeat(np.concatenate((size_class, size_class - 1)).astype(np.uint64), lengths)
+        values = shingles.values.to_numpy()[np.asarray(shingles.offsets)[row] + at].view(np.uint64)
+        yield some, mix(values ^ (classes + np.uint64(1)) * _CLASS), np.arange(len(row)) < own.sum(), at, row
+
+
 def _postings(heads: DataFrame, t: int, own: Scratch) -> DataFrame:
-    """(token, at, set_id, n, copies) of the shingles that more than one set has in its prefix for l = 1."""
-    base = F.expr(f"cast(n - ceil(n * {t} / 100) + 1 as int)")
-    flat = heads.select(F.explode(F.slice("tokens", F.lit(1), base)).alias("token"))
-    shared = own.write(flat.groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
+    """(token, at, set_id, n, copies) of the tokens that more than one set has, one of them below its own class."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, tokens, low, _, _ in _entries(batch, t):
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(low)], names=["token", "low"])
+
+    held_by = heads.select("n", "tokens").mapInArrow(flat, "token long, low boolean").groupBy("token").agg(F.count("*").alias("sets"), F.max("low").alias("low"))
+    shared = own.write(held_by.where("sets > 1 and low").select("token"), "shared-tokens")
+    own.release()
     known = heads.sparkSession.sparkContext.broadcast(bitmap(shared, F.col("token"), bitmap_bits(shared.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column("tokens")
-            lengths = np.array([_base(n, t) for n in batch.column("n").to_pylist()], dtype=np.int64)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            values = tokens.values.to_numpy()[np.asarray(tokens.offsets)[row] + at]
-            keep = in_bitmap(known.value, values.view(np.uint64))
-            take = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[keep]), pa.array(at[keep].astype(np.int32)), *[batch.column(c).take(take) for c in ("set_id", "n", "copies")]],
-                names=["token", "at", "set_id", "n", "copies"],
-            )
+            for some, tokens, _, at, row in _entries(batch, t):
+                keep = in_bitmap(known.value, tokens)
+                take = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[keep].view(np.int64)), pa.array(at[keep].astype(np.int32)), *[some.column(c).take(take) for c in ("set_id", "n", "copies")]],
+                    names=["token", "at", "set_id", "n", "copies"],
+                )
 
     out = own.write(heads.select("set_id", "n", "copies", "tokens").mapInArrow(run, "token long, at int, set_id long, n long, copies long"), "postings")
     known.destroy()
