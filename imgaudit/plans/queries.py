@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -751,12 +752,14 @@ def scoreboard_stream(spark, sf):
     r, g = rounds(spark, sf)
     games = r.select("round_id", F.col("match_id").alias("game_id"))
     g = g.join(games, "round_id")
-    middle = g.agg(F.percentile_approx("ts", 0.5)).first()[0]
-    first = g.agg(F.min("ts")).first()[0]
+    first, middle, guesses = g.agg(F.min("ts"), F.percentile_approx("ts", 0.5), F.count("*")).first()
     opened = r.withColumnRenamed("match_id", "game_id").withColumn("ts", F.lit(first))
     slices = [(opened, g.where(F.col("ts") <= middle)), (opened.limit(0), g.where(F.col("ts") > middle))]
-    text = [tuple(df.withColumn("round_id", F.col("round_id").cast("string")) for df in pair) for pair in slices]
-    return _rounded(stream_rounds.running_board(stream_rounds.replay(text, _scratch(spark), cache_size=1_000_000)))
+    # texts of one length, from 0 for the least bigint on, have the order of the numbers
+    text = F.lpad((F.col("round_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63))).cast("string"), 20, "0")
+    slices = [tuple(df.withColumn("round_id", text) for df in pair) for pair in slices]
+    parts = 1 + (r.count() + guesses) // stream_rounds.PART_EVENTS
+    return _rounded(stream_rounds.running_board(stream_rounds.replay(slices, _scratch(spark), parts, cache_size=1_000_000)))
 
 
 # pixels -------------------------------------------------------------------------------------------

@@ -4,10 +4,13 @@ import random
 import shutil
 from pathlib import Path
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from imgaudit.operators import scoreboard
+from imgaudit.plans import queries
 from imgaudit.sources import results
 from imgaudit.sources.commits import CommitLog
 from imgaudit.streaming import jobs, rounds
@@ -89,6 +92,69 @@ def test_pushed_out_rounds_reject_guesses(spark, tmp_path):
     assert board["h", "human"]["correct"] == 0 and board["h", "human"]["streak"] == 0
 
 
+def as_in_sql(spark, folder, events):
+    """The rows of scoreboard_stream over (event_id, ts, user_id, value, k), which must be those of its SQL."""
+    made = spark.createDataFrame(events, "event_id long, ts long, user_id long, value double, k int").withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz"))
+    made = made.select("event_id", "ts", "user_id", F.lit("view").alias("event_type"), "value", F.to_json(F.struct("k")).alias("props"))
+    made.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    found = duck.sql(queries.ORACLES["scoreboard_stream"])
+    got = queries.QUERIES["scoreboard_stream"](spark, str(folder)).select(*found.columns).collect()
+    want = sorted(found.fetchall())
+    assert sorted(tuple(r) for r in got) == want
+    return want
+
+
+def test_rounds_of_one_moment_count_by_number_in_the_stream(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rounds, "PART_EVENTS", 150, raising=False)
+    rng = random.Random(5)
+    # copies of one stretch of time with shifted ids: ids of one to four digits share their times and games
+    base = [(rng.choice([0, 60, 3600, 90_000]), rng.randrange(2), rng.uniform(0, 150), rng.randrange(99)) for _ in range(60)]
+    events = [(k + 60 * copy, 1_700_000_000 + t, user + 12 * copy, value, x) for copy in range(30) for k, (t, user, value, x) in enumerate(base)]
+    board = as_in_sql(spark, tmp_path, events)
+    assert len(board) == 4 and {r[2] for r in board} == {10}
+
+
+def test_a_silent_game_goes_on_in_the_board(spark, tmp_path):
+    rng, day, start = random.Random(6), 86_400, 1_700_000_000
+    # game 0 plays eight rounds, is silent for three weeks and goes on; game 1 plays all the time
+    quiet = [start + 60 * k for k in range(16)] + [start + 21 * day + 60 * k for k in range(40)]
+    times = sorted([(t, 0) for t in quiet] + [(start + k * day // 4, 1) for k in range(120)])
+    events = [(k, t, user, rng.uniform(0, 150), rng.randrange(99)) for k, (t, user) in enumerate(times)]
+    assert len(as_in_sql(spark, tmp_path, events)) == 4
+
+
+class Kept(dict):
+    """The state of a processor outside of a stream."""
+
+    class List(list):
+        exists, get, put = list.__len__, list.__iter__, lambda self, rows: self.__setitem__(slice(None), rows)
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.setdefault(name, self.List())
+
+
+def test_a_part_holds_no_round_of_a_game_that_has_its_places():
+    columns = ["game_id", "round_id", "ts", "kind", "ground_truth", "label", "elapsed_ms"]
+    at = lambda k: pd.Timestamp(1_700_000_000 + k, unit="s")
+    opened = [(g, f"r{k}", at(0), 0, "REAL", "FAKE", 5.0) for g in ("a", "b") for k in range(500)]
+    guessed = [("a", f"r{k}", at(900 - k), 1, None, "REAL", 7.0) for k in range(500)] + [("b", "r7", at(1), 1, None, "REAL", 7.0), ("b", "r7", at(1), 1, None, "FAKE", 9.0), ("b", "r8", at(2), 1, None, "REAL", -1.0), ("b", "none", at(3), 1, None, "REAL", 1.0)]
+    part, kept = rounds.FirstRounds(3), Kept()
+
+    def send(events):
+        part.init(kept)
+        # Spark hands over a part in pieces, in no order of time
+        pieces = [pd.DataFrame(events[i : i + 100], columns=columns) for i in range(0, len(events), 100)]
+        return [r for out in part.handleInputRows((0,), iter(pieces), None) for r in out.itertuples(index=False) if r.kind == 1]
+
+    assert sorted((r.game_id, r.round_id, r.label) for r in send(guessed + opened)) == [("a", "r497", "REAL"), ("a", "r498", "REAL"), ("a", "r499", "REAL"), ("b", "r7", "FAKE")]
+    assert {r[0] for r in kept["held"]} == {"b"} and len(kept["held"]) == 500
+    later = [("b", f"r{k}", at(2000 + k), 1, None, "REAL", 7.0) for k in (7, 8, 9, 10)] + [("a", "r9", at(2000), 1, None, "REAL", 7.0)]
+    assert [r.round_id for r in send(later)] == ["r8", "r9"]
+    assert not kept["held"] and dict(kept["passed"]) == {"a": 3, "b": 3}
+
+
 # --- scores
 
 
