@@ -749,9 +749,15 @@ def _scratch(spark: SparkSession) -> str:
 @_query(_BOARD + " SELECT match_id, side, completed, correct, round(mean_ms, 6) AS mean_ms, streak, accuracy FROM board")
 def scoreboard_stream(spark, sf):
     """The scoreboard as a stream's running figures: rounds and the earlier half of the guesses, then the later half."""
+    folder = _scratch(spark)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     r, g = rounds(spark, sf)
-    games = r.select("round_id", F.col("match_id").alias("game_id"))
-    g = g.join(games, "round_id")
+    r = written(r, "rounds")
+    g = written(g.join(r.select("round_id", F.col("match_id").alias("game_id")), "round_id"), "guesses")
     first, middle, guesses = g.agg(F.min("ts"), F.percentile_approx("ts", 0.5), F.count("*")).first()
     opened = r.withColumnRenamed("match_id", "game_id").withColumn("ts", F.lit(first))
     slices = [(opened, g.where(F.col("ts") <= middle)), (opened.limit(0), g.where(F.col("ts") > middle))]
@@ -759,7 +765,7 @@ def scoreboard_stream(spark, sf):
     text = F.lpad((F.col("round_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63))).cast("string"), 20, "0")
     slices = [tuple(df.withColumn("round_id", text) for df in pair) for pair in slices]
     parts = 1 + (r.count() + guesses) // stream_rounds.PART_EVENTS
-    return _rounded(stream_rounds.running_board(stream_rounds.replay(slices, _scratch(spark), parts, cache_size=1_000_000)))
+    return _rounded(stream_rounds.running_board(stream_rounds.replay(slices, folder, parts, cache_size=1_000_000)))
 
 
 # pixels -------------------------------------------------------------------------------------------
